@@ -134,7 +134,8 @@ def normalise(values: DataFrame, clocks: DataFrame, sure: float = 0.9) -> DataFr
 
     Ambiguous values keep the likelier format and posterior but have no epoch_us.
     """
-    read = readings(values, clocks)
+    # written once for both passes; it also keeps filters on the outcome from being rewritten into the parsing
+    read = materialize(readings(values, clocks), "readings")
     x = read.join(mixture(read), F.col("source").eqNullSafe(F.col("src")), "left").drop("src")
     scored = F.transform("fits", lambda r: F.struct(F.coalesce(F.element_at("weights", r["f"]), F.lit(0.0)).alias("w"), r["f"].alias("f"), r["us"].alias("us")))
     x = x.withColumn("_s", scored)
