@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import components, survivors
+from strandline.llm import components, leakage, packing, sharedspans, survivors
 from strandline.runtime import table
 
 
@@ -15,6 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": lambda s, d: survivors.found(table(s, d, "claims")),
         "p1_best_record": lambda s, d: survivors.best_record(table(s, d, "claims")).select("subject_key", "predicate", "object_key", "claim_key", "complete"),
         "p3_found": lambda s, d: components.found(table(s, d, "merges"), table(s, d, "clusters")),
+        "p8_packing": lambda s, d: packing.found(table(s, d, "documents"), table(s, d, "container_sizes")),
+        "p8_quality": lambda s, d: packing.quality(table(s, d, "documents"), table(s, d, "container_sizes")),
+        "p9_found": lambda s, d: leakage.found(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p9_leaked_items": lambda s, d: leakage.leaked_items(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p10_found": lambda s, d: sharedspans.found(table(s, d, "documents")),
     }
 
 
