@@ -77,7 +77,8 @@ def edits_swapped(a: str, b: str, most: int = 3) -> int:
     return min(row[-1], most + 1)
 
 
-def parts(entry: str) -> list[str]:
+@lru_cache(maxsize=100_000)
+def parts(entry: str) -> list[str]:  # callers must not change it
     """Name words of an entry, given name first: 'LAST First', 'Last, First', roles and brackets removed."""
     s = re.sub(r"\([^)]*\)", " ", entry)
     s = re.split(r"\s[|/–—-]\s", s.strip())[0].strip().lstrip("@")
@@ -89,5 +90,5 @@ def parts(entry: str) -> list[str]:
     raw = [w for w in re.split(r"[\s_.]+", s) if w]
     if not comma and len(raw) == 2 and raw[0].isupper() and len(raw[0]) > 2 and not raw[1].isupper():
         raw.reverse()
-    words = [re.sub(r"[^a-z0-9]", "", plain(w)) for w in raw]
-    return [w for w in words if w and w not in _TITLES]
+    words = [w for w in (re.sub(r"[^a-z0-9]", "", plain(w)) for w in raw) if w]
+    return [w for w in words if w not in _TITLES] or words

@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,9 @@ _CUE = re.compile(r"^\s*(\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d+)?\s*-->")
 _STAMP = re.compile(r"^\s*(?:\[(\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?)\]|\((\d{1,2}:\d{2}(?::\d{2})?)\)(?=\s*[^:\s])|(\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?)(?=\s+-\s))\s*")
 _DASH_LABEL = re.compile(r"^-\s+([^:]{1,60}?)\s+-(?:\s+|$)")
 _VOICE = re.compile(r"^\s*<v(?:\.[^\s>]+)?\s+([^>]{1,80})>")
-_TIMED_LABEL = re.compile(r"([^:\n]{1,70}?)\s*\((\d{1,2}:\d{2}(?::\d{2})?)\)\s*:(?=\s|$)")
-_LABEL = re.compile(r"((?:[^\s:()\[\]{}<>]+[ ,]+){0,4}[^\s:()\[\]{}<>]+)(?:\s\([A-Za-z][A-Za-z &-]{1,30}\))?:(?=\s|$)")
+_COLON = re.compile(r"(?:\s*\((\d{1,2}:\d{2}(?::\d{2})?)\)\s*)?:(?=\s|$)")
+_UNIT = re.compile(r"\s\([A-Za-z][A-Za-z &-]{1,30}\)$")
+_TAIL = re.compile(r"(?:[^\s:()\[\]{}<>]+[ ,]+){0,4}[^\s:()\[\]{}<>]+$")
 
 #: Words of sound and recording annotations in round brackets.
 _SOUNDS = set(
@@ -47,6 +49,7 @@ _SOUNDS = set(
 )
 _HESITATION = re.compile(r"^(?:u+[hm]+|u+h+m+|e+r+m*|e+h+m*|h+m+|m+h*m+|a+h+m*|h+u*h+|ä+h+m*|e+u+h+)$")
 _BRACKETS = re.compile(r"\[[^\[\]]*\]|\{[^{}]*\}|\*[^*\n]{1,40}\*|<[^<>\n]{1,40}>|♪[^♪\n]*♪|[♪♫♩♬]")
+_DASHED = re.compile(r"--\s*(?:begin|end|start|stop|pause|break|recording [a-z]+)\w*\s*--", re.I)
 _ROUND = re.compile(r"\(([^()]*)\)")
 
 
@@ -59,7 +62,7 @@ def _seconds(t: str) -> float:
 
 def speech_tokens(text: str) -> list[str]:
     """Tokens of speech: annotations, hesitations and wordless tokens removed."""
-    text = _BRACKETS.sub(" ", text)
+    text = _DASHED.sub(" ", _BRACKETS.sub(" ", text))
     text = _ROUND.sub(lambda m: " " if _is_sound(m[1]) else m[0], text)
     return [t for t in text.split() if any(c.isalnum() for c in t) and not _HESITATION.match(plain(t).strip(".,;:!?…—–-()\"'“”"))]
 
@@ -77,6 +80,7 @@ class Person:
     words: list[str] = field(default_factory=list)
 
 
+@lru_cache(maxsize=100_000)
 def _one(a: str, b: str) -> float:
     """How well two name words agree."""
     if a == b:
@@ -154,25 +158,28 @@ def segments(body: str, cast: Cast) -> list[Segment]:
     def cut(text: str, line: int, fresh: bool, time: float | None, marked: bool) -> None:
         """Cut text at labels inside it."""
         pos, label, stamp, first = 0, None, time, True
-        spans = [(m.start(), m.end(), m[1], _seconds(m[2])) for m in _TIMED_LABEL.finditer(text) if cast.best(_last_label(m[1], cast)[0])[0] > 0]
-        if not spans:
-            spans = [(m.start(1), m.end(), m[1], None) for m in _LABEL.finditer(text)]
-        for a, b, raw, t in spans:
-            name, skip = _last_label(raw, cast)
-            a += skip
-            before = text[pos:a]
-            if a > 0 and not re.search(r"(?:^|[.!?…\])}>*♪\"]|\W—)\s*$", text[:a]):
+        for m in _COLON.finditer(text):
+            head = text[pos : m.start()]
+            unit = _UNIT.search(head)
+            tail = _TAIL.search(head[: unit.start()] if unit else head)
+            if not tail:
+                continue
+            name, skip = _last_label(tail[0], cast)
+            a = pos + tail.start() + skip
+            if a > 0 and not re.search(r"(?:[.!?…\])}>*♪\"]|--|\s[—–])\s*$|^\s*[—–]?\s*$", text[max(0, a - 12) : a]):
                 continue
+            before = text[pos:a]
             if before.strip() or label is not None or not first:
                 out.append(Segment(before, label, stamp, marked, fresh and first, out[-1].text if out else "", line))
                 first = False
+            t = _seconds(m[1]) if m[1] else None
             marked = t is not None or (marked and first and a == 0)
-            pos, label, stamp = b, text[a:b].rstrip(":").strip() if t is None else name, t if t is not None else (time if first else None)
+            pos, label, stamp = m.end(), name + (unit[0] if unit else ""), t if t is not None else (time if first else None)
         out.append(Segment(text[pos:], label, stamp, marked, fresh and first, out[-1].text if out else "", line))
 
     for n, line in enumerate(body.split("\n")):
         line = line.rstrip("\r")
-        if not line.strip():
+        if not line.strip() or line.strip() == "WEBVTT":
             continue
         if _CUE.match(line):
             cue = _seconds(line.split("-->")[0].strip())
@@ -199,7 +206,7 @@ def _last_label(raw: str, cast: Cast) -> tuple[str, int]:
     best = (0.0, 0)
     for s in starts:
         name = raw[s:].strip()
-        if 0 < len(name) <= 60 and len(name.split()) <= 5:
+        if 0 < len(name) <= 60 and name[0].isalnum() and len(name.split()) <= 5:
             score = cast.best(name)[0] + (0.0001 * min(len(name), 40))
             if score > best[0] + 1e-9 and cast.best(name)[0] > 0:
                 best = (score, s)
@@ -224,7 +231,7 @@ def features(segs: list[Segment], cast: Cast) -> np.ndarray:
         gap = s.time - last_time if s.time is not None and last_time is not None else -1.0
         last_time = s.time if s.time is not None else last_time
         words = s.label.split() if s.label else []
-        ended = bool(re.search(r"[.!?…\])}>*♪]\s*$", s.after)) or not s.after.strip()
+        ended = bool(re.search(r"[.!?…\])}>*♪]\s*$", s.after[-12:])) or not s.after.strip()
         rows.append([score, lead, float(bool(s.label)), float(len(words)), float(s.fresh_line), float(ended), float(often.get((s.label or "").lower(), 0)), min(max(gap, -1.0), 120.0), float(who is not None and who == speaker)])
         if score >= 0.6:
             speaker = who
@@ -304,7 +311,9 @@ def train(rows: list[tuple[str, list[str]]]) -> BoostedTrees | None:
     if not xs:
         return None
     x, y = np.concatenate(xs), np.concatenate(ys)
-    x[:, 7] = -1.0 if (x[:, 7] >= 0).mean() > 0.999 else x[:, 7]
+    masked = x.copy()
+    masked[:, 7] = -1.0  # transcripts without times must be decided by the rest
+    x, y = np.concatenate([x, masked]), np.concatenate([y, y])
     return BoostedTrees().fit(x, y) if 0 < y.mean() < 1 else None
 
 
