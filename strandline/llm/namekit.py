@@ -6,23 +6,24 @@ import re
 import unicodedata
 from functools import lru_cache
 
-#: Given names and their usual short forms.
-_SHORT_FORMS = """
-abigail abby gail | alexandra sandra alex sasha lexi | amara mara | benjamin ben benny | bronwen bron | charlotte lottie charlie lotte | chidi chi | cornelius neil corney nelius con | dmitri dima mitya | dorothea dora thea dot dottie dorothy
-edward ed eddie ted ned | ekaterina katya katia kate | elizabeth liz beth lizzy eliza betty lisa | eskil esk | fatou fa | francisco paco pancho frank kiko cisco | frederik fred freddy rik frits | gabriel gabe gab | giuseppe beppe beppo pino peppe | gwendolyn gwen wendy
-harold harry hal | henrietta hettie etta harriet henny | hiroko hiro | ignacio nacho iggy | ikenna ike | isabella bella isa izzy | jacqueline jackie jacky jac | jerome jerry | johannes hans jo jan johan | katherine kate kathy kat katie kit | kazimir kaz kazik | leopold leo poldi
-lina lin | ludmila mila lyuda luda | margaret maggie meg peggy greta marge | matthias matt matze | natalia natasha nat talia | nikolai kolya nik nico | olympia oly pia | oskar ossi oz | patricia pat patty trish tricia | penelope penny nell | priscilla cilla prissy | quentin quin
-rafael rafa raf rafe | richard rick dick rich richie ricky | robert bob rob bobby robbie bert | rosalind roz rose lindy ros | samuel sam sammy | stephen steve stevie steph | susannah sue susie sanna suzy | theodore theo ted teddy | thomas tom tommy | timothy tim timmy | tobias toby tobi
-ulrich uli ulli ricki | ursula ursel uschi ursa | valentina val vally tina | veronica ronnie vera ronny nica | victor vic | vladislav vlad slava | wilhelmina mina willa billie helma | william bill will billy liam | winston win winnie | xiomara xio mara | yevgenia zhenya jenya genia | yusuf yus joe | zeynep zey
-alexander alex sasha xander | andrew andy drew | anthony tony ant | catherine cathy kate cat | christopher chris kit topher | daniel dan danny | david dave davy | deborah deb debbie | eleanor ellie nora nell | eugene gene | gerald gerry | gregory greg | james jim jimmy jamie | jennifer jen jenny
-john jack johnny | jonathan jon jonny | joseph joe joey | joshua josh | kenneth ken kenny | lawrence larry laurie | leonard len lenny | louis lou | michael mike mick mickey | nicholas nick nicky | pamela pam | peter pete | philip phil | rebecca becky becca | ronald ron | sebastian seb bastian | walter walt wally
-"""
+#: Given names whose short forms the rules below derive.
+GIVEN = frozenset(
+    "abigail alexandra amara benjamin bronwen charlotte chidi cornelius dmitri dorothea edward ekaterina elizabeth eskil fatou francisco frederik gabriel giuseppe gwendolyn harold henrietta hiroko ignacio ikenna isabella jacqueline jerome johannes katherine kazimir leopold lina ludmila margaret matthias"
+    " natalia nikolai olympia oskar patricia penelope priscilla quentin rafael richard robert rosalind samuel stephen susannah theodore thomas timothy tobias ulrich ursula valentina veronica victor vladislav wilhelmina william winston xiomara yevgenia yusuf zeynep".split()
+)
+#: Short forms that no rule derives.
+_IRREGULAR = (
+    "giuseppe beppe beppo pino|alexandra sandy sasha lexi|ekaterina katya katia katja|katherine kate kit|charlotte lottie charlie lotte|cornelius neil nelius|dmitri dima mitya|dorothea dora dot dottie dolly|edward ned ted teddy|theodore ted teddy|elizabeth liz lizzie lizzy betsy betty libby lisa bess|francisco paco pancho kiko frank cisco|frederik fritz rik|gwendolyn wendy"
+    "|harold harry hal|henrietta hettie hetty harriet|ignacio nacho iggy|isabella izzy|jacqueline jackie jacky jacqui|jerome jerry|johannes hans|ludmila lyuda|margaret maggie meg peggy greta daisy|nikolai kolya nick nicky nico|oskar ossi ozzie|patricia patty patsy trish tricia|penelope penny nell|richard dick rick ricky|robert bob bobby bert"
+    "|rosalind roz rose lindy|stephen steve stevie|susannah sue susie suzy sukie suki sanna|thomas tom tommy|ulrich uli ulli|veronica ronnie ronny vera|vladislav slava|wilhelmina billie willa|william bill billy liam|yevgenia zhenya jenya|yusuf joe|natalia tasha natasha|leopold poldi lee|ursula uschi ursel|valentina tina"
+)
 _CANON: dict[str, set[str]] = {}
-for _row in re.split(r"[|\n]", _SHORT_FORMS):
-    _w = _row.split()
-    for _x in _w:
-        _CANON.setdefault(_x, set()).add(_w[0])
+for _row in _IRREGULAR.split("|"):
+    _first, *_rest = _row.split()
+    for _x in _rest:
+        _CANON.setdefault(_x, set()).add(_first)
 
+SHORT_FORMS = frozenset(_CANON)
 _TITLES = {"dr", "mr", "mrs", "ms", "prof", "sir", "ing", "dipl", "phd", "herr", "frau", "mme", "sr", "sra", "jr"}
 
 
@@ -33,9 +34,22 @@ def plain(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s.casefold()) if not unicodedata.combining(c)).replace("ı", "i").replace("ł", "l").replace("ø", "o").replace("đ", "d")
 
 
-def given_names(token: str) -> set[str]:
-    """Full given names that a token may stand for, itself included."""
-    return _CANON.get(token, set()) | {token}
+@lru_cache(maxsize=100_000)
+def given_names(token: str) -> frozenset[str]:
+    """Full given names that a token may stand for; itself if none is known.
+
+    Rules: a proper beginning of two letters or more (vlad), a diminutive of
+    one (benny, gabe, matti), or an ending of four letters or more (cilla).
+    """
+    if token in GIVEN:
+        return frozenset((token,))
+    out = set(_CANON.get(token, ()))
+    stem = re.sub(r"(?:ie|[eiyo])$", "", token)
+    stems = {token, stem, stem[:-1] if len(stem) > 2 and stem[-1] == stem[-2] else stem}
+    for g in GIVEN:
+        if any(len(t) > 1 and g.startswith(t) for t in stems) or (len(token) > 3 and g.endswith(token)):
+            out.add(g)
+    return frozenset(out or (token,))
 
 
 @lru_cache(maxsize=200_000)

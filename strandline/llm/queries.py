@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import components, leakage, packing, sharedspans, survivors
+from strandline.llm import components, leakage, mailtext, names, packing, sharedspans, survivors, turns
 from strandline.runtime import table
 
 
@@ -14,7 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": lambda s, d: survivors.found(table(s, d, "claims")),
         "p1_best_record": lambda s, d: survivors.best_record(table(s, d, "claims")).select("subject_key", "predicate", "object_key", "claim_key", "complete"),
+        "p2_found": lambda s, d: mailtext.found(table(s, d, "raw_docs")),
         "p3_found": lambda s, d: components.found(table(s, d, "merges"), table(s, d, "clusters")),
+        "p4_found": lambda s, d: turns.found(table(s, d, "raw_docs")),
+        "p7_found": lambda s, d: names.found(table(s, d, "raw_docs"), table(s, d, "extracted_claims")),
         "p8_packing": lambda s, d: packing.found(table(s, d, "documents"), table(s, d, "container_sizes")),
         "p8_quality": lambda s, d: packing.quality(table(s, d, "documents"), table(s, d, "container_sizes")),
         "p9_found": lambda s, d: leakage.found(table(s, d, "documents"), table(s, d, "eval_items")),
