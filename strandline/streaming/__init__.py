@@ -1 +1 @@
-
+"""Structured Streaming over arriving claims."""
