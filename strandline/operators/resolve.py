@@ -172,7 +172,8 @@ def lookup(asked: DataFrame, index: DataFrame) -> DataFrame:
     q = asked.select("surface", "email").distinct().withColumn("surface_norm", norm(F.col("surface")))
     x = q.join(index, "surface_norm").withColumn("mail", F.array_contains("emails", F.lower(F.coalesce("email", F.lit("")))).cast("int"))
     best = x.groupBy("surface", "email").agg(F.min(F.struct((-F.col("mail")).alias("a"), (-F.col("mentions")).alias("b"), F.col("key").alias("key"))).alias("t"))
-    return asked.join(best.select("surface", "email", F.col("t.key").alias("key")), (asked["surface"].eqNullSafe(best["surface"])) & (asked["email"].eqNullSafe(best["email"])), "left").drop(best["surface"]).drop(best["email"])
+    best = best.select(F.col("surface").alias("_s"), F.col("email").alias("_e"), F.col("t.key").alias("key"))
+    return asked.join(best, F.col("surface").eqNullSafe(F.col("_s")) & F.col("email").eqNullSafe(F.col("_e")), "left").drop("_s", "_e")
 
 
 def resolve(docs: DataFrame, extracted: DataFrame, cap: int | None = 200) -> DataFrame:

@@ -15,6 +15,7 @@ from strandline.functions.time import detect_as_of, parse_ts
 from strandline.operators.arbitrate import arbitrate
 from strandline.operators.graph import label_of
 from strandline.plans.ontology import Schema
+from strandline.runtime import materialize
 
 # Phrases of questions and the predicates they ask for, in order.
 HINTS = [
@@ -105,7 +106,7 @@ def ask(questions: DataFrame, claims: DataFrame, entities: DataFrame, aliases: D
     """
     schema = schema or Schema()
     p = plan(questions, schema)
-    m = match_entities(p, entities, aliases, artifact_project)
+    m = materialize(match_entities(p, entities, aliases, artifact_project), "matches")
     hint_words = sorted({w for h, _ in HINTS for w in h.split()})
     seen = m.groupBy("question_id").agg(F.array_distinct(F.flatten(F.collect_list(F.split(F.concat_ws(" ", norm(F.col("name")), norm(F.col("key")), norm(F.col("matched_text"))), " ")))).alias("seen"), F.min(F.struct("rank", "key", "name")).alias("a"), F.collect_set("key").alias("keys"))
     x = p.join(seen, "question_id", "left")
@@ -122,6 +123,7 @@ def ask(questions: DataFrame, claims: DataFrame, entities: DataFrame, aliases: D
     touch = touch.drop("e")
     touch = touch.groupBy("question_id", "claim_key").agg(F.min("hops").alias("hops"), *[F.first(c).alias(c) for c in touch.columns if c not in ("question_id", "claim_key", "hops")])
     asked = F.array_contains("predicates", F.col("predicate")) | (F.col("set_mode") & (F.col("predicate") == "MENTIONS"))
+    touch = materialize(touch, "evidence")
     hits = touch.where(asked)
     now = hits.where("as_of_ts is null").select("question_id", "claim_key", "hops", "predicate", "subject_key", "object_key", "source_tool", "asserted_at", "score", "status")
     past = hits.where("as_of_ts is not null").where(parse_ts(F.col("asserted_at")).isNull() | (parse_ts(F.col("asserted_at")) <= F.col("as_of_ts")))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.operators import nested, timestamps
+from strandline.plans import query_pack
 from strandline.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +22,8 @@ def general_queries() -> dict[str, Query]:
 
 
 def queries() -> dict[str, Query]:
-    return general_queries()
+    return query_pack.QUERIES | general_queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(query_pack.SQL)

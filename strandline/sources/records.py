@@ -44,26 +44,25 @@ def envelope(records: DataFrame, tool: str, schema: Schema | None = None) -> Dat
 def field_map_claims(docs: DataFrame, schema: Schema | None = None) -> DataFrame:
     """Deterministic (tier A) claims of documents: tool, doc_id, structured, created_at, updated_at.
 
-    All rules of a tool are exploded from one scan. A rule gives nothing where
+    The documents are scanned once and joined with their tool's rules. A rule gives nothing where
     either side is null, empty, zero or false.
     """
     schema = schema or Schema()
-    rec = F.col("structured")
-    doc_key = F.concat(F.lit("artifact:"), F.col("tool"), F.lit(":"), slugify(F.col("doc_id")))
-    side = lambda p: doc_key if p == "__self__" else dotted(rec, p)
-    chosen = None
+    json_path = lambda p: None if p is None else p if p == "__self__" else "$" + "".join(f"['{k}']" for k in p.split("."))
+    rules = []
     for tool, s in schema.sources.items():
-        structs = []
         for subj, st, pred, obj, ot, at in s["rules"]:
             if pred not in schema.predicates:
                 raise ValueError(f"rule of {tool}: unknown predicate {pred}")
-            structs.append(F.struct(side(subj).alias("subject_surface"), F.lit(st).alias("subject_type"), F.lit(pred).alias("predicate"), side(obj).alias("object_surface"), F.lit(ot).alias("object_type"),
-                                    F.coalesce(dotted(rec, at), F.when(F.col("updated_at") != "", F.col("updated_at")), F.col("created_at")).alias("asserted_at"), F.concat(F.lit(f"{tool}.{obj} = "), F.substring(side(obj), 1, 70)).alias("evidence_span")))
-        if structs:
-            rows = F.array(*structs)
-            chosen = F.when(F.col("tool") == tool, rows) if chosen is None else chosen.when(F.col("tool") == tool, rows)
-    x = docs.where("doc_id is not null and structured is not null").withColumn("r", F.explode(chosen)).select("r.*", F.col("tool").alias("source_tool"), F.col("doc_id").alias("source_doc_id"))
-    return x.where(truthy(F.col("subject_surface")) & truthy(F.col("object_surface"))).withColumn("confidence", F.lit(1.0)).withColumn("tier", F.lit("A"))
+            rules.append((tool, json_path(subj), st, pred, json_path(obj), ot, json_path(at), f"{tool}.{obj} = "))
+    names = "tool string, subj string, subject_type string, predicate string, obj string, object_type string, at string, told string"
+    rule = F.broadcast(docs.sparkSession.createDataFrame(rules, names))  # as many rows as the schema has rules
+    x = docs.where("doc_id is not null and structured is not null").join(rule, "tool")
+    doc_key = F.concat(F.lit("artifact:"), F.col("tool"), F.lit(":"), slugify(F.col("doc_id")))
+    side = lambda c: F.when(F.col(c) == "__self__", F.col("doc_key")).otherwise(F.expr(f"get_json_object(structured, {c})"))
+    x = x.withColumn("doc_key", doc_key).withColumn("subject_surface", side("subj")).withColumn("object_surface", side("obj")).where(truthy(F.col("subject_surface")) & truthy(F.col("object_surface")))
+    stamp = F.coalesce(F.expr("get_json_object(structured, at)"), F.when(F.col("updated_at") != "", F.col("updated_at")), F.col("created_at"))
+    return x.select("subject_surface", "subject_type", "predicate", "object_surface", "object_type", stamp.alias("asserted_at"), F.concat("told", F.substring("object_surface", 1, 70)).alias("evidence_span"), F.col("tool").alias("source_tool"), F.col("doc_id").alias("source_doc_id"), F.lit(1.0).alias("confidence"), F.lit("A").alias("tier"))
 
 
 def artifact_rows(docs: DataFrame) -> DataFrame:
