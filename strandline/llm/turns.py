@@ -40,6 +40,7 @@ _DASH_LABEL = re.compile(r"^-\s+([^:]{1,60}?)\s+-(?:\s+|$)")
 _VOICE = re.compile(r"^\s*<v(?:\.[^\s>]+)?\s+([^>]{1,80})>")
 _COLON = re.compile(r"(?:\s*\((\d{1,2}:\d{2}(?::\d{2})?)\)\s*)?:(?=\s|$)")
 _UNIT = re.compile(r"\s\([A-Za-z][A-Za-z &-]{1,30}\)$")
+_SENTENCE_END = re.compile(r"(?:\w{3,}|\d)[.!?…]\s")
 _TAIL = re.compile(r"(?:[^\s:()\[\]{}<>]+[ ,]+){0,4}[^\s:()\[\]{}<>]+$")
 
 #: Words of sound and recording annotations in round brackets.
@@ -98,7 +99,7 @@ def _one(a: str, b: str) -> float:
 def fit(label: str, person: Person) -> float:
     """Fit of a speaker label to a participant, 0 to 1."""
     mine, theirs = parts(label), person.words
-    if not mine or not theirs:
+    if not mine or not theirs or any(len(w) > 1 and w not in theirs for w in mine[1:-1]):
         return 0.0
     if len(mine) == 1:
         w = mine[0]
@@ -206,7 +207,7 @@ def _last_label(raw: str, cast: Cast) -> tuple[str, int]:
     best = (0.0, 0)
     for s in starts:
         name = raw[s:].strip()
-        if 0 < len(name) <= 60 and name[0].isalnum() and len(name.split()) <= 5:
+        if 0 < len(name) <= 60 and name[0].isalnum() and not _SENTENCE_END.search(name) and len(name.split()) <= 5:
             score = cast.best(name)[0] + (0.0001 * min(len(name), 40))
             if score > best[0] + 1e-9 and cast.best(name)[0] > 0:
                 best = (score, s)
