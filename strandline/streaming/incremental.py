@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strandline.operators.arbitrate import arbitrate, latest_claims
 from strandline.plans.ontology import Schema
@@ -26,7 +27,7 @@ def batch_writer(folder: str, schema: Schema | None = None) -> Callable[[DataFra
         spark = batch.sparkSession
         new = batch.select(*_COLUMNS)
         new.write.mode("overwrite").parquet(f"{folder}/store/batch={batch_id}")
-        store = spark.read.schema(new.schema.add("batch", "bigint")).parquet(f"{folder}/store").where(F.col("batch") <= batch_id).drop("batch")
+        store = spark.read.schema(StructType([*new.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/store").where(F.col("batch") <= batch_id).drop("batch")
         touched = new.select("subject_key", "predicate").distinct()
         done = arbitrate(latest_claims(store.join(touched, ["subject_key", "predicate"], "left_semi")), schema)
         done.select("claim_key", "subject_key", "predicate", "object_key", "score", "status").write.mode("overwrite").parquet(f"{folder}/current/batch={batch_id}")
