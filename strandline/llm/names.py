@@ -29,6 +29,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from string import ascii_lowercase
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -73,15 +75,20 @@ def _org_readings(surface: str) -> list[tuple[str, str, int]]:
     return [("", r, t) for r, t in dict.fromkeys(out)]
 
 
-def _given(token: str) -> list[tuple[str, int]]:
+@lru_cache(maxsize=50_000)
+def _given(token: str) -> tuple[tuple[str, int], ...]:
     """Full given names for a token with the number of typing errors."""
-    known = [(g, 0) for g in given_names(token) if g in GIVEN]
-    if known or len(token) < 4:
-        return known
-    slips = {token[:i] + token[i + 1] + token[i] + token[i + 2 :] for i in range(len(token) - 1)} | {token[:i] + token[i + 1 :] for i in range(len(token))}
-    slips |= {w for w in SHORT_FORMS if edits_swapped(token, w, 1) == 1}
+    known = [(g, 0) for g in sorted(given_names(token)) if g in GIVEN]
+    if known or len(token) < 2:
+        return tuple(known)
     near = {g for g in GIVEN if edits_swapped(token, g, 1) == 1}
-    return [(g, 1) for g in sorted(near or {g for w in slips for g in given_names(w) if g in GIVEN})]
+    if not near:
+        cuts = [(token[:i], token[i:]) for i in range(len(token) + 1)]
+        slips = {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
+        if len(token) < 6:  # short forms leave little else to go by
+            slips |= {a + c + b[k:] for a, b in cuts for c in ascii_lowercase for k in (0, 1)}
+        near = {g for w in slips if len(w) > 2 and (w in SHORT_FORMS or len(w) < len(token) + 2) for g in given_names(w) if g in GIVEN}
+    return tuple((g, 1) for g in sorted(near))
 
 
 def _person_readings(surface: str) -> list[tuple[str, str, int]]:
@@ -123,7 +130,11 @@ def _person_readings(surface: str) -> list[tuple[str, str, int]]:
         for a, b in ((squeezed[: len(g)], squeezed[len(g) :]), (squeezed[-len(g) :], squeezed[: -len(g)])):
             if a == g and len(b) > 3:
                 add(g, b, 0 if (len(words) == 1 or (g, b) in out) else 1)
-    if len(words) == 2 and not any(t == 0 and len(g) > 1 for (g, _), t in out.items()):
+    if len(words) == 1 and re.search(r"[a-z][A-Z]", s) and "@" not in s:
+        for g, r, t in _person_readings(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", s, count=1)):
+            if len(g) > 1 and t == 0:
+                add(g, r, 1)
+    if len(words) == 2:
         for cut in (len(words[0]) - 1, len(words[0]) + 1):
             for g in given_names(squeezed[:cut]) if cut > 1 else ():
                 if g in GIVEN and squeezed[:cut] not in GIVEN:
@@ -211,7 +222,9 @@ def spelling_groups(counts: DataFrame, strong: int = 3) -> DataFrame:
     hit = reach.join(exact, ["kind", "near"]).where((F.col("given") == F.col("full")) | ((F.length("given") == 1) & F.col("full").startswith(F.col("given"))))
     # one typing error at most, and a reading by initial gives way to one by name
     cost = F.col("typos") + F.col("d")
-    hit = hit.where(cost <= 1).withColumn("cost", cost.cast("int") * 2 + F.when(F.length("given") == 1, 1).otherwise(0))
+    # an identity that only the spelling itself supports comes after a supported one nearby
+    alone = F.when((cost == 0) & (F.col("support") == 1) & (F.length("given") != 1), 4).otherwise(0)
+    hit = hit.where(cost <= 1).withColumn("cost", cost.cast("int") * 2 + F.when(F.length("given") == 1, 1).otherwise(0) + alone)
     pick = hit.groupBy("kind", "surface").agg(F.min(F.struct("cost", (-F.col("support")).alias("s"), (-F.col("mentions")).alias("m"), F.col("near").alias("near"), F.col("full").alias("full"))).alias("t"))
     # exact readings already are identities; all of equal cost 0 belong to it
     to_id = pick.select("kind", F.concat_ws("\x02", "kind", "surface").alias("a"), name(F.col("t.full"), F.col("t.near")).alias("b"))
