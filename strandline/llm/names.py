@@ -85,7 +85,7 @@ def _given(token: str) -> tuple[tuple[str, int], ...]:
     if not near:
         cuts = [(token[:i], token[i:]) for i in range(len(token) + 1)]
         slips = {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
-        if len(token) < 6:  # short forms leave little else to go by
+        if len(token) < 7:  # short forms leave little else to go by
             slips |= {a + c + b[k:] for a, b in cuts for c in ascii_lowercase for k in (0, 1)}
         near = {g for w in slips if len(w) > 2 and (w in SHORT_FORMS or len(w) < len(token) + 2) for g in given_names(w) if g in GIVEN}
     return tuple((g, 1) for g in sorted(near))
