@@ -40,9 +40,14 @@ def score_claims(claims: DataFrame, schema: Schema | None = None) -> DataFrame:
     schema = schema or Schema()
     w = schema.weights
     x = claims.withColumn("ts", F.unix_micros(parse_ts(F.col("asserted_at"))) if dict(claims.dtypes)["asserted_at"] == "string" else F.unix_micros(F.col("asserted_at").cast("timestamp")))
-    span = x.groupBy(*_GROUP).agg(F.min("ts").alias("oldest"), F.max("ts").alias("newest"), (F.min("object_key") != F.max("object_key")).alias("differ"))
-    agree = x.groupBy(*_GROUP, "object_key").agg(F.countDistinct("source_tool").alias("corroboration"))
-    x = x.drop("corroboration").join(span, _GROUP).join(agree, [*_GROUP, "object_key"])
+    # facts of the groups come from the facts of their objects, so the claims are aggregated once
+    agree = x.groupBy(*_GROUP, "object_key").agg(F.countDistinct("source_tool").alias("corroboration"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    span = agree.groupBy(*_GROUP).agg(F.min("lo").alias("oldest"), F.max("hi").alias("newest"), (F.min("object_key") != F.max("object_key")).alias("differ"))
+    same = lambda left, right: [left[c].eqNullSafe(right[f"_{c}"]) for c in _GROUP]
+    span = span.select(*[F.col(c).alias(f"_{c}") for c in _GROUP], "oldest", "newest", "differ")
+    facts = agree.select(*_GROUP, "object_key", "corroboration").join(span, same(agree, span)).select(*[F.col(c).alias(f"_{c}") for c in (*_GROUP, "object_key")], "corroboration", "oldest", "newest", "differ")
+    x = x.drop("corroboration")
+    x = x.join(facts, [*same(x, facts), x["object_key"].eqNullSafe(facts["_object_key"])]).drop(*[f"_{c}" for c in (*_GROUP, "object_key")])
     zero = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
     recency = F.when(F.col("ts").isNull(), 0.0).when(F.col("newest") == F.col("oldest"), 1.0).otherwise((F.col("ts") - F.col("oldest")).cast("double") / (F.col("newest") - F.col("oldest")).cast("double"))
     x = x.withColumn("recency", recency)

@@ -13,12 +13,12 @@ CLAIM = "claim_key string, subject_key string, predicate string, object_key stri
 SEED = [
     ("c1", "project:atlas", "SCHEDULED_FOR", "topic:2026-05-03", "confluence", "2026-02-01T00:00:00Z", 0.8, 0.55, 0.0),
     ("c2", "project:atlas", "SCHEDULED_FOR", "topic:2026-07-12", "linear", "2026-04-01T00:00:00Z", 1.0, 0.8, 0.0),
-    ("c3", "project:atlas", "OWNED_BY", "person:sam-ratnaparkhi", "jira", "2026-03-01T00:00:00Z", 1.0, 0.8, 0.0),
-    ("c4", "project:atlas", "OWNED_BY", "person:wei-chen", "slack", "2026-02-02T00:00:00Z", 0.5, 0.55, 1.0),
-    ("c5", "person:priya-nair", "WORKS_ON", "project:atlas", "slack", None, 0.5, 0.55, 0.0),
+    ("c3", "project:atlas", "OWNED_BY", "person:sam-okonkwo", "jira", "2026-03-01T00:00:00Z", 1.0, 0.8, 0.0),
+    ("c4", "project:atlas", "OWNED_BY", "person:wei-zhang", "slack", "2026-02-02T00:00:00Z", 0.5, 0.55, 1.0),
+    ("c5", "person:priya-rao", "WORKS_ON", "project:atlas", "slack", None, 0.5, 0.55, 0.0),
     ("c6", "project:borealis", "STATUS_IS", "topic:done", "slack", "2026-01-01T00:00:00Z", 0.0, 0.0, 1.0),
 ]
-NODES = [("project:atlas", "Atlas Migration", "Project"), ("project:borealis", "Borealis", "Project"), ("person:sam-ratnaparkhi", "Sam Ratnaparkhi", "Person"), ("person:wei-chen", "Wei Chen", "Person"), ("person:priya-nair", "Priya Nair", "Person")]
+NODES = [("project:atlas", "Atlas Migration", "Project"), ("project:borealis", "Borealis", "Project"), ("person:sam-okonkwo", "Sam Okonkwo", "Person"), ("person:wei-zhang", "Wei Zhang", "Person"), ("person:priya-rao", "Priya Rao", "Person")]
 
 
 def test_one_winner_and_statuses(spark):
@@ -53,7 +53,7 @@ def test_questions_and_gates(spark):
     n = spark.createDataFrame(NODES, "key string, name string, label string")
     q = [("1", "Who owns the Atlas Migration?"), ("2", "When does Atlas Migration launch?"), ("3", "When does Atlas Migration launch as of 2026-03-01?"), ("4", "What is the budget of Atlas Migration?"), ("5", "Who owns Zephyr?"), ("6", "What is the status of Borealis?"), ("7", "Does Borealis sing?"), ("8", None)]
     got = {r["question_id"]: r for r in ask.ask(spark.createDataFrame(q, "question_id string, question string"), c, n).collect()}
-    assert got["1"]["text"] == "Atlas Migration : owned by : Sam Ratnaparkhi"
+    assert got["1"]["text"] == "Atlas Migration : owned by : Sam Okonkwo"
     assert "2026-07-12" in got["2"]["text"] and "2026-05-03" in got["3"]["text"]
     assert (got["4"]["gate"], got["5"]["gate"], got["6"]["gate"], got["7"]["gate"]) == ("coverage", "entity", "sufficiency", "coverage")
     assert "no budget is recorded" in got["4"]["text"] and got["8"]["gate"] == "entity"
@@ -66,11 +66,11 @@ def test_similarities():
 
 
 def test_text_functions(spark):
-    rows = [("José García-López",), ("  @Wei.Chen ",), ("Straße ﬁ",), ("",), (None,), ("漢字",)]
+    rows = [("José García-López",), ("  @Wei.Zhang ",), ("Straße ﬁ",), ("",), (None,), ("漢字",)]
     got = spark.createDataFrame(rows, "x string").select(T.norm(F.col("x")), T.slugify(F.col("x"))).collect()
-    assert [r[0] for r in got][:2] == ["jose garcia lopez", "wei chen"] and [r[1] for r in got][3:] == ["unknown"] * 3
-    keys = spark.createDataFrame([("S. Ratnaparkhi", "sam.ratnaparkhi@x.com")], "s string, e string").select(T.blocking_keys(F.col("s"), F.col("e"))).first()[0]
-    assert {"email:sam.ratnaparkhi@x.com", "li:sratnaparkhi", "lastpre:ratn", "tok:samuel"} <= set(keys)
+    assert [r[0] for r in got][:2] == ["jose garcia lopez", "wei zhang"] and [r[1] for r in got][3:] == ["unknown"] * 3
+    keys = spark.createDataFrame([("S. Okonkwo", "sam.okonkwo@x.com")], "s string, e string").select(T.blocking_keys(F.col("s"), F.col("e"))).first()[0]
+    assert {"email:sam.okonkwo@x.com", "li:sokonkwo", "lastpre:okon", "tok:samuel"} <= set(keys)
 
 
 DOC = "doc_id string, tool string, title string, body string, author_raw string, author_email string, participants_raw array<string>"
@@ -78,17 +78,17 @@ DOC = "doc_id string, tool string, title string, body string, author_raw string,
 
 def test_people_merge_and_traps_stay_apart(spark):
     docs = [
-        ("1", "jira", "t", "", "Sam Ratnaparkhi", "sam.ratnaparkhi@x.com", ["soham-r"]),
-        ("2", "jira", "t", "", "S. Ratnaparkhi", "sam.ratnaparkhi@x.com", []),
-        ("3", "jira", "t", "ask Nandakumar", "Priya Nair", "priya.nair@x.com", []),
-        ("4", "jira", "t", "", "Priya Nandakumar", "priya.nandakumar@x.com", [None, ""]),
+        ("1", "jira", "t", "", "Sam Okonkwo", "sam.okonkwo@x.com", ["sammy-o"]),
+        ("2", "jira", "t", "", "S. Okonkwo", "sam.okonkwo@x.com", []),
+        ("3", "jira", "t", "ask Raghavan", "Priya Rao", "priya.rao@x.com", []),
+        ("4", "jira", "t", "", "Priya Raghavan", "priya.raghavan@x.com", [None, ""]),
         ("5", "jira", "t", "", None, None, None),
     ]
-    xc = spark.createDataFrame([("Sam Ratnaparkhi", "Person", "Atlas", "Project", "jira", "1")], "subject_surface string, subject_type string, object_surface string, object_type string, source_tool string, source_doc_id string")
+    xc = spark.createDataFrame([("Sam Okonkwo", "Person", "Atlas", "Project", "jira", "1")], "subject_surface string, subject_type string, object_surface string, object_type string, source_tool string, source_doc_id string")
     got = resolve.resolve(spark.createDataFrame(docs, DOC), xc).collect()
     of = {s: r["cluster"] for r in got for s in r["surfaces"]}
-    assert of["Sam Ratnaparkhi"] == of["S. Ratnaparkhi"]
-    assert of["Priya Nair"] != of["Priya Nandakumar"]
+    assert of["Sam Okonkwo"] == of["S. Okonkwo"]
+    assert of["Priya Rao"] != of["Priya Raghavan"]
 
 
 def test_vetoes_hold_inside_clusters(spark):
