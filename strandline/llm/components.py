@@ -75,3 +75,10 @@ def groups(edges: DataFrame) -> DataFrame:
 
 def found(merges: DataFrame, clusters: DataFrame) -> DataFrame:
     return groups(match_edges(merges, clusters))
+
+
+FOUND_SQL = """WITH RECURSIVE p AS (SELECT left_surface AS a, right_surface AS b FROM merges WHERE veto IS NULL AND score >= 0.75 AND NOT isnan(score)
+  UNION SELECT m[1], x FROM (SELECT list_sort(list_distinct(list_filter(surfaces, lambda s: s IS NOT NULL))) AS m FROM clusters), unnest(m) t(x)),
+e AS (SELECT a, b FROM p WHERE a <> b UNION SELECT b, a FROM p WHERE a <> b),
+r(s, t) AS (SELECT a, b FROM e UNION SELECT r.s, e.b FROM r JOIN e ON r.t = e.a)
+SELECT s AS surface, min(t) AS group_surface FROM r GROUP BY s"""

@@ -145,3 +145,12 @@ def leaked_items(documents: DataFrame, items: DataFrame, m: int = 10) -> DataFra
     n = found(documents, items, m).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
     ids = items.select(F.col("item_id").cast("bigint").alias("item_id"), "category").distinct()
     return ids.join(n, "item_id", "left").select("item_id", "category", F.coalesce("n_docs", F.lit(0)).cast("bigint").alias("n_docs"))
+
+
+_WORDS_SQL = r"""regexp_extract_all(lower(regexp_replace(regexp_replace({x}, '[\x{{00AD}}\x{{200B}}-\x{{200F}}\x{{2060}}-\x{{2064}}\x{{FEFF}}]', '', 'g'), '(\pL)-[ \t]*\r?\n(?:[ \t]*[>|])*[ \t]*(\pL)', '\1\2', 'g')), '[\pL\pN]+')"""
+FOUND_SQL = f"""WITH i AS (SELECT item_id, {_WORDS_SQL.format(x="text")} AS w FROM eval_items WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 9], ' ') AS s FROM i, unnest(range(1, len(w) - 8)) t(k)),
+d AS (SELECT doc_id, {_WORDS_SQL.format(x="text")} AS w FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, array_to_string(w[k:k + 9], ' ') AS s FROM d, unnest(range(1, len(w) - 8)) t(k))
+SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (s)"""
+LEAKED_SQL = f"""SELECT e.item_id, e.category, count(DISTINCT f.doc_id) AS n_docs FROM (SELECT DISTINCT item_id, category FROM eval_items) e LEFT JOIN ({FOUND_SQL}) f ON e.item_id = f.item_id GROUP BY ALL"""

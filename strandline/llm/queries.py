@@ -27,4 +27,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": survivors.FOUND_SQL, "p1_best_record": survivors.BEST_SQL}
+    return {
+        "p1_found": survivors.FOUND_SQL,
+        "p1_best_record": survivors.BEST_SQL,
+        "p3_found": components.FOUND_SQL,
+        "p9_found": leakage.FOUND_SQL,
+        "p9_leaked_items": leakage.LEAKED_SQL,
+        "p10_found": sharedspans.FOUND_SQL,
+    }

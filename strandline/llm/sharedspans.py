@@ -150,3 +150,10 @@ def found(documents: DataFrame, length: int = 200) -> DataFrame:
     whole = texts.where("several").select("cid", F.length("text").cast("bigint").alias("n"))
     per_class = parts.unionByName(whole).groupBy("cid").agg(F.max("n").alias("shared_chars"))
     return members.join(per_class, "cid").select("doc_id", "shared_chars")
+
+
+FOUND_SQL = """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200),
+w AS (SELECT doc_id, i, substr(text, i, 200) AS s FROM d, unnest(range(1, length(text) - 198)) t(i)),
+m AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+x AS (SELECT doc_id, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM w SEMI JOIN m USING (s))
+SELECT doc_id, sum(coalesce(least(200, gap), 200))::BIGINT AS shared_chars FROM x GROUP BY doc_id"""
