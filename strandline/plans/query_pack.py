@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text as T
 from strandline.functions.time import parse_ts, parse_ts_sql
-from strandline.operators import align, arbitrate, evaluate, graph, induce, resolve
+from strandline.operators import align, arbitrate, build, evaluate, graph, induce, resolve
 from strandline.plans import ask
 from strandline.plans.ontology import HEDGES, PREDICATES, Schema
 from strandline.runtime import materialize, table
@@ -404,6 +404,30 @@ def people_by_mentions(s: SparkSession, d: str) -> DataFrame:
     return x.orderBy(F.col("mentions").desc(), "canonical").limit(50)
 
 
+def _ref_sql(surface: str, kind: str) -> str:
+    slug = T.slug_sql(surface)
+    return f"CASE {kind} WHEN 'Person' THEN 'person:' || {slug} WHEN 'Artifact' THEN CASE WHEN starts_with({surface}, 'artifact:') THEN {surface} ELSE 'artifact:' || source_tool || ':' || {slug} END ELSE lower({kind}) || ':' || {slug} END"
+
+
+_HEDGED = " OR ".join(f"contains(lower(concat_ws(' ', evidence_span, body)), '{m}')" for m in HEDGES)
+
+
+@query("built_claims", f"""WITH d AS (SELECT 'artifact:' || tool || ':' || {T.slug_sql('doc_id')} AS dk, arg_max(body, loaded_at) AS body FROM raw_docs WHERE doc_id IS NOT NULL GROUP BY 1),
+x AS (SELECT *, 'artifact:' || source_tool || ':' || {T.slug_sql('source_doc_id')} AS sak, {_ref_sql('subject_surface', 'subject_type')} AS sk, {_ref_sql('object_surface', 'object_type')} AS ok FROM extracted_claims WHERE subject_surface IS NOT NULL AND object_surface IS NOT NULL AND predicate IS NOT NULL)
+SELECT 'claim:' || left(sha256(concat_ws('|', sk, predicate, ok, coalesce(sak, ''), coalesce(asserted_at, ''))), 16) AS claim_key, sk AS subject_key, predicate, ok AS object_key, max(CASE WHEN {_HEDGED} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS hedging FROM x LEFT JOIN d ON sak = dk GROUP BY ALL""")
+def built_claims(s: SparkSession, d: str) -> DataFrame:
+    """Claims keyed by their own surfaces, as before any person is resolved."""
+    none = s.createDataFrame([], "surface_norm string, key string, mentions bigint, emails array<string>")
+    x = build.build_claims(table(s, d, "extracted_claims"), table(s, d, "raw_docs"), none)
+    return x.select("claim_key", "subject_key", "predicate", "object_key", "hedging")
+
+
+@query("built_graph")
+def built_graph(s: SparkSession, d: str) -> DataFrame:
+    """The whole build over documents and statements: counts of nodes, edges and claims."""
+    return build.stats(build.build(table(s, d, "raw_docs"), table(s, d, "extracted_claims")))
+
+
 # --- time and evaluation -----------------------------------------------------------------------------
 @query("parsed_stamps", f"SELECT DISTINCT asserted_at, {parse_ts_sql('asserted_at')} AS us FROM claims WHERE asserted_at IS NOT NULL")
 def parsed_stamps(s: SparkSession, d: str) -> DataFrame:

@@ -150,3 +150,20 @@ def test_induction_and_metrics(spark):
     v = spark.createDataFrame([("k", float(i)) for i in range(1, 101)] + [("k", None)], "k string, v double")
     assert evaluate.index_percentiles(v, "k", "v").first()[1:] == (100, 51.0, 95.0)
     assert evaluate.abstention(spark.createDataFrame([], "should_abstain boolean, abstained boolean")).first()["precision"] == 1.0
+
+
+def test_threads_citations_and_build(spark):
+    from strandline.operators import build
+
+    rec = '{"Message": {"User": {"text": "hi", "userId": "u1"}}, "ThreadReplies": [{"User": {"userId": "u2", "text": "yes"}}, {"User": null}]}'
+    t = build.thread_records(spark.createDataFrame([(rec,), (None,)], "record string")).collect()
+    assert (t[0]["body"], t[0]["participants"]) == ("hi yes", ["u2"]) and t[1]["body"] == ""
+    d = spark.createDataFrame([("a", "see /docs/b and /docs/a and /docs/zz"), ("b", None), (None, "/docs/a")], "doc_id string, body string")
+    assert [tuple(r) for r in build.citations(d).collect()] == [("a", "b")]
+    docs = spark.createDataFrame([("E-1", "jira", "Fix", "maybe later", "Sam Okonkwo", "sam.okonkwo@x.com", ["S. Okonkwo"], ["eng"])], DOC + ", acl_groups array<string>")
+    xc = spark.createDataFrame([("artifact:jira:e-1", "Artifact", "ASSIGNED_TO", "S. Okonkwo", "Person", "jira", "E-1", "2026-01-01", None, "span", "A")] * 2, "subject_surface string, subject_type string, predicate string, object_surface string, object_type string, source_tool string, source_doc_id string, asserted_at string, confidence double, evidence_span string, tier string")
+    g = build.build(docs, xc)
+    c = g["claims"].collect()
+    assert len(c) == 1 and c[0]["object_key"] == c[0]["asserted_by_key"] and c[0]["hedging"] == 1.0 and c[0]["authority"] == 1.0 and c[0]["specificity"] == 0.8
+    assert {"VISIBLE_TO", "ABOUT", "OBJECT", "SOURCED_FROM", "ASSERTED_BY", "ASSIGNED_TO", "ALIAS_OF"} == {r["type"] for r in g["edges"].select("type").distinct().collect()}
+    assert build.people(g).count() >= 1 and build.stats(g).count() > 5
