@@ -172,13 +172,28 @@ def linked_paths(texts: list[str | None]) -> tuple[list[tuple[int, list[str], li
     return objects, arrays
 
 
+def _pieces(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about `most` characters, so that the index arrays stay small."""
+    first = total = 0
+    for i, t in enumerate(texts):
+        if total and total + len(t or "") > most:
+            yield first, i
+            first, total = i, 0
+        total += len(t or "")
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        tbl, tool, owner = b["tbl"].tolist(), b["tool"].tolist(), b["owner_id"].tolist()
-        objects, arrays = linked_paths(b["record"].tolist())
-        seen = sorted({(tbl[i], tool[i] or "", kp) for i, kp in arrays})
-        rows = [("array", t, tl, None, None, [kp]) for t, tl, kp in seen] + [("object", tbl[i], tool[i] or "", owner[i], segs, alts) for i, segs, alts in objects]
-        yield pd.DataFrame(rows, columns=["kind", "tbl", "tool", "owner_id", "segs", "alts"])
+        records = b["record"].tolist()
+        for lo, hi in _pieces(records):
+            part = b.iloc[lo:hi]
+            tbl, tool, owner = part["tbl"].tolist(), part["tool"].tolist(), part["owner_id"].tolist()
+            objects, arrays = linked_paths(records[lo:hi])
+            seen = sorted({(tbl[i], tool[i] or "", kp) for i, kp in arrays})
+            rows = [("array", t, tl, None, None, [kp]) for t, tl, kp in seen] + [("object", tbl[i], tool[i] or "", owner[i], segs, alts) for i, segs, alts in objects]
+            yield pd.DataFrame(rows, columns=["kind", "tbl", "tool", "owner_id", "segs", "alts"])
 
 
 def records_of(raw_docs: DataFrame, sources: DataFrame) -> DataFrame:
