@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,6 +196,36 @@ def envelope_jira(s: SparkSession, d: str) -> DataFrame:
     return records.envelope(r, "jira").select("doc_id", "kind", "title", "author_raw", "acl_groups")
 
 
+def _side_sql(path: str) -> str:
+    return "self" if path == "__self__" else f"json_extract_string(j, '$.{path}')"
+
+
+_FALSY = "('', '0', '0.0', 'false', '[]', '{}', 'null')"
+_RULES = "\nUNION ALL ".join(f"SELECT tool, doc_id, {_side_sql(subj)} AS s, '{st}' AS st, '{p}' AS p, {_side_sql(obj)} AS o, '{ot}' AS ot FROM k WHERE tool = '{t}'" for t, x in Schema().sources.items() for subj, st, p, obj, ot, _ in x["rules"])
+
+
+@query("field_map_claims_all", f"""WITH v AS (SELECT DISTINCT doc_id, tool, structured::JSON AS j FROM raw_docs WHERE doc_id IS NOT NULL AND structured IS NOT NULL AND json_valid(structured) AND json_type(structured) = 'OBJECT'),
+k AS (SELECT *, 'artifact:' || tool || ':' || {T.slug_sql('doc_id')} AS self FROM v),
+r AS ({_RULES})
+SELECT tool AS source_tool, doc_id AS source_doc_id, s AS subject_surface, st AS subject_type, p AS predicate, o AS object_surface, ot AS object_type FROM r WHERE coalesce(trim(s), '') NOT IN {_FALSY} AND coalesce(trim(o), '') NOT IN {_FALSY}""")
+def field_map_claims_all(s: SparkSession, d: str) -> DataFrame:
+    """The rules of every tool of the schema over all of raw_docs."""
+    docs = table(s, d, "raw_docs").where("try_parse_json(structured) is not null").select("doc_id", "tool", "structured", "created_at", "updated_at").dropDuplicates(["doc_id", "tool", "structured"])
+    return records.field_map_claims(docs).select("source_tool", "source_doc_id", "subject_surface", "subject_type", "predicate", "object_surface", "object_type")
+
+
+@query("envelope_all")
+def envelope_all(s: SparkSession, d: str) -> DataFrame:
+    """Envelopes of every tool of the schema; the id, which the given records lack, is written into them."""
+    docs, parts = table(s, d, "raw_docs").where("doc_id is not null"), []
+    for tool, x in Schema().sources.items():
+        head = F.regexp_replace(F.to_json(F.struct(F.col("doc_id").alias(x["doc_id"]))), r"\}$", "")
+        rest = F.regexp_replace("structured", r"^\s*\{\s*", "")
+        record = F.when(F.col("structured").rlike(r"^\s*\{"), F.concat(head, F.when(rest.startswith("}"), F.lit("")).otherwise(F.lit(", ")), rest))
+        parts.append(records.envelope(docs.where(F.col("tool") == tool).select(record.alias("record")), tool).select("tool", "doc_id", "kind", "title", "author_raw", "acl_groups"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("artifact_rows", f"SELECT DISTINCT 'artifact:' || tool || ':' || {T.slug_sql('doc_id')} AS key, left(coalesce(CASE WHEN trim(title) <> '' THEN title END, doc_id), 300) AS name, left(coalesce(body, ''), 500) AS excerpt, kind, coalesce(CASE WHEN trim(updated_at) <> '' THEN updated_at END, created_at, '') AS updated FROM raw_docs WHERE doc_id IS NOT NULL")
 def artifact_rows(s: SparkSession, d: str) -> DataFrame:
     return records.artifact_rows(table(s, d, "raw_docs")).select("key", "name", "excerpt", "kind", "updated").distinct()

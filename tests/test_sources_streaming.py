@@ -1,6 +1,8 @@
 import json
 
 from strandline.operators.arbitrate import arbitrate, latest_claims
+from strandline.plans import query_pack
+from strandline.plans.ontology import SOURCES
 from strandline.sources import files, records
 from strandline.streaming import incremental
 
@@ -48,3 +50,26 @@ def test_stream_equals_batch(spark, data, tmp_path):
     got = incremental.current(str(tmp_path / "out"), spark).select("claim_key", "score", "status")
     want = arbitrate(latest_claims(c)).select("claim_key", "score", "status")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_rules_and_envelopes_of_every_tool(spark, tmp_path):
+    def nested(path):
+        head, _, rest = path.partition(".")
+        return {head: nested(rest) if rest else f"v {path}"}
+
+    def merge(a, b):
+        return {k: merge(a[k], b[k]) if k in a and k in b and isinstance(a[k], dict) else b.get(k, a.get(k)) for k in {**a, **b}}
+
+    rows, want = [], set()
+    for tool, x in SOURCES.items():
+        record = {}
+        for subj, _, p, obj, _, _ in x["rules"]:
+            for path in {subj, obj} - {"__self__"}:
+                record = merge(record, nested(path))
+            want.add((tool, p))
+        rows += [(f"{tool}-1", tool, json.dumps(record), "2026-01-01", ""), (f'{tool}-"2"', tool, " { } ", "2026-01-01", ""), (None, tool, json.dumps(record), None, None)]
+    spark.createDataFrame(rows, "doc_id string, tool string, structured string, created_at string, updated_at string").write.parquet(str(tmp_path / "raw_docs.parquet"))
+    got = query_pack.QUERIES["field_map_claims_all"](spark, str(tmp_path)).collect()
+    assert {(r["source_tool"], r["predicate"]) for r in got} == want and len(want) == len(got)
+    envelopes = query_pack.QUERIES["envelope_all"](spark, str(tmp_path)).collect()
+    assert {(r["tool"], r["doc_id"]) for r in envelopes} == {(t, i) for t in SOURCES for i in (f"{t}-1", f'{t}-"2"')} and len(envelopes) == 18
