@@ -6,8 +6,9 @@
 2. Fresh lines of six words or more are sentences with a 64-bit SimHash over their
    pairs of neighbouring words. Equal sentences form a class. The fingerprint is
    cut into 6 blocks; each of the 20 threes of blocks keys one Hamming partition
-   table, so fingerprints within 3 bits share a key in some table. Candidates
-   are verified by Hamming and by edit distance.
+   table, so fingerprints within 3 bits share a key in some table. One changed letter
+   moves a fingerprint further than that, so sentences that share one of 40 MinHash keys
+   over character trigrams are candidates too. All are verified by edit distance.
 3. A run of two or more neighbouring sentences that all near-match one earlier mail of
    another sender is inherited, although nothing marks it, and is removed; so
    are closing paragraphs' lines that recur through a sender's mails. Sentences used by
@@ -230,16 +231,78 @@ def _keys(fp: Column) -> Column:
     return F.array(*[F.lit(t << 33).cast("bigint") + F.shiftleft(blocks[i], 22) + F.shiftleft(blocks[j], 11) + blocks[k] for t, (i, j, k) in enumerate(combinations(range(6), 3))])
 
 
+_BANDS, _ROWS = 40, 4
+_ODD = np.random.default_rng(57).integers(1, 2**62, _BANDS * _ROWS + 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    for k in _ODD[:2]:
+        x = (x ^ (x >> np.uint64(31))) * k
+    return x ^ (x >> np.uint64(32))
+
+
+def gram_keys(sentence: str) -> tuple[list[int], list[int]]:
+    """MinHash keys over character trigrams, one a band, and 256 parity bits of character bigrams."""
+    c = np.frombuffer(sentence.ljust(3).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    two, three = _mix(c[:-1] * _ODD[2] + c[1:] * _ODD[3]), _mix(c[:-2] * _ODD[2] + c[1:-1] * _ODD[3] + c[2:] * _ODD[4])
+    least = ((three[:, None] * _ODD[None, 5:]) >> np.uint64(20)).min(axis=0).reshape(_BANDS, _ROWS)
+    band = np.arange(_BANDS, dtype=np.uint64)
+    for k in range(_ROWS):
+        band = _mix(band + least[:, k])
+    parity = np.packbits((np.bincount((two >> np.uint64(40)).astype(np.int64) % 256, minlength=256) & 1).astype(np.uint8)).view(np.int64)
+    return band.astype(np.int64).tolist(), parity.tolist()
+
+
+def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        got = [gram_keys(x) for x in b["sentence"]]
+        yield pd.DataFrame({"sid": b["sid"], "n": b["sentence"].str.len(), "keys": [g[0] for g in got], **{c: [g[1][i] for g in got] for i, c in enumerate("pquv")}})
+
+
+def _alike(batches: Iterator[pd.DataFrame], edits: float) -> Iterator[pd.DataFrame]:
+    """Pairs of rows with one key, sorted by it, whose lengths and bigrams allow the edit limit."""
+    rest = None
+    for b in batches:
+        rows = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        open_from = int(np.searchsorted(rows["key"].to_numpy(), rows["key"].iloc[-1])) if len(rows) else 0
+        yield from _alike_rows(rows.iloc[:open_from], edits)
+        rest = rows.iloc[open_from:]
+    if rest is not None:
+        yield from _alike_rows(rest, edits)
+
+
+def _alike_rows(rows: pd.DataFrame, edits: float) -> Iterator[pd.DataFrame]:
+    key, sid, n = (rows[c].to_numpy() for c in ("key", "sid", "n"))
+    parity = rows[list("pquv")].to_numpy()
+    i = np.arange(len(rows))
+    for lag in range(1, len(rows)):
+        i = i[: np.searchsorted(i, len(rows) - lag)]
+        i = i[key[i] == key[i + lag]]
+        if not len(i):
+            return
+        j = i + lag
+        most = np.ceil(np.maximum(n[i], n[j]) * edits)
+        changed = np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)).sum(axis=1)
+        ok = (np.abs(n[i] - n[j]) <= most) & (changed <= most * 4)
+        x, y = sid[i[ok]], sid[j[ok]]
+        yield pd.DataFrame({"s": np.minimum(x, y), "t": np.maximum(x, y)})
+
+
 def near_classes(classes: DataFrame, bits: int = 3, edits: float = 0.1) -> DataFrame:
-    """(a, b): pairs of different sentences within the Hamming and edit limits, both ways.
+    """(a, b): pairs of different sentences within the edit limit, both ways.
 
-    classes: sentence, fp, stock. Only sentences that are no stock phrases are paired.
+    classes: sentence, fp, stock. Only sentences that are no stock phrases are paired. Candidates
+    have fingerprints within `bits`, or share a MinHash key and can by their bigrams be
+    within the edit limit (an edit changes at most four bigrams).
     """
     own = classes.where("not stock").select("sentence", "fp", F.xxhash64("sentence").alias("sid"))
     keyed = own.select("sid", "fp", F.explode(_keys(F.col("fp"))).alias("key"))
     x, y = keyed.alias("x"), keyed.alias("y")
     close = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close & (F.col("x.sid") < F.col("y.sid"))).select(F.col("x.sid").alias("s"), F.col("y.sid").alias("t")).distinct()
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close & (F.col("x.sid") < F.col("y.sid"))).select(F.col("x.sid").alias("s"), F.col("y.sid").alias("t"))
+    grams = own.select("sid", "sentence").mapInPandas(_gram_rows, "sid bigint, n int, keys array<bigint>, p bigint, q bigint, u bigint, v bigint").select("sid", "n", *"pquv", F.explode("keys").alias("key"))
+    alike = grams.repartition("key").sortWithinPartitions("key").mapInPandas(lambda batches: _alike(batches, edits), "s bigint, t bigint")
+    pairs = pairs.unionByName(alike).distinct()
     pairs = pairs.join(own.select(F.col("sid").alias("s"), F.col("sentence").alias("a")), "s").join(own.select(F.col("sid").alias("t"), F.col("sentence").alias("b")), "t")
     limit = F.ceil(F.greatest(F.length("a"), F.length("b")) * edits).cast("int")
     pairs = pairs.where((F.col("a") != F.col("b")) & (F.levenshtein("a", "b") <= limit)).select("a", "b")

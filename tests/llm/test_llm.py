@@ -99,6 +99,7 @@ def test_components_of_chains_stars_and_noise(spark):
 
 
 # --- 2 mail ---------------------------------------------------------------------------------------
+MAIL_ROWS = "doc_id string, kind string, body string, author_email string, author_raw string, loaded_at timestamp"
 MAIL = """Hi Anna,
 
 The budget line was moved to week 12.
@@ -165,6 +166,28 @@ def test_hamming_tables_miss_nothing(spark):
     assert c.select(F.size(mailtext._keys(F.col("fp")))).first()[0] == 20
 
 
+def test_edited_sentences_are_near(spark):
+    words = ["".join(rnd.choices(string.ascii_lowercase, k=rnd.randint(2, 9))) for _ in range(400)]
+    base = [" ".join(rnd.choices(words, k=rnd.randint(6, 20))) for _ in range(300)]
+
+    def edited(s):
+        for _ in range(rnd.randint(1, len(s) // 10)):
+            i = rnd.randrange(len(s))
+            s = s[:i] + rnd.choice(("", "x", s[i] + "y")) + s[i + 1 :]
+        return " ".join(s.split())
+
+    pairs = {(s, e) for s in base if (e := edited(s)) != s}
+    c = spark.createDataFrame([(x, mailtext.simhash(x.split()), False) for x in {x for p in pairs for x in p}], "sentence string, fp bigint, stock boolean")
+    got = {tuple(r) for r in mailtext.near_classes(c).collect()}
+    assert len(pairs & got) >= 0.99 * len(pairs)
+
+
+def test_really_edited_copies_are_inherited(spark):
+    a = "The first shared sentence describes the rollout plan for week twelve in detail.\nThe second shared sentence lists the owners of the seven remaining open tasks."
+    m = [("m1", "email", a, "a@x.example", "A", DAY), ("m2", "email", "My own words.\n" + a.replace("seven", "eleven").replace("rollout", "rolout"), "b@x.example", "B", DAY + dt.timedelta(days=1))]
+    assert rows(mailtext.found(spark.createDataFrame(m, MAIL_ROWS))) == {("m1", 1), ("m1", 2), ("m2", 1)}
+
+
 # --- 4 transcripts -----------------------------------------------------------------------------------
 def test_turns():
     body = "[00:00:05] ANNA LEE: Hello (laughs) um, all.\n[00:00:20] OB: Note: the plan (the new one, I mean) is\nready. [Music]\n[00:00:12] anna: uh.\n[00:00:15] Anna L.: More words."
