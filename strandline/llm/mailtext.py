@@ -316,24 +316,31 @@ def mails_of(raw_docs: DataFrame) -> DataFrame:
 
 
 def inherited_lines(fresh: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of sentences in runs taken from an earlier mail of another sender."""
+    """(doc_id, line_no) of sentences in runs taken from an earlier mail of another sender.
+
+    A line is in a run of two or more if it and a neighbour near-match the same mail; so
+    pairs of neighbours are looked up among the pairs of sentences of all mails. Of mails
+    with the same pair the first two senders' earliest loads tell whether any is earlier and another's.
+    """
     s = fresh.where("fp is not null").select("doc_id", "sender", "at", "line_no", "nth", "sentence", "fp")
     by_sender = s.groupBy("sentence", "sender").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
     classes = materialize(by_sender.groupBy("sentence").agg(F.min("fp").alias("fp"), (F.count(F.lit(1)) >= 3).alias("stock"), F.sum("n").alias("n"), (F.count(F.lit(1)) > 1).alias("several")), "sentences")
     near = near_classes(classes)
     # a class matches itself only where two senders wrote it
     same = classes.where("several and not stock").select(F.col("sentence").alias("a"), F.col("sentence").alias("b"))
-    links = materialize(near.unionByName(same), "links")
-    late = s.join(links.withColumnRenamed("a", "sentence"), "sentence")
-    # the first mail of each sender with a sentence stands for its repeats, so repeats never multiply
-    first = s.groupBy("sentence", "sender").agg(F.min(F.struct("at", "doc_id", "nth")).alias("f"))
-    early = first.select(F.col("f.doc_id").alias("src"), F.col("sender").alias("src_sender"), F.col("f.at").alias("src_at"), F.col("f.nth").alias("src_nth"), F.col("sentence").alias("b"))
-    hits = late.join(early, "b").where("src_at < at and src_sender <> sender").select("doc_id", "src", "line_no", "nth", "src_nth").distinct()
-    w = Window.partitionBy("doc_id", "src").orderBy("nth", "src_nth")
-    step = F.when((F.col("nth") - F.lag("nth").over(w) <= 1), 0).otherwise(1)
-    runs = hits.withColumn("step", step).withColumn("run", F.sum("step").over(w))
-    size = runs.groupBy("doc_id", "src", "run").agg(F.countDistinct("nth").alias("size"), F.collect_set("line_no").alias("lines")).where("size >= 2")
-    return size.select("doc_id", F.explode("lines").alias("line_no")).distinct()
+    links = materialize(near.unionByName(same).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")), "links")
+    linked = links.select(F.col("a").alias("c")).distinct()
+    s = materialize(s.withColumn("c", F.xxhash64("sentence")).join(linked, "c").select("doc_id", "sender", "at", "line_no", "nth", "c"), "linked")
+    w = Window.partitionBy("doc_id").orderBy("nth")
+    late = s.select("doc_id", "sender", "at", F.col("line_no").alias("l1"), F.col("c").alias("c1"), *[F.lead(x).over(w).alias(y) for x, y in (("line_no", "l2"), ("c", "c2"), ("nth", "nth2"))], "nth").where("nth2 = nth + 1").drop("nth", "nth2")
+    step = lambda i: links.select(F.col("a").alias(f"c{i}"), F.col("b").alias(f"b{i}"))
+    wanted = materialize(late.join(step(1), "c1").join(step(2), "c2").withColumn("x", F.least("b1", "b2")).withColumn("y", F.greatest("b1", "b2")), "wanted")
+    held = s.groupBy("doc_id", "sender", "at").agg(F.collect_set("c").alias("cs"))
+    held = held.select("sender", "at", "cs", F.explode("cs").alias("x")).select("sender", "at", "x", F.explode("cs").alias("y")).where("x <= y")
+    held = held.join(wanted.select("x", "y").distinct(), ["x", "y"], "left_semi").groupBy("x", "y", "sender").agg(F.min("at").alias("at"))
+    first = held.withColumn("rn", F.row_number().over(Window.partitionBy("x", "y").orderBy("at", "sender"))).where("rn <= 2").select("x", "y", F.col("sender").alias("src_sender"), F.col("at").alias("src_at"))
+    hits = wanted.join(first, ["x", "y"]).where("src_at < at and src_sender <> sender")
+    return hits.select("doc_id", F.explode(F.array("l1", "l2")).alias("line_no")).distinct()
 
 
 def boilerplate_lines(fresh: DataFrame, at_least: int = 3, share: float = 0.2) -> DataFrame:

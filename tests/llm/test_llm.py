@@ -188,6 +188,19 @@ def test_really_edited_copies_are_inherited(spark):
     assert rows(mailtext.found(spark.createDataFrame(m, MAIL_ROWS))) == {("m1", 1), ("m1", 2), ("m2", 1)}
 
 
+S1 = "The first shared sentence describes the rollout plan for week twelve in detail."
+S2 = "The second shared sentence lists the owners of the seven remaining open tasks."
+
+
+def mails(spark, *mails):
+    return spark.createDataFrame([(f"m{i}", "email", body, f"{who}@x.example", who, DAY + dt.timedelta(days=i)) for i, (who, body) in enumerate(mails)], MAIL_ROWS)
+
+
+def test_every_earlier_mail_of_a_sentence_counts(spark):
+    got = rows(mailtext.found(mails(spark, ("a", S1), ("a", S1 + "\n" + S2), ("b", S1 + "\n" + S2))))
+    assert got == {("m0", 1), ("m1", 1), ("m1", 2)}
+
+
 # --- 4 transcripts -----------------------------------------------------------------------------------
 def test_turns():
     body = "[00:00:05] ANNA LEE: Hello (laughs) um, all.\n[00:00:20] OB: Note: the plan (the new one, I mean) is\nready. [Music]\n[00:00:12] anna: uh.\n[00:00:15] Anna L.: More words."
