@@ -11,8 +11,9 @@
    over character trigrams are candidates too. All are verified by edit distance.
 3. A run of two or more neighbouring sentences that all near-match one earlier mail of
    another sender is inherited, although nothing marks it, and is removed; so
-   are closing paragraphs' lines that recur through a sender's mails. Sentences used by
-   three or more senders are stock phrases, not inheritance.
+   are closing paragraphs' lines that recur through a sender's mails. Sentences that more
+   senders hold outside of such runs than inside are stock phrases; a run
+   needs two lines that are none. How many senders hold a run doesn't matter.
 
 "Earlier" means loaded earlier; of redelivered rows the first load counts.
 
@@ -323,11 +324,11 @@ def inherited_lines(fresh: DataFrame) -> DataFrame:
     with the same pair the first two senders' earliest loads tell whether any is earlier and another's.
     """
     s = fresh.where("fp is not null").select("doc_id", "sender", "at", "line_no", "nth", "sentence", "fp")
-    by_sender = s.groupBy("sentence", "sender").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
-    classes = materialize(by_sender.groupBy("sentence").agg(F.min("fp").alias("fp"), (F.count(F.lit(1)) >= 3).alias("stock"), F.sum("n").alias("n"), (F.count(F.lit(1)) > 1).alias("several")), "sentences")
+    by_sender = s.groupBy("sentence", "sender").agg(F.min("fp").alias("fp"))
+    classes = materialize(by_sender.groupBy("sentence").agg(F.min("fp").alias("fp"), F.lit(False).alias("stock"), F.count(F.lit(1)).alias("senders")), "sentences")
     near = near_classes(classes)
     # a class matches itself only where two senders wrote it
-    same = classes.where("several and not stock").select(F.col("sentence").alias("a"), F.col("sentence").alias("b"))
+    same = classes.where("senders > 1").select(F.col("sentence").alias("a"), F.col("sentence").alias("b"))
     links = materialize(near.unionByName(same).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")), "links")
     linked = links.select(F.col("a").alias("c")).distinct()
     s = materialize(s.withColumn("c", F.xxhash64("sentence")).join(linked, "c").select("doc_id", "sender", "at", "line_no", "nth", "c"), "linked")
@@ -339,8 +340,22 @@ def inherited_lines(fresh: DataFrame) -> DataFrame:
     held = held.select("sender", "at", "cs", F.explode("cs").alias("x")).select("sender", "at", "x", F.explode("cs").alias("y")).where("x <= y")
     held = held.join(wanted.select("x", "y").distinct(), ["x", "y"], "left_semi").groupBy("x", "y", "sender").agg(F.min("at").alias("at"))
     first = held.withColumn("rn", F.row_number().over(Window.partitionBy("x", "y").orderBy("at", "sender"))).where("rn <= 2").select("x", "y", F.col("sender").alias("src_sender"), F.col("at").alias("src_at"))
-    hits = wanted.join(first, ["x", "y"]).where("src_at < at and src_sender <> sender")
-    return hits.select("doc_id", F.explode(F.array("l1", "l2")).alias("line_no")).distinct()
+    hits = materialize(wanted.join(first, ["x", "y"]).where("src_at < at and src_sender <> sender").drop("at", "src_at"), "hits")
+    # a stock phrase stands mostly alone: more senders hold it outside of any shared run than inside
+    ends = F.explode(F.array(F.struct(F.col("sender").alias("who"), F.col("c1").alias("c")), F.struct(F.col("sender").alias("who"), F.col("c2").alias("c")), F.struct(F.col("src_sender").alias("who"), F.col("b1").alias("c")), F.struct(F.col("src_sender").alias("who"), F.col("b2").alias("c"))))
+    inside = hits.select(ends.alias("e")).select("e.who", "e.c").groupBy("c").agg(F.countDistinct("who").alias("inside"))
+    stock = classes.select(F.xxhash64("sentence").alias("c"), "senders").join(inside, "c").where("senders - inside > inside").select("c")
+    kept = [stock.select(F.col("c").alias(x), F.lit(True).alias(f"stock_{x}")) for x in ("c1", "c2", "b1", "b2")]
+    for k in kept:
+        hits = hits.join(k, k.columns[0], "left")
+    # two lines of a run must be no stock phrases; pairs that share a line continue a run
+    free = lambda i: F.when(F.col(f"stock_c{i}").isNull() & F.col(f"stock_b{i}").isNull(), F.col(f"l{i}"))
+    pairs = hits.groupBy("doc_id", "src_sender", "l1", "l2").agg(F.max(free(1)).alias("f1"), F.max(free(2)).alias("f2"))
+    w = Window.partitionBy("doc_id", "src_sender").orderBy("l1")
+    runs = pairs.withColumn("step", F.when(F.col("l1") == F.lag("l2").over(w), 0).otherwise(1)).withColumn("run", F.sum("step").over(w))
+    lines = runs.select("doc_id", "src_sender", "run", F.explode(F.array(F.struct(F.col("l1").alias("l"), F.col("f1").alias("f")), F.struct(F.col("l2").alias("l"), F.col("f2").alias("f")))).alias("e"))
+    held = lines.groupBy("doc_id", "src_sender", "run").agg(F.collect_set("e.l").alias("lines"), F.countDistinct("e.f").alias("free")).where("free >= 2")
+    return held.select("doc_id", F.explode("lines").alias("line_no")).distinct()
 
 
 def boilerplate_lines(fresh: DataFrame, at_least: int = 3, share: float = 0.2) -> DataFrame:

@@ -201,6 +201,15 @@ def test_every_earlier_mail_of_a_sentence_counts(spark):
     assert got == {("m0", 1), ("m1", 1), ("m1", 2)}
 
 
+def test_copies_by_many_senders_are_inherited(spark):
+    stock = ["On Friday I wrote that nothing moves before the audit.", "Latency went above nine hundred in the old portal."]
+    own = [f"Sender {w} has this to say about the {w} {w} matter." for w in ("alpha", "bravo", "delta", "gamma", "kappa", "omega")]
+    alone = [(w, line + "\n" + own[i]) for i, w in enumerate("uvwxyz") for line in stock]
+    both = [("p", stock[0] + "\n" + stock[1]), ("q", stock[0] + "\n" + stock[1])]
+    got = rows(mailtext.found(mails(spark, *[(w, S1 + "\n" + S2) for w in "abcdefg"], *alone, *both)))
+    assert got == {("m0", 1), ("m0", 2)} | {(f"m{i}", n) for i in range(7, 21) for n in (1, 2)}
+
+
 # --- 4 transcripts -----------------------------------------------------------------------------------
 def test_turns():
     body = "[00:00:05] ANNA LEE: Hello (laughs) um, all.\n[00:00:20] OB: Note: the plan (the new one, I mean) is\nready. [Music]\n[00:00:12] anna: uh.\n[00:00:15] Anna L.: More words."
