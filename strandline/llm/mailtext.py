@@ -10,8 +10,9 @@
    moves a fingerprint further than that, so sentences that share one of 40 MinHash keys
    over character trigrams are candidates too. All are verified by edit distance.
 3. A run of two or more neighbouring sentences that all near-match one earlier mail of
-   another sender is inherited, although nothing marks it, and is removed; so
-   are closing paragraphs' lines that recur through a sender's mails. Sentences that more
+   another sender is inherited, although nothing marks it, and is removed; short
+   lines between them go with them if the earlier mail has them; so
+   do trailing blocks that recur through a sender's mails. Sentences that more
    senders hold outside of such runs than inside are stock phrases; a run
    needs two lines that are none. How many senders hold a run doesn't matter.
 
@@ -205,7 +206,7 @@ def simhash(words: list[str]) -> int:
     return int((up.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64))
 
 
-_FRESH = "doc_id string, sender string, at timestamp, line_no bigint, nth bigint, tail boolean, sentence string, fp bigint"
+_FRESH = "doc_id string, sender string, at timestamp, line_no bigint, nth bigint, tail boolean, sentence string, fp bigint, below bigint, under boolean"
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,11 +218,17 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lines = places(body, email, raw if isinstance(raw, str) else None)
             fresh = [x for x in lines if x[1] == "fresh"]
             last = max((x[0] for x in fresh), default=0)
-            for nth, (no, _, text) in enumerate(fresh):
-                w = re.findall(r"[^\W_]+", text.casefold())
+            words = [re.findall(r"[^\W_]+", text.casefold()) for _, _, text in fresh]
+            below, ends = 0, []
+            for w in reversed(words):
+                below = xxhash.xxh3_64_intdigest(f"{below} {' '.join(w)}")
+                ends.append(below - 2**63)
+            under = False
+            for nth, ((no, _, _), w) in enumerate(zip(fresh, words, strict=True)):
                 long = len(w) >= 6
-                rows.append((doc, sender, at, no, nth, no == last, " ".join(w), simhash(w) if long else None))
-        yield pd.DataFrame(rows, columns=["doc_id", "sender", "at", "line_no", "nth", "tail", "sentence", "fp"]).astype({"fp": "Int64"})
+                rows.append((doc, sender, at, no, nth, no == last, " ".join(w), simhash(w) if long else None, ends[-1 - nth], under))
+                under = under or long
+        yield pd.DataFrame(rows, columns=["doc_id", "sender", "at", "line_no", "nth", "tail", "sentence", "fp", "below", "under"]).astype({"fp": "Int64"})
 
 
 def _keys(fp: Column) -> Column:
@@ -323,7 +330,7 @@ def inherited_lines(fresh: DataFrame) -> DataFrame:
     pairs of neighbours are looked up among the pairs of sentences of all mails. Of mails
     with the same pair the first two senders' earliest loads tell whether any is earlier and another's.
     """
-    s = fresh.where("fp is not null").select("doc_id", "sender", "at", "line_no", "nth", "sentence", "fp")
+    s = fresh.where("fp is not null").select("doc_id", "sender", "at", "line_no", "sentence", "fp", F.row_number().over(Window.partitionBy("doc_id").orderBy("nth")).alias("nth"))
     by_sender = s.groupBy("sentence", "sender").agg(F.min("fp").alias("fp"))
     classes = materialize(by_sender.groupBy("sentence").agg(F.min("fp").alias("fp"), F.lit(False).alias("stock"), F.count(F.lit(1)).alias("senders")), "sentences")
     near = near_classes(classes)
@@ -337,10 +344,12 @@ def inherited_lines(fresh: DataFrame) -> DataFrame:
     step = lambda i: links.select(F.col("a").alias(f"c{i}"), F.col("b").alias(f"b{i}"))
     wanted = materialize(late.join(step(1), "c1").join(step(2), "c2").withColumn("x", F.least("b1", "b2")).withColumn("y", F.greatest("b1", "b2")), "wanted")
     held = s.groupBy("doc_id", "sender", "at").agg(F.collect_set("c").alias("cs"))
-    held = held.select("sender", "at", "cs", F.explode("cs").alias("x")).select("sender", "at", "x", F.explode("cs").alias("y")).where("x <= y")
-    held = held.join(wanted.select("x", "y").distinct(), ["x", "y"], "left_semi").groupBy("x", "y", "sender").agg(F.min("at").alias("at"))
-    first = held.withColumn("rn", F.row_number().over(Window.partitionBy("x", "y").orderBy("at", "sender"))).where("rn <= 2").select("x", "y", F.col("sender").alias("src_sender"), F.col("at").alias("src_at"))
-    hits = materialize(wanted.join(first, ["x", "y"]).where("src_at < at and src_sender <> sender").drop("at", "src_at"), "hits")
+    held = held.select("doc_id", "sender", "at", "cs", F.explode("cs").alias("x")).select("doc_id", "sender", "at", "x", F.explode("cs").alias("y")).where("x <= y")
+    held = materialize(held.join(wanted.select("x", "y").distinct(), ["x", "y"], "left_semi"), "held")
+    early = held.groupBy("x", "y", "sender").agg(F.min("at").alias("at"))
+    two = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("at", "sender")) <= 2
+    first = early.withColumn("ok", two("x", "y")).where("ok").select("x", "y", F.col("sender").alias("src_sender"), F.col("at").alias("src_at"))
+    hits = materialize(wanted.join(first, ["x", "y"]).where("src_at < at and src_sender <> sender").drop("src_at"), "hits")
     # a stock phrase stands mostly alone: more senders hold it outside of any shared run than inside
     ends = F.explode(F.array(F.struct(F.col("sender").alias("who"), F.col("c1").alias("c")), F.struct(F.col("sender").alias("who"), F.col("c2").alias("c")), F.struct(F.col("src_sender").alias("who"), F.col("b1").alias("c")), F.struct(F.col("src_sender").alias("who"), F.col("b2").alias("c"))))
     inside = hits.select(ends.alias("e")).select("e.who", "e.c").groupBy("c").agg(F.countDistinct("who").alias("inside"))
@@ -354,16 +363,27 @@ def inherited_lines(fresh: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "src_sender").orderBy("l1")
     runs = pairs.withColumn("step", F.when(F.col("l1") == F.lag("l2").over(w), 0).otherwise(1)).withColumn("run", F.sum("step").over(w))
     lines = runs.select("doc_id", "src_sender", "run", F.explode(F.array(F.struct(F.col("l1").alias("l"), F.col("f1").alias("f")), F.struct(F.col("l2").alias("l"), F.col("f2").alias("f")))).alias("e"))
-    held = lines.groupBy("doc_id", "src_sender", "run").agg(F.collect_set("e.l").alias("lines"), F.countDistinct("e.f").alias("free")).where("free >= 2")
-    return held.select("doc_id", F.explode("lines").alias("line_no")).distinct()
+    kept = materialize(lines.groupBy("doc_id", "src_sender", "run").agg(F.collect_set("e.l").alias("lines"), F.countDistinct("e.f").alias("free")).where("free >= 2"), "runs")
+    # a short line between two lines of a run goes with them if an earlier mail with both holds it too
+    inner = runs.join(kept.select("doc_id", "src_sender", "run"), ["doc_id", "src_sender", "run"]).select("doc_id", "l1", "l2").distinct().join(hits.select("doc_id", "sender", "at", "l1", "l2", "x", "y").distinct(), ["doc_id", "l1", "l2"])
+    short = fresh.where("fp is null").select("doc_id", "line_no", F.col("sentence").alias("short"))
+    gaps = materialize(inner.join(short, "doc_id").where("line_no > l1 and line_no < l2").select("doc_id", "sender", "at", "line_no", "x", "y", "short"), "gaps")
+    told = held.join(gaps.select("x", "y").distinct(), ["x", "y"], "left_semi").join(short.withColumnRenamed("short", "src_short"), "doc_id").groupBy("x", "y", "src_short", "sender").agg(F.min("at").alias("at"))
+    told = told.withColumn("ok", two("x", "y", "src_short")).where("ok").select("x", "y", "src_short", F.col("sender").alias("src_sender"), F.col("at").alias("src_at"))
+    near_short = F.levenshtein("short", "src_short") <= F.ceil(F.greatest(F.length("short"), F.length("src_short")) * 0.1)
+    enclosed = gaps.join(told, ["x", "y"]).where((F.col("src_at") < F.col("at")) & (F.col("src_sender") != F.col("sender")) & near_short).select("doc_id", "line_no")
+    return kept.select("doc_id", F.explode("lines").alias("line_no")).unionByName(enclosed).distinct()
 
 
 def boilerplate_lines(fresh: DataFrame, at_least: int = 3, share: float = 0.2) -> DataFrame:
-    """(doc_id, line_no) of last lines that recur through a fifth of a sender's mails."""
+    """(doc_id, line_no) of the last lines, or whole trailing blocks, that recur through a fifth of a sender's mails.
+
+    A block of two lines or more counts where it stands under a sentence, so that mails sent repeatedly are no blocks.
+    """
     mails = fresh.groupBy("sender").agg(F.countDistinct("doc_id").alias("mails"))
-    often = fresh.where("tail").groupBy("sender", "sentence").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= at_least)
-    often = often.join(mails, "sender").where(F.col("n") >= share * F.col("mails")).select("sender", "sentence")
-    return fresh.where("tail").join(often, ["sender", "sentence"]).select("doc_id", "line_no")
+    often = fresh.groupBy("sender", "below").agg(F.sum(F.when(F.col("tail") | F.col("under"), 1).otherwise(0)).alias("n")).where(F.col("n") >= at_least)
+    often = often.join(mails, "sender").where(F.col("n") >= share * F.col("mails")).select("sender", "below")
+    return fresh.join(often, ["sender", "below"]).select("doc_id", "line_no")
 
 
 def found(raw_docs: DataFrame) -> DataFrame:

@@ -210,6 +210,19 @@ def test_copies_by_many_senders_are_inherited(spark):
     assert got == {("m0", 1), ("m0", 2)} | {(f"m{i}", n) for i in range(7, 21) for n in (1, 2)}
 
 
+def test_runs_pass_over_short_lines(spark):
+    got = rows(mailtext.found(mails(spark, ("a", f"{S1}\nAs agreed.\n{S2}"), ("b", f"{S1}\nAs agreed.\n{S2}"), ("c", f"{S1}\nI object!\n{S2}"))))
+    assert got == {("m0", 1), ("m0", 2), ("m0", 3), ("m2", 2)}
+
+
+def test_whole_footers_are_boilerplate(spark):
+    footer = "we sell good tools\nask me for the new list"
+    bodies = [f"Number {w} of the {w} reports tells about {w} things." for w in ("alpha", "bravo", "delta", "gamma")]
+    got = rows(mailtext.found(mails(spark, *[("a", f"{b}\n{footer}") for b in bodies])))
+    assert got == {(f"m{i}", 1) for i in range(4)}
+    assert rows(mailtext.found(mails(spark, *[("a", f"{S1}\n{S2}") for _ in range(3)]))) >= {(f"m{i}", 1) for i in range(3)}
+
+
 # --- 4 transcripts -----------------------------------------------------------------------------------
 def test_turns():
     body = "[00:00:05] ANNA LEE: Hello (laughs) um, all.\n[00:00:20] OB: Note: the plan (the new one, I mean) is\nready. [Music]\n[00:00:12] anna: uh.\n[00:00:15] Anna L.: More words."
