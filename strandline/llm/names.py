@@ -198,6 +198,26 @@ def radius_pairs(roots: DataFrame, radius: int = 2, cell: int = 256, most_pivots
     return pairs.mapInPandas(_one_error, "kind string, a string, b string")
 
 
+def given_links(ids: DataFrame, strong: int) -> DataFrame:
+    """(kind, a, b): identities of given names outside GIVEN that join a stronger one of the same person.
+
+    One typing error in the given name on the same root, unless both are given names of
+    `strong` families or more; or given name and family name exchanged.
+    """
+    own = ids.where((F.col("kind") == "person") & (F.length("given") > 1) & ~F.col("given").isin(*GIVEN))
+    families = own.groupBy("given").agg((F.countDistinct("root") >= strong).alias("common"))
+    own = materialize(own.join(families, "given"), "given")
+    pairs = radius_pairs(own.select("kind", F.col("given").alias("root")).distinct())
+    near = pairs.select("kind", F.col("a").alias("given"), F.col("b").alias("given2")).unionByName(pairs.select("kind", F.col("b").alias("given"), F.col("a").alias("given2")))
+    other = own.select("kind", F.col("given").alias("given2"), F.col("root").alias("root2"), F.col("support").alias("s2"), F.col("mentions").alias("m2"), F.col("common").alias("common2"))
+    slips = own.join(near, ["kind", "given"]).join(other.drop("kind").withColumn("root", F.col("root2")), ["given2", "root"]).where("not (common and common2)")
+    swaps = own.join(other.withColumnRenamed("kind", "kind2"), (F.col("given") == F.col("root2")) & (F.col("root") == F.col("given2")))
+    cols = ["kind", "given", "root", "support", "mentions", "given2", "root2", "s2", "m2"]
+    up = slips.select(cols).unionByName(swaps.select(cols)).where((F.col("support") < strong) | (F.col("s2") < strong)).where(F.struct("s2", "m2", F.col("given2").alias("g")) > F.struct("support", "mentions", F.col("given").alias("g")))
+    best = up.groupBy("kind", "given", "root").agg(F.max(F.struct("s2", "m2", "given2", "root2")).alias("t"))
+    return best.select("kind", F.concat_ws("\x01", "kind", "given", "root").alias("a"), F.concat_ws("\x01", "kind", "t.given2", "t.root2").alias("b"))
+
+
 def spelling_groups(counts: DataFrame, strong: int = 3) -> DataFrame:
     """(kind, surface, entity): the group of each linked spelling.
 
@@ -216,6 +236,7 @@ def spelling_groups(counts: DataFrame, strong: int = 3) -> DataFrame:
     up = ids.alias("i").join(near.alias("e"), ["kind", "root"]).join(ids.select("kind", "given", F.col("root").alias("near"), F.col("support").alias("s2"), F.col("mentions").alias("m2")), ["kind", "given", "near"])
     up = up.where((F.col("support") < strong) | (F.col("s2") < strong)).where(F.struct("s2", "m2", "near") > F.struct("support", "mentions", "root"))
     best_up = up.groupBy("kind", "given", "root").agg(F.max(F.struct("s2", "m2", "near")).alias("t")).select("kind", name(F.col("given"), F.col("root")).alias("a"), name(F.col("given"), F.col("t.near")).alias("b"))
+    best_up = best_up.unionByName(given_links(ids, strong))
     # 2. every spelling joins its best identity
     exact = ids.select("kind", F.col("root").alias("near"), F.col("given").alias("full"), "support", "mentions")
     reach = read.select("kind", "surface", "given", "root", "typos", F.col("root").alias("near"), F.lit(0).alias("d")).unionByName(read.join(near, ["kind", "root"]).select("kind", "surface", "given", "root", "typos", "near", "d"))

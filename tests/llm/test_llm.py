@@ -267,6 +267,15 @@ def test_name_variants_and_relatives(spark):
     assert names.found(docs.where("false"), xc.where("false")).count() == 0
 
 
+def test_given_names_outside_the_list(spark):
+    groups = [["Mohammed Haddadi", "Mohamed Haddadi", "Haddadi Mohammed"], ["Maria Lopez"], ["Mario Lopez"]]
+    common = [f"{g} {r}" for g in ("Maria", "Mario") for r in ("Bradevic", "Stolzenau", "Quintarelli")]
+    every = [x for g in groups for x in g] + ["Mohammed Haddadi"] + common
+    docs = spark.createDataFrame([(x, []) for x in every], "author_raw string, participants_raw array<string>")
+    xc = spark.createDataFrame([], "subject_surface string, subject_type string, object_surface string, object_type string")
+    assert {x for x in rows(names.found(docs, xc)) if "Haddadi" in x[0] or "Lopez" in x[0]} == {(a, b) for g in groups for a in g for b in g if a < b}
+
+
 def test_radius_join_is_exact(spark):
     roots = {"".join(rnd.choice("abcd") for _ in range(rnd.randint(4, 9))) for _ in range(400)}
     df = spark.createDataFrame([("k", r) for r in roots], "kind string, root string")
