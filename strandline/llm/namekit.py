@@ -1,4 +1,8 @@
-"""Name parts, nicknames and edit distance shared by problems 4 and 7."""
+"""Name parts, short forms and edit distance shared by problems 4 and 7.
+
+No list of names decides anything here: words are compared by rules, and a short
+table of irregular short forms of common names adds to them.
+"""
 
 from __future__ import annotations
 
@@ -6,24 +10,118 @@ import re
 import unicodedata
 from functools import lru_cache
 
-#: Given names whose short forms the rules below derive.
-GIVEN = frozenset(
-    "abigail alexandra amara benjamin bronwen charlotte chidi cornelius dmitri dorothea edward ekaterina elizabeth eskil fatou francisco frederik gabriel giuseppe gwendolyn harold henrietta hiroko ignacio ikenna isabella jacqueline jerome johannes katherine kazimir leopold lina ludmila margaret matthias"
-    " natalia nikolai olympia oskar patricia penelope priscilla quentin rafael richard robert rosalind samuel stephen susannah theodore thomas timothy tobias ulrich ursula valentina veronica victor vladislav wilhelmina william winston xiomara yevgenia yusuf zeynep".split()
-)
-#: Short forms that no rule derives.
-_IRREGULAR = (
-    "giuseppe beppe beppo pino|alexandra sandy sasha lexi|ekaterina katya katia katja|katherine kate kit|charlotte lottie charlie lotte|cornelius neil nelius|dmitri dima mitya|dorothea dora dot dottie dolly|edward ned ted teddy|theodore ted teddy|elizabeth liz lizzie lizzy betsy betty libby lisa bess|francisco paco pancho kiko frank cisco|frederik fritz rik|gwendolyn wendy"
-    "|harold harry hal|henrietta hettie hetty harriet|ignacio nacho iggy|isabella izzy|jacqueline jackie jacky jacqui|jerome jerry|johannes hans|ludmila lyuda|margaret maggie meg peggy greta daisy|nikolai kolya nick nicky nico|oskar ossi ozzie|patricia patty patsy trish tricia|penelope penny nell|richard dick rick ricky|robert bob bobby bert"
-    "|rosalind roz rose lindy|stephen steve stevie|susannah sue susie suzy sukie suki sanna|thomas tom tommy|ulrich uli ulli|veronica ronnie ronny vera|vladislav slava|wilhelmina billie willa|william bill billy liam|yevgenia zhenya jenya|yusuf joe|natalia tasha natasha|leopold poldi lee|ursula uschi ursel|valentina tina"
-)
-_CANON: dict[str, set[str]] = {}
-for _row in _IRREGULAR.split("|"):
-    _first, *_rest = _row.split()
-    for _x in _rest:
-        _CANON.setdefault(_x, set()).add(_first)
-
-SHORT_FORMS = frozenset(_CANON)
+#: Short forms of common given names that the rules below don't derive, "full: short ...".
+IRREGULAR = """
+abraham: bram
+aleksandr: sasha shura
+aleksei: alyosha lyosha
+alexander: sandy sasha xander
+alexandra: sandy sasha lexi
+amanda: mandy
+anatoly: tolya
+andrew: andy
+anna: anya nancy
+anthony: tony
+anton: toni
+antonio: nino
+august: gus
+barbara: babs
+boris: borya
+brigitte: gitta
+charles: chuck
+charlotte: lottie charlie
+christopher: kit
+cornelia: nele
+cornelius: neil
+cynthia: cindy
+daria: dasha
+dmitri: dima mitya
+dolores: lola
+domenico: mimmo
+dorothea: dot dottie dolly
+dorothy: dot dottie dolly
+edward: ned ted teddy
+ekaterina: katya katia katja
+eleanor: nell nora
+elizabeth: liz lizzie lizzy betsy betty libby lisa bess
+enrique: kike quique
+evgeny: zhenya
+filippo: pippo
+frances: fanny
+francisco: paco pancho kiko frank
+frederik: fritz rik
+geoffrey: jeff
+george: jorge
+giuseppe: beppe beppo pino peppe
+grigori: grisha
+guillermo: memo
+gwendolyn: wendy
+harold: hal
+heinrich: heinz
+helen: nell
+henrietta: hettie hetty harriet
+henry: hank harry
+ignacio: nacho
+isabella: izzy
+ivan: vanya
+jacqueline: jackie jacky jacqui
+james: jim jimmy
+jesus: chuy chucho
+johannes: hans
+john: jack
+jose: pepe
+josef: sepp jupp
+joseph: joey joe
+katherine: kate kit
+lawrence: larry
+louis: lulu
+ludmila: lyuda
+ludwig: lutz
+luigi: gigi
+margaret: maggie meg peggy greta daisy
+maria: masha
+mary: molly polly
+michael: mike mick mischa
+mikhail: misha
+natalia: natasha tasha
+nikolai: kolya nick nicky nico
+olga: olya
+pablo: paulo
+patricia: patty patsy trish
+pavel: pasha
+penelope: nell
+pyotr: petya
+rebecca: becky
+richard: dick rick ricky
+robert: bob bobby
+rosalind: roz lindy
+rosario: charo
+sarah: sally
+sergei: seryozha
+sofia: sonya
+stephen: steve stevie
+steven: steve
+susannah: suzy sukie suki sanna
+tatiana: tanya
+theodore: ted teddy
+theresa: terry tess tessa
+thomas: tom tommy
+timothy: timmy
+ursula: uschi ursel
+veronica: ronnie ronny
+virginia: ginny
+vladimir: vova volodya
+wilhelmina: billie minnie
+william: bill billy
+yevgenia: zhenya jenya
+yuri: yura
+yusuf: joe
+"""
+SHORT: dict[str, frozenset[str]] = {}
+for _line in IRREGULAR.split("\n"):
+    _full, _, _forms = _line.partition(": ")
+    for _form in _forms.split():
+        SHORT[_form] = SHORT.get(_form, frozenset()) | {_full}
 _TITLES = {"dr", "mr", "mrs", "ms", "prof", "sir", "ing", "dipl", "phd", "herr", "frau", "mme", "sr", "sra", "jr"}
 
 
@@ -35,23 +133,31 @@ def plain(s: str) -> str:
 
 
 @lru_cache(maxsize=100_000)
-def given_names(token: str) -> frozenset[str]:
-    """Full given names that a token may stand for; itself if none is known.
+def stems(word: str) -> tuple[str, ...]:
+    """A word and what is left of it as a diminutive: benny, benn, ben."""
+    stem = re.sub(r"(?:ie|[aeiyo])$", "", word)
+    out = [word, stem, stem[:-1] if len(stem) > 2 and stem[-1] == stem[-2] else stem]
+    return tuple(dict.fromkeys(x for x in out if len(x) > 1))
+
 
-    Rules: a proper beginning of two letters or more (vlad), a diminutive of
-    one (benny, gabe, matti), or an ending of four letters or more (cilla).
+@lru_cache(maxsize=200_000)
+def short_of(short: str, full: str) -> bool:
+    """Whether one given name is a short form of another.
+
+    Rules: a beginning that leaves out two letters or more (vlad), a diminutive of
+    one (benny), an ending of four letters or more (cilla), or an irregular form.
     """
-    if token in GIVEN:
-        return frozenset((token,))
-    out = set(_CANON.get(token, ()))
-    stem = re.sub(r"(?:ie|[eiyo])$", "", token)
-    stems = {token, stem, stem[:-1] if len(stem) > 2 and stem[-1] == stem[-2] else stem}
-    for g in GIVEN:
-        if any(len(t) > 1 and g.startswith(t) for t in stems) or (len(token) > 3 and g.endswith(token)):
-            out.add(g)
-    return frozenset(out or (token,))
+    if short == full or len(short) < 2:
+        return False
+    if full in SHORT.get(short, ()):
+        return True
+    return any((full.startswith(t) and len(full) - len(t) > 1) or (t == full and len(short) - len(full) > 1) or (len(t) > 3 and len(full) - len(t) > 1 and full.endswith(t)) for t in stems(short))
 
 
+@lru_cache(maxsize=200_000)
+def same_given(a: str, b: str) -> bool:
+    """Equal given names, one a short form of the other, or both irregular forms of one name."""
+    return a == b or short_of(a, b) or short_of(b, a) or bool(SHORT.get(a, frozenset()) & SHORT.get(b, frozenset()))
 @lru_cache(maxsize=200_000)
 def edits(a: str, b: str, most: int = 3) -> int:
     """Edit distance (insert, delete, replace); most + 1 if larger than most."""

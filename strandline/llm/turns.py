@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.namekit import edits_swapped, given_names, parts, plain
+from strandline.llm.namekit import SHORT, edits_swapped, parts, plain, same_given
 
 _CUE = re.compile(r"^\s*(\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d+)?\s*-->")
 _STAMP = re.compile(r"^\s*(?:\[(\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?)\]|\((\d{1,2}:\d{2}(?::\d{2})?)\)(?=\s*[^:\s])|(\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?)(?=\s+-\s))\s*")
@@ -88,7 +88,7 @@ def _one(a: str, b: str) -> float:
         return 1.0
     if len(a) == 1 or len(b) == 1:
         return 0.7 if a[0] == b[0] else 0.0
-    if given_names(a) & given_names(b):
+    if same_given(a, b):
         return 0.95
     d = edits_swapped(a, b, 2)
     if d <= 2 and d / max(len(a), len(b)) <= 0.34:
@@ -108,7 +108,7 @@ def fit(label: str, person: Person) -> float:
             first, last = _one(w, theirs[0]), _one(w, theirs[-1])
             best = max(0.9 * first if len(theirs[0]) > 1 else 0.0, 0.85 * last if len(theirs[-1]) > 1 else 0.0)
         if len(theirs) >= 2 and len(w) in (2, 3):
-            ends = {a[0] + b[0] for a in (theirs[0], *given_names(theirs[0])) for b in (theirs[-1],)}
+            ends = {a[0] + b[0] for a in (theirs[0], *SHORT.get(theirs[0], ())) for b in (theirs[-1],)}
             best = max(best, 0.8 if w in ends or (len(w) == 3 and w[0] + w[-1] in ends) else 0.0)
         if len(theirs) == 1 and len(theirs[0]) > 3:  # a handle
             best = max(best, 0.75 if theirs[0].endswith(w) and len(w) > 3 else 0.0)
