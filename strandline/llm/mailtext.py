@@ -3,24 +3,28 @@
 1. Every line of a body gets a place: fresh, quoted, introducing a quote,
    closing, signature, notice. Quote marks, indents below an introduction,
    forward headers and signature shapes decide.
-2. Fresh lines of six words or more are sentences with a 64-bit SimHash over their
-   pairs of neighbouring words. Equal sentences form a class. The fingerprint is
-   cut into 6 blocks; each of the 20 threes of blocks keys one Hamming partition
-   table, so fingerprints within 3 bits share a key in some table. One changed letter
-   moves a fingerprint further than that, so sentences that share one of 40 MinHash keys
-   over character trigrams are candidates too. All are verified by edit distance.
-3. A run of two or more neighbouring sentences that all near-match one earlier mail of
-   another sender is inherited, although nothing marks it, and is removed; short
-   lines between them go with them if the earlier mail has them; so
-   do trailing blocks that recur through a sender's mails. Sentences that more
-   senders hold outside of such runs than inside are stock phrases; a run
-   needs two lines that are none. How many senders hold a run doesn't matter.
-
-"Earlier" means loaded earlier; of redelivered rows the first load counts.
+2. Lines of six words or more are sentences; two neighbouring sentences are a window. Each
+   different window has a 64-bit SimHash over its character 5-grams, cut into 5 blocks; each of
+   the 10 pairs of blocks keys one Hamming partition table, so fingerprints within 3 bits share a key in some
+   table. An edit of a few words moves a fingerprint further than that, so windows that share one
+   of 32 MinHash keys over the same grams are candidates too. Candidates are verified by
+   the edit distance of both sentences.
+3. A window is inherited, although nothing marks it, if the earliest mail that holds it or
+   a near one, fresh or quoted, is another sender's. Short lines inside go with it if an earlier mail has them
+   there; so do trailing blocks that recur through a sender's mails. Sentences that more
+   senders hold outside of inherited windows than inside are stock phrases; a run of windows
+   needs two lines that are none. How many senders hold a window doesn't matter.
+
+Every window is first compared with the earliest of each table key, a side that grows with keys, not pairs; only
+windows that fail there are compared with the other earlier ones of their keys.
+
+"Earlier" is the time the mail itself states (read by the timestamp operator), or its load where that is missing or unclear; of redelivered
+rows the first load counts.
 
 Defined results: null or blank bodies give nothing; a null author_email leaves
 the author's name as sender, and a mail without both is its own sender; repeated rows of
-a doc_id count once; only rows of kind 'email' are read.
+a doc_id count once; only rows of kind 'email' are read. Quoted sentences are nobody's: they make later
+copies inherited, whoever sends them, unless their sender held them before.
 """
 
 from __future__ import annotations
@@ -33,9 +37,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import timestamps
 from strandline.runtime import materialize
 
 _QUOTED = re.compile(r"^\s*(?:>|\|(?:\s|$)|[A-Z]{1,3}>)")
@@ -57,11 +62,12 @@ CLOSINGS = (
     "viele grüße", "beste grüße", "mit freundlichen grüßen", "freundliche grüße", "liebe grüße", "herzliche grüße", "schöne grüße", "gruß", "grüße", "mfg", "vg", "danke", "vielen dank",
     "cordialement", "bien cordialement", "bien à vous", "bien à toi", "amicalement", "merci", "salutations", "meilleures salutations", "sincères salutations",
     "saludos", "saludos cordiales", "un saludo", "un cordial saludo", "atentamente", "gracias", "muchas gracias", "un abrazo",
+    "atenciosamente", "cumprimentos", "com os melhores cumprimentos", "obrigado", "obrigada", "abraços", "met vriendelijke groet", "vriendelijke groeten", "groeten", "mvg", "bedankt", "cordiali saluti", "distinti saluti", "grazie", "med vänliga hälsningar", "pozdrawiam",
 )
 _NOTICE_ONE = re.compile(r"^(?:Sent from my |Sent via |Sent with |Get (?:the )?.{1,30}\b(?:app|Outlook)\b.{0,30}$|Envoyé depuis mon |Envoyé de mon |Von meinem .{2,30} gesendet|Gesendet von meine?m |Enviado desde mi |Diese Nachricht wurde von meinem )", re.I)
 _NOTICE_MANY = re.compile(
     r"^(?:CONFIDENTIALITY NOTICE|DISCLAIMER\b|NOTICE:|This (?:e-?mail|message) (?:and|is|may|contains)|The information (?:transmitted|contained)|The contents of this|Views in this (?:e-?)?mail|Please consider the environment|If you are not the (?:intended|named)"
-    r"|Diese E-?Mail (?:enthält|ist|und)|Diese Nachricht (?:enthält|ist)|Bitte denken Sie an die Umwelt|Ce (?:message|courriel|mail) (?:et|est|peut)|Les informations contenues|Pensez à l'environnement|Este (?:mensaje|correo) (?:es|y|puede|contiene)|La información contenida)"
+    r"|Diese E-?Mail (?:enthält|ist|und)|Diese Nachricht (?:enthält|ist)|Bitte denken Sie an die Umwelt|Ce (?:message|courriel|mail) (?:et|est|peut)|Les informations contenues|Pensez à l'environnement|Este (?:mensaje|correo) (?:es|y|puede|contiene)|La información contenida|Este e-?mail|Esta mensagem (?:é|pode|contém)|Deze e-?mail|Dit bericht (?:is|kan|bevat)|Questo messaggio|Ce courriel (?:peut|contient)|Le contenu de ce)"
 )
 _DELIMITER = re.compile(r"^(?:--|—|–|_{5,}|={5,}|\*{5,}|-{5,}|#{5,})$")
 _INITIALS = re.compile(r"^/[a-z]{1,3}$")
@@ -129,6 +135,11 @@ def places(body: str, email: str | None = None, raw: str | None = None) -> list[
     def is_mark(s: str) -> bool:
         return bool(_QUOTED.match(s) or introduced and _INDENT.match(s))
 
+    def own_name(s: str) -> bool:
+        """Nothing but the sender's own name; the line above it closes the mail in whatever language."""
+        t = {w for w in re.split(r"[^a-z]+", _plain(s)) if len(w) > 1}
+        return bool(t) and t <= names and _like_name(s)
+
     def starts_other(i: int) -> bool:
         """Line i can't belong to a signature or notice that began above it."""
         s = lines[i].strip()
@@ -178,7 +189,7 @@ def places(body: str, email: str | None = None, raw: str | None = None) -> list[
             while k < n and lines[k].strip() and not is_mark(lines[k]):
                 put(k, "notice")
                 k += 1
-        elif _closing(s):
+        elif _closing(s) or (s.endswith(",") and len(s.split()) <= 4 and own_name(following(k))):
             put(k, "closing")
             k = signature(k + 1, 1)
         elif _DELIMITER.match(s) or s == "--":
@@ -196,17 +207,66 @@ def places(body: str, email: str | None = None, raw: str | None = None) -> list[
     return out
 
 
-def simhash(words: list[str]) -> int:
-    """64-bit SimHash over pairs of neighbouring words (signed)."""
-    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)] or words
-    h = np.array([xxhash.xxh3_64_intdigest(p) for p in pairs], np.uint64)
-    bits = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    total = bits.sum(axis=0, dtype=np.int64) * 2
-    up = (total > len(h)) | ((total == len(h)) & (bits[0] == 1))  # ties would pull all fingerprints together
-    return int((up.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64))
+_BANDS, _ROWS, _GRAM = 32, 5, 5
+_ODD = np.random.default_rng(57).integers(1, 2**62, _BANDS * _ROWS + 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WIDTHS = (13, 13, 13, 13, 12)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    for k in _ODD[:2]:
+        x = (x ^ (x >> np.uint64(31))) * k
+    return x ^ (x >> np.uint64(32))
+
+
+def _grams(sentence: str) -> np.ndarray:
+    c = np.frombuffer(sentence.ljust(_GRAM).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(len(c) - _GRAM + 1, np.uint64)
+    for i in range(_GRAM):
+        h += c[i : len(c) - _GRAM + 1 + i] * _ODD[2 + i]
+    return _mix(h)
 
 
-_FRESH = "doc_id string, sender string, at timestamp, line_no bigint, nth bigint, tail boolean, sentence string, fp bigint, below bigint, under boolean"
+def simhash(grams: np.ndarray) -> int:
+    """64-bit SimHash over hashed grams."""
+    total = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) * 2
+    up = (total > len(grams)) | ((total == len(grams)) & (np.arange(64) % 2 == 0))
+    return int(np.packbits(up).view(np.uint64)[0])
+
+
+def hamming_keys(fp: int) -> list[int]:
+    """One key for each pair of the 5 blocks of a fingerprint."""
+    blocks, at = [], 0
+    for w in _WIDTHS:
+        blocks.append(fp >> at & ((1 << w) - 1))
+        at += w
+    return [(t << 32) + (blocks[i] << 16) + blocks[j] for t, (i, j) in enumerate(combinations(range(5), 2))]
+
+
+def window_keys(first: str, second: str) -> list[int]:
+    """Keys of the Hamming tables and MinHash bands of two neighbouring sentences."""
+    g = np.concatenate([_grams(first), _grams(second)])
+    least = ((np.unique(g)[:, None] * _ODD[None, 8:]) >> np.uint64(20)).min(axis=0).reshape(_BANDS, _ROWS)
+    band = np.arange(_BANDS, dtype=np.uint64)
+    for k in range(_ROWS):
+        band = _mix(band + least[:, k])
+    return hamming_keys(simhash(g)) + (band.astype(np.int64) | np.int64(-(2**63))).tolist()
+
+
+_FRESH = "doc_id string, sender string, at bigint, line_no bigint, fresh boolean, tail boolean, sentence string, below bigint, under boolean, long boolean, windows array<struct<l2:bigint,text2:string,near:boolean,inner:array<struct<l:bigint,t:string>>>>"
+_UNQUOTE = re.compile(r"^(?:\s*(?:>|\||[A-Z]{1,3}>))+\s*")
+
+
+def _windows(lines: list[tuple[int, str, bool]]) -> dict[int, list[tuple]]:
+    """Of (line, sentence, long): by line, the windows that begin there; the next sentence, or the next but one."""
+    at = [i for i, x in enumerate(lines) if x[2]]
+    out: dict[int, list[tuple]] = {}
+    for n, i in enumerate(at):
+        for gap in (1, 2):
+            if n + gap < len(at):
+                j = at[n + gap]
+                inner = [(no, t) for no, t, long in lines[i + 1 : j] if not long] if gap == 1 else []
+                out.setdefault(lines[i][0], []).append((lines[j][0], lines[j][1], gap == 1, inner))
+    return out
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,156 +283,101 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for w in reversed(words):
                 below = xxhash.xxh3_64_intdigest(f"{below} {' '.join(w)}")
                 ends.append(below - 2**63)
-            under = False
-            for nth, ((no, _, _), w) in enumerate(zip(fresh, words, strict=True)):
-                long = len(w) >= 6
-                rows.append((doc, sender, at, no, nth, no == last, " ".join(w), simhash(w) if long else None, ends[-1 - nth], under))
+            mine = [(no, " ".join(w), len(w) >= 6) for (no, _, _), w in zip(fresh, words, strict=True)]
+            windows, under = _windows(mine), False
+            for nth, (no, sentence, long) in enumerate(mine):
+                rows.append((doc, sender, at, no, True, no == last, sentence, ends[-1 - nth], under, long, windows.get(no, [])))
                 under = under or long
-        yield pd.DataFrame(rows, columns=["doc_id", "sender", "at", "line_no", "nth", "tail", "sentence", "fp", "below", "under"]).astype({"fp": "Int64"})
-
-
-def _keys(fp: Column) -> Column:
-    """One key for each three of the 6 blocks (10 or 11 bits each)."""
-    widths = [11, 11, 11, 11, 10, 10]
-    at = [sum(widths[:i]) for i in range(6)]
-    blocks = [F.shiftrightunsigned(fp, at[i]).bitwiseAND((1 << widths[i]) - 1) for i in range(6)]
-    return F.array(*[F.lit(t << 33).cast("bigint") + F.shiftleft(blocks[i], 22) + F.shiftleft(blocks[j], 11) + blocks[k] for t, (i, j, k) in enumerate(combinations(range(6), 3))])
+            other = [(no, re.findall(r"[^\W_]+", _UNQUOTE.sub("", text).casefold())) for no, place, text in lines if place == "quoted"]
+            other = [(no, " ".join(w), len(w) >= 6) for no, w in other]
+            windows = _windows(other)
+            rows += [(doc, "", at, no, False, False, sentence, 0, False, long, windows[no]) for no, sentence, long in other if no in windows]
+        yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in _FRESH.split(", ")])
 
 
-_BANDS, _ROWS = 40, 4
-_ODD = np.random.default_rng(57).integers(1, 2**62, _BANDS * _ROWS + 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    for k in _ODD[:2]:
-        x = (x ^ (x >> np.uint64(31))) * k
-    return x ^ (x >> np.uint64(32))
-
-
-def gram_keys(sentence: str) -> tuple[list[int], list[int]]:
-    """MinHash keys over character trigrams, one a band, and 256 parity bits of character bigrams."""
-    c = np.frombuffer(sentence.ljust(3).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    two, three = _mix(c[:-1] * _ODD[2] + c[1:] * _ODD[3]), _mix(c[:-2] * _ODD[2] + c[1:-1] * _ODD[3] + c[2:] * _ODD[4])
-    least = ((three[:, None] * _ODD[None, 5:]) >> np.uint64(20)).min(axis=0).reshape(_BANDS, _ROWS)
-    band = np.arange(_BANDS, dtype=np.uint64)
-    for k in range(_ROWS):
-        band = _mix(band + least[:, k])
-    parity = np.packbits((np.bincount((two >> np.uint64(40)).astype(np.int64) % 256, minlength=256) & 1).astype(np.uint8)).view(np.int64)
-    return band.astype(np.int64).tolist(), parity.tolist()
-
-
-def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        got = [gram_keys(x) for x in b["sentence"]]
-        yield pd.DataFrame({"sid": b["sid"], "n": b["sentence"].str.len(), "keys": [g[0] for g in got], **{c: [g[1][i] for g in got] for i, c in enumerate("pquv")}})
-
-
-def _alike(batches: Iterator[pd.DataFrame], edits: float) -> Iterator[pd.DataFrame]:
-    """Pairs of rows with one key, sorted by it, whose lengths and bigrams allow the edit limit."""
-    rest = None
+def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = b if rest is None else pd.concat([rest, b], ignore_index=True)
-        open_from = int(np.searchsorted(rows["key"].to_numpy(), rows["key"].iloc[-1])) if len(rows) else 0
-        yield from _alike_rows(rows.iloc[:open_from], edits)
-        rest = rows.iloc[open_from:]
-    if rest is not None:
-        yield from _alike_rows(rest, edits)
-
-
-def _alike_rows(rows: pd.DataFrame, edits: float) -> Iterator[pd.DataFrame]:
-    key, sid, n = (rows[c].to_numpy() for c in ("key", "sid", "n"))
-    parity = rows[list("pquv")].to_numpy()
-    i = np.arange(len(rows))
-    for lag in range(1, len(rows)):
-        i = i[: np.searchsorted(i, len(rows) - lag)]
-        i = i[key[i] == key[i + lag]]
-        if not len(i):
-            return
-        j = i + lag
-        most = np.ceil(np.maximum(n[i], n[j]) * edits)
-        changed = np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)).sum(axis=1)
-        ok = (np.abs(n[i] - n[j]) <= most) & (changed <= most * 4)
-        x, y = sid[i[ok]], sid[j[ok]]
-        yield pd.DataFrame({"s": np.minimum(x, y), "t": np.maximum(x, y)})
-
-
-def near_classes(classes: DataFrame, bits: int = 3, edits: float = 0.1) -> DataFrame:
-    """(a, b): pairs of different sentences within the edit limit, both ways.
-
-    classes: sentence, fp, stock. Only sentences that are no stock phrases are paired. Candidates
-    have fingerprints within `bits`, or share a MinHash key and can by their bigrams be
-    within the edit limit (an edit changes at most four bigrams).
-    """
-    own = classes.where("not stock").select("sentence", "fp", F.xxhash64("sentence").alias("sid"))
-    keyed = own.select("sid", "fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    close = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close & (F.col("x.sid") < F.col("y.sid"))).select(F.col("x.sid").alias("s"), F.col("y.sid").alias("t"))
-    grams = own.select("sid", "sentence").mapInPandas(_gram_rows, "sid bigint, n int, keys array<bigint>, p bigint, q bigint, u bigint, v bigint").select("sid", "n", *"pquv", F.explode("keys").alias("key"))
-    alike = grams.repartition("key").sortWithinPartitions("key").mapInPandas(lambda batches: _alike(batches, edits), "s bigint, t bigint")
-    pairs = pairs.unionByName(alike).distinct()
-    pairs = pairs.join(own.select(F.col("sid").alias("s"), F.col("sentence").alias("a")), "s").join(own.select(F.col("sid").alias("t"), F.col("sentence").alias("b")), "t")
-    limit = F.ceil(F.greatest(F.length("a"), F.length("b")) * edits).cast("int")
-    pairs = pairs.where((F.col("a") != F.col("b")) & (F.levenshtein("a", "b") <= limit)).select("a", "b")
-    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
-def mails_of(raw_docs: DataFrame) -> DataFrame:
-    """(doc_id, body, author_email, author_raw, at): each mail once, as first loaded."""
-    m = raw_docs.where("kind = 'email' and doc_id is not null and body is not null")
-    return m.groupBy("doc_id").agg(F.min(F.struct("loaded_at", "body", "author_email", "author_raw")).alias("r")).select("doc_id", "r.body", "r.author_email", "r.author_raw", F.col("r.loaded_at").alias("at"))
+        yield pd.DataFrame({"c": b["c"], "at": b["at"], "sender": b["sender"], "keys": [window_keys(x, y) for x, y in zip(b["text1"], b["text2"], strict=True)]})
 
 
-def inherited_lines(fresh: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of sentences in runs taken from an earlier mail of another sender.
+def near_windows(classes: DataFrame, edits: float = 0.1) -> DataFrame:
+    """(c, src): windows and earlier near windows; those that near-match the earliest of a key aren't compared with the others of it.
 
-    A line is in a run of two or more if it and a neighbour near-match the same mail; so
-    pairs of neighbours are looked up among the pairs of sentences of all mails. Of mails
-    with the same pair the first two senders' earliest loads tell whether any is earlier and another's.
+    classes: c, text1, text2, at, sender (of the earliest mail holding it), without repeats of c. Both
+    sentences must be within the edit limit.
     """
-    s = fresh.where("fp is not null").select("doc_id", "sender", "at", "line_no", "sentence", "fp", F.row_number().over(Window.partitionBy("doc_id").orderBy("nth")).alias("nth"))
-    by_sender = s.groupBy("sentence", "sender").agg(F.min("fp").alias("fp"))
-    classes = materialize(by_sender.groupBy("sentence").agg(F.min("fp").alias("fp"), F.lit(False).alias("stock"), F.count(F.lit(1)).alias("senders")), "sentences")
-    near = near_classes(classes)
-    # a class matches itself only where two senders wrote it
-    same = classes.where("senders > 1").select(F.col("sentence").alias("a"), F.col("sentence").alias("b"))
-    links = materialize(near.unionByName(same).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")), "links")
-    linked = links.select(F.col("a").alias("c")).distinct()
-    s = materialize(s.withColumn("c", F.xxhash64("sentence")).join(linked, "c").select("doc_id", "sender", "at", "line_no", "nth", "c"), "linked")
-    w = Window.partitionBy("doc_id").orderBy("nth")
-    late = s.select("doc_id", "sender", "at", F.col("line_no").alias("l1"), F.col("c").alias("c1"), *[F.lead(x).over(w).alias(y) for x, y in (("line_no", "l2"), ("c", "c2"), ("nth", "nth2"))], "nth").where("nth2 = nth + 1").drop("nth", "nth2")
-    step = lambda i: links.select(F.col("a").alias(f"c{i}"), F.col("b").alias(f"b{i}"))
-    wanted = materialize(late.join(step(1), "c1").join(step(2), "c2").withColumn("x", F.least("b1", "b2")).withColumn("y", F.greatest("b1", "b2")), "wanted")
-    held = s.groupBy("doc_id", "sender", "at").agg(F.collect_set("c").alias("cs"))
-    held = held.select("doc_id", "sender", "at", "cs", F.explode("cs").alias("x")).select("doc_id", "sender", "at", "x", F.explode("cs").alias("y")).where("x <= y")
-    held = materialize(held.join(wanted.select("x", "y").distinct(), ["x", "y"], "left_semi"), "held")
-    early = held.groupBy("x", "y", "sender").agg(F.min("at").alias("at"))
-    two = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("at", "sender")) <= 2
-    first = early.withColumn("ok", two("x", "y")).where("ok").select("x", "y", F.col("sender").alias("src_sender"), F.col("at").alias("src_at"))
-    hits = materialize(wanted.join(first, ["x", "y"]).where("src_at < at and src_sender <> sender").drop("src_at"), "hits")
-    # a stock phrase stands mostly alone: more senders hold it outside of any shared run than inside
-    ends = F.explode(F.array(F.struct(F.col("sender").alias("who"), F.col("c1").alias("c")), F.struct(F.col("sender").alias("who"), F.col("c2").alias("c")), F.struct(F.col("src_sender").alias("who"), F.col("b1").alias("c")), F.struct(F.col("src_sender").alias("who"), F.col("b2").alias("c"))))
-    inside = hits.select(ends.alias("e")).select("e.who", "e.c").groupBy("c").agg(F.countDistinct("who").alias("inside"))
-    stock = classes.select(F.xxhash64("sentence").alias("c"), "senders").join(inside, "c").where("senders - inside > inside").select("c")
-    kept = [stock.select(F.col("c").alias(x), F.lit(True).alias(f"stock_{x}")) for x in ("c1", "c2", "b1", "b2")]
-    for k in kept:
-        hits = hits.join(k, k.columns[0], "left")
-    # two lines of a run must be no stock phrases; pairs that share a line continue a run
-    free = lambda i: F.when(F.col(f"stock_c{i}").isNull() & F.col(f"stock_b{i}").isNull(), F.col(f"l{i}"))
-    pairs = hits.groupBy("doc_id", "src_sender", "l1", "l2").agg(F.max(free(1)).alias("f1"), F.max(free(2)).alias("f2"))
-    w = Window.partitionBy("doc_id", "src_sender").orderBy("l1")
-    runs = pairs.withColumn("step", F.when(F.col("l1") == F.lag("l2").over(w), 0).otherwise(1)).withColumn("run", F.sum("step").over(w))
-    lines = runs.select("doc_id", "src_sender", "run", F.explode(F.array(F.struct(F.col("l1").alias("l"), F.col("f1").alias("f")), F.struct(F.col("l2").alias("l"), F.col("f2").alias("f")))).alias("e"))
-    kept = materialize(lines.groupBy("doc_id", "src_sender", "run").agg(F.collect_set("e.l").alias("lines"), F.countDistinct("e.f").alias("free")).where("free >= 2"), "runs")
-    # a short line between two lines of a run goes with them if an earlier mail with both holds it too
-    inner = runs.join(kept.select("doc_id", "src_sender", "run"), ["doc_id", "src_sender", "run"]).select("doc_id", "l1", "l2").distinct().join(hits.select("doc_id", "sender", "at", "l1", "l2", "x", "y").distinct(), ["doc_id", "l1", "l2"])
-    short = fresh.where("fp is null").select("doc_id", "line_no", F.col("sentence").alias("short"))
-    gaps = materialize(inner.join(short, "doc_id").where("line_no > l1 and line_no < l2").select("doc_id", "sender", "at", "line_no", "x", "y", "short"), "gaps")
-    told = held.join(gaps.select("x", "y").distinct(), ["x", "y"], "left_semi").join(short.withColumnRenamed("short", "src_short"), "doc_id").groupBy("x", "y", "src_short", "sender").agg(F.min("at").alias("at"))
-    told = told.withColumn("ok", two("x", "y", "src_short")).where("ok").select("x", "y", "src_short", F.col("sender").alias("src_sender"), F.col("at").alias("src_at"))
-    near_short = F.levenshtein("short", "src_short") <= F.ceil(F.greatest(F.length("short"), F.length("src_short")) * 0.1)
-    enclosed = gaps.join(told, ["x", "y"]).where((F.col("src_at") < F.col("at")) & (F.col("src_sender") != F.col("sender")) & near_short).select("doc_id", "line_no")
-    return kept.select("doc_id", F.explode("lines").alias("line_no")).unionByName(enclosed).distinct()
+    keyed = classes.mapInPandas(_sketch, "c bigint, at bigint, sender string, keys array<bigint>")
+    keyed = materialize(keyed.select("c", "at", F.explode("keys").alias("key")), "keyed")
+    heads = keyed.groupBy("key").agg(F.min(F.struct("at", "c")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("f.c").alias("src"), F.col("f.at").alias("src_at"), "n")
+    heads = materialize(heads, "heads")
+    stars = materialize(keyed.join(heads, "key").where("c <> src").select("c", "src").distinct(), "stars")
+    text = lambda c, i: classes.select(F.col("c").alias(c), F.col("text1").alias(f"{i}1"), F.col("text2").alias(f"{i}2"))
+    limit = lambda a, b: F.ceil(F.greatest(F.length(a), F.length(b)) * edits).cast("int")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x = pairs.join(text("c", "x"), "c").join(text("src", "y"), "src")
+        for i in (1, 2):
+            far = F.abs(F.length(f"x{i}") - F.length(f"y{i}")) > limit(f"x{i}", f"y{i}")
+            x = x.where(~far & (F.levenshtein(f"x{i}", f"y{i}") <= limit(f"x{i}", f"y{i}")))
+        return x.select("c", "src")
+
+    close = materialize(verified(stars), "close")
+    open_ = stars.select("c").distinct().join(close.select("c"), "c", "left_anti")
+    # the rest of each key: what lies between its earliest window and an unmatched one
+    rest = keyed.join(heads.where("n > 2").select("key", "src"), "key").where("c <> src").drop("src")
+    late = rest.join(open_, "c", "left_semi").select("key", F.col("c").alias("c"), F.col("at").alias("c_at"))
+    more = late.join(rest.select("key", F.col("c").alias("src"), "at"), "key").where("c <> src and at <= c_at").select("c", "src").distinct()
+    return close.unionByName(verified(more)).distinct()
+
+
+def mails_of(raw_docs: DataFrame, clocks: DataFrame | None = None) -> DataFrame:
+    """(doc_id, body, author_email, author_raw, at): each mail once, as first loaded; at: its stated time, else its load, in microseconds."""
+    m = raw_docs.where("kind = 'email' and doc_id is not null and body is not null")
+    for c in ("created_at", "tool"):
+        if c not in m.columns:
+            m = m.withColumn(c, F.lit(None).cast("string"))
+    first = Window.partitionBy("doc_id").orderBy(F.col("loaded_at").asc_nulls_last(), F.xxhash64("body", "author_email", "author_raw"))
+    m = m.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    m = m.select("doc_id", "body", "author_email", "author_raw", F.unix_micros("loaded_at").alias("loaded"), F.col("created_at").alias("value"), F.col("tool").alias("source"))
+    clocks = clocks if clocks is not None else m.sparkSession.createDataFrame([], "tool string, tz_name string, day_first boolean")
+    return timestamps.normalise(m, clocks).select("doc_id", "body", "author_email", "author_raw", F.coalesce("epoch_us", "loaded", F.lit(0)).alias("at"))
+
+
+def inherited_lines(lines: DataFrame, edits: float = 0.1) -> DataFrame:
+    """(doc_id, line_no, near): lines of windows whose earliest mail is another sender's; near: found by the fingerprints only."""
+    w = lines.select("doc_id", "sender", "at", "fresh", F.col("line_no").alias("l1"), F.col("sentence").alias("text1"), F.explode("windows").alias("w")).select("doc_id", "sender", "at", "fresh", "l1", "w.l2", "text1", "w.text2", F.col("w.near").alias("next"), "w.inner")
+    w = materialize(w.withColumn("c", F.xxhash64("text1", "text2")), "windows")
+    first = F.min(F.struct("at", F.when(F.col("fresh"), 0).otherwise(1).alias("q"), "sender")).alias("f")
+    held = materialize(w.groupBy("c").agg(first, F.max("next").alias("next"), F.any_value("text1").alias("text1"), F.any_value("text2").alias("text2"), (F.count_distinct("doc_id") > 1).alias("several")).select("c", "f.at", "f.sender", "next", "several", "text1", "text2"), "held")
+    near = materialize(near_windows(held.where("next").select("c", "text1", "text2", "at", "sender"), edits), "near")
+    own = held.where("several").select("c", F.col("c").alias("src"), F.col("at").alias("src_at"), F.col("sender").alias("src_sender"), F.lit(False).alias("near"))
+    other = near.join(held.select(F.col("c").alias("src"), F.col("at").alias("src_at"), F.col("sender").alias("src_sender")), "src").select("c", "src", "src_at", "src_sender", F.lit(True).alias("near"))
+    # the earliest holder of a window and its near ones; by itself first, so that `near` marks what only fingerprints find
+    best = own.unionByName(other).groupBy("c").agg(F.min(F.struct("src_at", "near", "src", "src_sender")).alias("b")).select("c", "b.*")
+    own_first = held.select("c", F.col("at").alias("own_at"), F.col("sender").alias("own_sender"))
+    late = w.where("fresh and next").join(best, "c").join(own_first, "c").where("src_at < at and src_sender <> sender")
+    late = late.withColumn("near", F.col("near") & ~((F.col("own_at") < F.col("at")) & (F.col("own_sender") != F.col("sender"))))
+    hits = materialize(late.select("doc_id", "sender", "at", "l1", "l2", "text1", "text2", "inner", "src", "near"), "hits")
+    # a stock phrase stands mostly alone: more senders hold it outside of inherited windows than inside
+    ends = lambda df: df.select("sender", F.explode(F.array("text1", "text2")).alias("t")).select("sender", F.xxhash64("t").alias("t"))
+    inside = ends(hits).groupBy("t").agg(F.count_distinct("sender").alias("inside"))
+    every = lines.where("fresh and long").select("sender", F.xxhash64("sentence").alias("t")).join(inside.select("t"), "t", "left_semi").groupBy("t").agg(F.count_distinct("sender").alias("senders"))
+    # the sender of the source holds it inside too
+    stock = every.join(inside, "t").where("senders - inside - 1 > inside + 1").select("t", F.lit(True).alias("stock"))
+    two = hits.select("doc_id", "l1", "l2", "near", F.xxhash64("text1").alias("t1"), F.xxhash64("text2").alias("t2"))
+    for i in (1, 2):
+        two = two.join(stock.select(F.col("t").alias(f"t{i}"), F.col("stock").alias(f"s{i}")), f"t{i}", "left")
+    run = Window.partitionBy("doc_id").orderBy("l1")
+    two = two.withColumn("step", F.when(F.col("l1") == F.lag("l2").over(run), 0).otherwise(1)).withColumn("run", F.sum("step").over(run))
+    each = two.select("doc_id", "run", "near", F.explode(F.array(F.struct(F.col("l1").alias("l"), F.col("s1").alias("s")), F.struct(F.col("l2").alias("l"), F.col("s2").alias("s")))).alias("e")).groupBy("doc_id", "run", F.col("e.l").alias("line_no")).agg(F.max("e.s").alias("stock"), F.min("near").alias("near"))
+    free = each.groupBy("doc_id", "run").agg(F.sum(F.when(F.col("stock").isNull(), 1).otherwise(0)).alias("free")).where("free >= 2").select("doc_id", "run")
+    kept = materialize(each.join(free, ["doc_id", "run"]).select("doc_id", "line_no", "near"), "runs")
+    # a short line inside goes with its window if an earlier mail of another sender has it there
+    gaps = hits.where("size(inner) > 0").join(kept.select("doc_id", F.col("line_no").alias("l1")), ["doc_id", "l1"], "left_semi").select("doc_id", "sender", "at", "src", "near", F.explode("inner").alias("i"))
+    told = w.where("size(inner) > 0").select(F.col("c").alias("src"), "at", "sender", F.explode("inner.t").alias("t")).groupBy("src", "t").agg(F.min(F.struct("at", "sender")).alias("f"))
+    alike = F.levenshtein(F.col("i.t"), F.col("t")) <= F.ceil(F.greatest(F.length("i.t"), F.length("t")) * edits)
+    enclosed = gaps.join(told, "src").where((F.col("f.at") < F.col("at")) & (F.col("f.sender") != F.col("sender")) & alike).select("doc_id", F.col("i.l").alias("line_no"), "near")
+    return kept.unionByName(enclosed).groupBy("doc_id", "line_no").agg(F.min("near").alias("near"))
 
 
 def boilerplate_lines(fresh: DataFrame, at_least: int = 3, share: float = 0.2) -> DataFrame:
@@ -386,7 +391,19 @@ def boilerplate_lines(fresh: DataFrame, at_least: int = 3, share: float = 0.2) -
     return fresh.join(often, ["sender", "below"]).select("doc_id", "line_no")
 
 
-def found(raw_docs: DataFrame) -> DataFrame:
-    fresh = materialize(mails_of(raw_docs).mapInPandas(_parse, _FRESH), "fresh")
-    drop = inherited_lines(fresh).unionByName(boilerplate_lines(fresh)).distinct()
+def lines_of(raw_docs: DataFrame, clocks: DataFrame | None = None) -> DataFrame:
+    """Fresh and quoted lines of all mails, with the windows that begin at them."""
+    return materialize(mails_of(raw_docs, clocks).mapInPandas(_parse, _FRESH), "lines")
+
+
+def found(raw_docs: DataFrame, clocks: DataFrame | None = None) -> DataFrame:
+    """(doc_id, line_no) of newly written lines. clocks: tool, tz_name, day_first for reading the mails' times."""
+    lines = lines_of(raw_docs, clocks)
+    fresh = lines.where("fresh")
+    drop = inherited_lines(lines).select("doc_id", "line_no").unionByName(boilerplate_lines(fresh)).distinct()
     return fresh.join(drop, ["doc_id", "line_no"], "left_anti").select("doc_id", "line_no")
+
+
+def inherited(raw_docs: DataFrame, clocks: DataFrame | None = None) -> DataFrame:
+    """(doc_id, line_no, near): unmarked lines taken from earlier mails."""
+    return inherited_lines(lines_of(raw_docs, clocks))

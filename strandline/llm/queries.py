@@ -14,7 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": lambda s, d: survivors.found(table(s, d, "claims")),
         "p1_best_record": lambda s, d: survivors.best_record(table(s, d, "claims")).select("subject_key", "predicate", "object_key", "claim_key", "complete"),
-        "p2_found": lambda s, d: mailtext.found(table(s, d, "raw_docs")),
+        "p2_found": lambda s, d: mailtext.found(table(s, d, "raw_docs"), table(s, d, "tool_clocks")),
+        "p2_inherited": lambda s, d: mailtext.inherited(table(s, d, "raw_docs"), table(s, d, "tool_clocks")),
         "p3_found": lambda s, d: components.found(table(s, d, "merges"), table(s, d, "clusters")),
         "p4_found": lambda s, d: turns.found(table(s, d, "raw_docs")),
         "p7_found": lambda s, d: names.found(table(s, d, "raw_docs"), table(s, d, "extracted_claims")),

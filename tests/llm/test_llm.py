@@ -151,35 +151,36 @@ def test_any_body_is_placed_once(body):
     assert [n for n, _, _ in got] == [i for i, x in enumerate(body.split("\n"), 1) if x.strip()]
 
 
-def test_hamming_tables_miss_nothing(spark):
-    signed = lambda x: x - 2**64 if x >= 2**63 else x
-    pairs = []
-    for i in range(40):
-        x = rnd.getrandbits(64)
-        y = x
-        for k in rnd.sample(range(64), 3):
+def test_hamming_tables_miss_nothing():
+    for _ in range(400):
+        x = y = rnd.getrandbits(64)
+        for k in rnd.sample(range(64), rnd.randint(0, 3)):
             y ^= 1 << k
-        pairs.append((f"a b c d e f {i}", signed(x), f"a b c d e f {i}x", signed(y)))
-    c = spark.createDataFrame([(s, f, False) for p in pairs for s, f in (p[:2], p[2:])], "sentence string, fp bigint, stock boolean")
-    got = {frozenset(r) for r in mailtext.near_classes(c).select("a", "b").collect()}
-    assert {frozenset((p[0], p[2])) for p in pairs} <= got
-    assert c.select(F.size(mailtext._keys(F.col("fp")))).first()[0] == 20
+        assert set(mailtext.hamming_keys(x)) & set(mailtext.hamming_keys(y))
 
 
-def test_edited_sentences_are_near(spark):
+def scrambled(s, edits):
+    for i in rnd.sample(range(len(s)), edits):
+        s = s[:i] + rnd.choice(("", "x", s[i : i + 1] + "y")) + s[i + 1 :]
+    return " ".join(s.split())
+
+
+def test_edited_windows_are_near(spark):
     words = ["".join(rnd.choices(string.ascii_lowercase, k=rnd.randint(2, 9))) for _ in range(400)]
-    base = [" ".join(rnd.choices(words, k=rnd.randint(6, 20))) for _ in range(300)]
+    base = [(" ".join(rnd.choices(words, k=rnd.randint(10, 20))), " ".join(rnd.choices(words, k=rnd.randint(10, 20)))) for _ in range(300)]
+    for edits, at_least in ((1, 1.0), (2, 0.99), (4, 0.9)):  # in each of the two sentences
+        rows_ = [(i, *w, 0, "a") for i, w in enumerate(base)] + [(i + 1000, scrambled(x, edits), scrambled(y, edits), 1, "b") for i, (x, y) in enumerate(base)]
+        got = {tuple(r) for r in mailtext.near_windows(spark.createDataFrame(rows_, "c bigint, text1 string, text2 string, at bigint, sender string")).collect()}
+        assert all(c == src + 1000 for c, src in got)
+        assert len(got) >= at_least * len(base)
 
-    def edited(s):
-        for _ in range(rnd.randint(1, len(s) // 10)):
-            i = rnd.randrange(len(s))
-            s = s[:i] + rnd.choice(("", "x", s[i] + "y")) + s[i + 1 :]
-        return " ".join(s.split())
 
-    pairs = {(s, e) for s in base if (e := edited(s)) != s}
-    c = spark.createDataFrame([(x, mailtext.simhash(x.split()), False) for x in {x for p in pairs for x in p}], "sentence string, fp bigint, stock boolean")
-    got = {tuple(r) for r in mailtext.near_classes(c).collect()}
-    assert len(pairs & got) >= 0.99 * len(pairs)
+def test_hot_templates_find_their_earliest(spark):
+    """Every filled-in template near-matches the earliest one; pairs grow with the rows, not their square."""
+    t = "the nightly report of run {:04d} is ready and can be read in the usual place by all", "please tell the owner of line {:04d} if anything in the list looks odd to you"
+    df = spark.createDataFrame([(i, t[0].format(i), t[1].format(i), i, "s") for i in range(600)], "c bigint, text1 string, text2 string, at bigint, sender string")
+    got = [tuple(r) for r in mailtext.near_windows(df).collect()]
+    assert {c for c, _ in got} == set(range(1, 600)) and len(got) < 600 * 30
 
 
 def test_really_edited_copies_are_inherited(spark):
@@ -192,6 +193,39 @@ S1 = "The first shared sentence describes the rollout plan for week twelve in de
 S2 = "The second shared sentence lists the owners of the seven remaining open tasks."
 
 
+def test_the_time_of_the_mail_decides_not_its_load(spark):
+    m = [("m1", "email", f"{S1}\n{S2}", "a@x.example", "A", DAY + dt.timedelta(days=9), "2026-01-02T10:00:00Z"), ("m2", "email", f"Mine.\n{S1}\n{S2}", "b@x.example", "B", DAY, "2026-01-03T10:00:00Z")]
+    df = spark.createDataFrame(m, MAIL_ROWS + ", created_at string")
+    assert rows(mailtext.found(df)) == {("m1", 1), ("m1", 2), ("m2", 1)}
+
+
+@pytest.mark.parametrize("more", [1, 3, 30])
+def test_copies_by_any_number_of_senders_are_inherited(spark, more):
+    got = rows(mailtext.found(mails(spark, ("a", f"{S1}\n{S2}"), *[(f"b{i}", f"Word from {i}.\n{S1}\n{S2}") for i in range(more)])))
+    assert got == {("m0", 1), ("m0", 2)} | {(f"m{i + 1}", 1) for i in range(more)}
+
+
+def test_quoted_lines_are_sources(spark):
+    got = rows(mailtext.found(mails(spark, ("a", f"See below.\n> {S1}\n> {S2}"), ("c", f"I pass on:\n{S1}\n{S2}"))))
+    assert got == {("m0", 1), ("m1", 1)}
+
+
+def test_own_earlier_text_is_no_inheritance(spark):
+    got = rows(mailtext.found(mails(spark, ("a", f"{S1}\n{S2}"), ("b", f"{S1}\n{S2}"), ("a", f"Again.\n{S1}\n{S2}"))))
+    assert got == {("m0", 1), ("m0", 2), ("m2", 1), ("m2", 2), ("m2", 3)}
+
+
+def test_inherited_marks_what_only_fingerprints_find(spark):
+    got = rows(mailtext.inherited(mails(spark, ("a", f"{S1}\n{S2}"), ("b", f"{S1}\n{S2}"), ("c", f"{S1.replace('weke', 'week').replace('plan', 'plans')}\n{S2}"))))
+    assert got == {("m1", 1, False), ("m1", 2, False), ("m2", 1, True), ("m2", 2, True)}
+
+
+def test_closings_of_any_language():
+    for closing in ("Atenciosamente,", "Met vriendelijke groet,", "Z poważaniem,", "Vennlig hilsen,"):
+        got = [p for _, p, _ in mailtext.places(f"Novo texto aqui.\n\n{closing}\nOtto Brandt", "otto.brandt@x.example", "Otto Brandt")]
+        assert got == ["fresh", "closing", "signature"]
+
+
 def mails(spark, *mails):
     return spark.createDataFrame([(f"m{i}", "email", body, f"{who}@x.example", who, DAY + dt.timedelta(days=i)) for i, (who, body) in enumerate(mails)], MAIL_ROWS)
 
