@@ -6,17 +6,17 @@
 2. Lines of six words or more are sentences; two neighbouring sentences are a window. Each
    different window has a 64-bit SimHash over its character 5-grams, cut into 5 blocks; each of
    the 10 pairs of blocks keys one Hamming partition table, so fingerprints within 3 bits share a key in some
-   table. An edit of a few words moves a fingerprint further than that, so windows that share one
-   of 32 MinHash keys over the same grams are candidates too. Candidates are verified by
-   the edit distance of both sentences.
+   table. An edit of a few words moves a fingerprint further than that, so fresh windows that share one
+   of 18 MinHash keys over the same grams are candidates too. Candidates are verified by
+   the edit distance of both sentences and by their numbers, which must be the same.
 3. A window is inherited, although nothing marks it, if the earliest mail that holds it or
    a near one, fresh or quoted, is another sender's. Short lines inside go with it if an earlier mail has them
    there; so do trailing blocks that recur through a sender's mails. Sentences that more
    senders hold outside of inherited windows than inside are stock phrases; a run of windows
    needs two lines that are none. How many senders hold a window doesn't matter.
 
-Every window is first compared with the earliest of each table key, a side that grows with keys, not pairs; only
-windows that fail there are compared with the other earlier ones of their keys.
+Every window is first compared with the earliest of each table key, so that pairs grow with the keys, not their square; only
+windows that fail there are compared with the others of their keys. Quoted windows have the Hamming tables only.
 
 "Earlier" is the time the mail itself states (read by the timestamp operator), or its load where that is missing or unclear; of redelivered
 rows the first load counts.
@@ -207,7 +207,7 @@ def places(body: str, email: str | None = None, raw: str | None = None) -> list[
     return out
 
 
-_BANDS, _ROWS, _GRAM = 32, 5, 5
+_BANDS, _ROWS, _GRAM = 18, 4, 5
 _ODD = np.random.default_rng(57).integers(1, 2**62, _BANDS * _ROWS + 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WIDTHS = (13, 13, 13, 13, 12)
 
@@ -242,22 +242,37 @@ def hamming_keys(fp: int) -> list[int]:
     return [(t << 32) + (blocks[i] << 16) + blocks[j] for t, (i, j) in enumerate(combinations(range(5), 2))]
 
 
-def window_keys(first: str, second: str) -> list[int]:
-    """Keys of the Hamming tables and MinHash bands of two neighbouring sentences."""
+def window_keys(first: str, second: str, fresh: bool = True) -> list[int]:
+    """Keys of the Hamming tables and, of fresh windows, MinHash bands of two neighbouring sentences.
+
+    There is one set of keys for each sequence of numbers in them.
+    """
     g = np.concatenate([_grams(first), _grams(second)])
-    least = ((np.unique(g)[:, None] * _ODD[None, 8:]) >> np.uint64(20)).min(axis=0).reshape(_BANDS, _ROWS)
-    band = np.arange(_BANDS, dtype=np.uint64)
-    for k in range(_ROWS):
-        band = _mix(band + least[:, k])
-    return hamming_keys(simhash(g)) + (band.astype(np.int64) | np.int64(-(2**63))).tolist()
+    numbers = xxhash.xxh3_64_intdigest(" ".join(re.findall(r"\d+", f"{first} . {second}"))) >> 2
+    out = [k ^ (numbers << 1) for k in hamming_keys(simhash(g))]
+    if fresh:
+        least = ((np.unique(g)[:, None] * _ODD[None, 8:]) >> np.uint64(20)).min(axis=0).reshape(_BANDS, _ROWS)
+        band = np.arange(_BANDS, dtype=np.uint64)
+        for k in range(_ROWS):
+            band = _mix(band + least[:, k])
+        out += [(k | -(2**63)) ^ (numbers & ~1) for k in band.astype(np.int64).tolist()]
+    return out
 
 
-_FRESH = "doc_id string, sender string, at bigint, line_no bigint, fresh boolean, tail boolean, sentence string, below bigint, under boolean, long boolean, windows array<struct<l2:bigint,text2:string,near:boolean,inner:array<struct<l:bigint,t:string>>>>"
+_FRESH = "doc_id string, sender string, at bigint, line_no bigint, fresh boolean, tail boolean, sentence string, below bigint, under boolean, long boolean, windows array<struct<l2:bigint,c:bigint,t2:bigint,next:boolean,inner:array<struct<l:bigint,t:string>>,keys:array<bigint>>>, t bigint"
 _UNQUOTE = re.compile(r"^(?:\s*(?:>|\||[A-Z]{1,3}>))+\s*")
 
 
-def _windows(lines: list[tuple[int, str, bool]]) -> dict[int, list[tuple]]:
-    """Of (line, sentence, long): by line, the windows that begin there; the next sentence, or the next but one."""
+#: Windows whose keys a task remembers having given, so that copies in one task give them once.
+_REMEMBERED = 200_000
+
+
+def _id(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - 2**63
+
+
+def _windows(lines: list[tuple[int, str, bool]], fresh: bool, given: set[int]) -> dict[int, list[tuple]]:
+    """Of (line, sentence, long): by line, the windows that begin there; with the next sentence, or the next but one."""
     at = [i for i, x in enumerate(lines) if x[2]]
     out: dict[int, list[tuple]] = {}
     for n, i in enumerate(at):
@@ -265,11 +280,18 @@ def _windows(lines: list[tuple[int, str, bool]]) -> dict[int, list[tuple]]:
             if n + gap < len(at):
                 j = at[n + gap]
                 inner = [(no, t) for no, t, long in lines[i + 1 : j] if not long] if gap == 1 else []
-                out.setdefault(lines[i][0], []).append((lines[j][0], lines[j][1], gap == 1, inner))
+                c, keys = _id(f"{lines[i][1]}\n{lines[j][1]}"), []
+                if gap == 1 and (c ^ fresh) not in given:
+                    if len(given) > _REMEMBERED:
+                        given.clear()
+                    given.add(c ^ fresh)
+                    keys = window_keys(lines[i][1], lines[j][1], fresh)
+                out.setdefault(lines[i][0], []).append((lines[j][0], c, _id(lines[j][1]), gap == 1, inner, keys))
     return out
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    given: set[int] = set()
     for b in batches:
         rows = []
         for doc, body, email, raw, at in zip(b["doc_id"], b["body"], b["author_email"], b["author_raw"], b["at"], strict=True):
@@ -284,49 +306,47 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 below = xxhash.xxh3_64_intdigest(f"{below} {' '.join(w)}")
                 ends.append(below - 2**63)
             mine = [(no, " ".join(w), len(w) >= 6) for (no, _, _), w in zip(fresh, words, strict=True)]
-            windows, under = _windows(mine), False
+            windows, under = _windows(mine, True, given), False
             for nth, (no, sentence, long) in enumerate(mine):
-                rows.append((doc, sender, at, no, True, no == last, sentence, ends[-1 - nth], under, long, windows.get(no, [])))
+                rows.append((doc, sender, at, no, True, no == last, sentence, ends[-1 - nth], under, long, windows.get(no, []), _id(sentence)))
                 under = under or long
             other = [(no, re.findall(r"[^\W_]+", _UNQUOTE.sub("", text).casefold())) for no, place, text in lines if place == "quoted"]
             other = [(no, " ".join(w), len(w) >= 6) for no, w in other]
-            windows = _windows(other)
-            rows += [(doc, "", at, no, False, False, sentence, 0, False, long, windows[no]) for no, sentence, long in other if no in windows]
+            windows = _windows(other, False, given)
+            rows += [(doc, "", at, no, False, False, sentence, 0, False, long, windows.get(no, []), _id(sentence)) for no, sentence, long in other if long]
         yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in _FRESH.split(", ")])
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame({"c": b["c"], "at": b["at"], "sender": b["sender"], "keys": [window_keys(x, y) for x, y in zip(b["text1"], b["text2"], strict=True)]})
-
-
-def near_windows(classes: DataFrame, edits: float = 0.1) -> DataFrame:
-    """(c, src): windows and earlier near windows; those that near-match the earliest of a key aren't compared with the others of it.
+def near_windows(lines: DataFrame, held: DataFrame, edits: float = 0.1) -> DataFrame:
+    """(c, src): windows and earlier near windows; those that near-match the head of a key aren't compared with the others of it.
 
-    classes: c, text1, text2, at, sender (of the earliest mail holding it), without repeats of c. Both
-    sentences must be within the edit limit.
+    lines: as of lines_of(); held: (c, at, sender, doc_id, l1, l2) of the earliest mail with each window. Both
+    sentences must be within the edit limit and have the same numbers, in which filled-in templates differ.
     """
-    keyed = classes.mapInPandas(_sketch, "c bigint, at bigint, sender string, keys array<bigint>")
-    keyed = materialize(keyed.select("c", "at", F.explode("keys").alias("key")), "keyed")
-    heads = keyed.groupBy("key").agg(F.min(F.struct("at", "c")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("f.c").alias("src"), F.col("f.at").alias("src_at"), "n")
-    heads = materialize(heads, "heads")
-    stars = materialize(keyed.join(heads, "key").where("c <> src").select("c", "src").distinct(), "stars")
-    text = lambda c, i: classes.select(F.col("c").alias(c), F.col("text1").alias(f"{i}1"), F.col("text2").alias(f"{i}2"))
-    limit = lambda a, b: F.ceil(F.greatest(F.length(a), F.length(b)) * edits).cast("int")
+    keyed = lines.select("at", F.explode("windows").alias("w")).select(F.explode("w.keys").alias("key"), "at", "w.c").repartition("key")
+    heads = keyed.groupBy("key").agg(F.min(F.struct("at", "c")).alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", F.col("f.c").alias("src"))
+    met = materialize(keyed.select("key", "c").join(heads.hint("merge"), "key").distinct(), "met")
+    stars = materialize(met.where("c <> src").select("c", "src").distinct(), "stars")
+    wanted = stars.select("c").unionByName(stars.select(F.col("src").alias("c"))).distinct()
+    spots = held.join(wanted, "c", "left_semi").select("c", "at", "doc_id", "l1", "l2")
+    text = lambda l, name: lines.where("long").select("doc_id", F.col("line_no").alias(l), F.col("sentence").alias(name))
+    texts = materialize(spots.join(text("l1", "text1"), ["doc_id", "l1"]).join(text("l2", "text2"), ["doc_id", "l2"]).dropDuplicates(["c"]).select("c", "at", "text1", "text2"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(text("c", "x"), "c").join(text("src", "y"), "src")
+        x = pairs.join(texts.select("c", F.col("at").alias("c_at"), F.col("text1").alias("x1"), F.col("text2").alias("x2")), "c")
+        x = x.join(texts.select(F.col("c").alias("src"), F.col("at").alias("src_at"), F.col("text1").alias("y1"), F.col("text2").alias("y2")), "src").where("src_at <= c_at")
         for i in (1, 2):
-            far = F.abs(F.length(f"x{i}") - F.length(f"y{i}")) > limit(f"x{i}", f"y{i}")
-            x = x.where(~far & (F.levenshtein(f"x{i}", f"y{i}") <= limit(f"x{i}", f"y{i}")))
+            a, b = F.col(f"x{i}"), F.col(f"y{i}")
+            most = F.ceil(F.greatest(F.length(a), F.length(b)) * edits).cast("int")
+            x = x.where(F.regexp_extract_all(a, F.lit(r"\d+"), F.lit(0)) == F.regexp_extract_all(b, F.lit(r"\d+"), F.lit(0)))
+            x = x.where((F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b) <= most))
         return x.select("c", "src")
 
     close = materialize(verified(stars), "close")
+    # what no head matched is compared with the other earlier windows of its keys
     open_ = stars.select("c").distinct().join(close.select("c"), "c", "left_anti")
-    # the rest of each key: what lies between its earliest window and an unmatched one
-    rest = keyed.join(heads.where("n > 2").select("key", "src"), "key").where("c <> src").drop("src")
-    late = rest.join(open_, "c", "left_semi").select("key", F.col("c").alias("c"), F.col("at").alias("c_at"))
-    more = late.join(rest.select("key", F.col("c").alias("src"), "at"), "key").where("c <> src and at <= c_at").select("c", "src").distinct()
+    rest = met.where("c <> src").select("key", "c")
+    more = rest.join(open_, "c", "left_semi").join(rest.select("key", F.col("c").alias("src")), "key").where("c <> src").select("c", "src").distinct()
     return close.unionByName(verified(more)).distinct()
 
 
@@ -345,11 +365,11 @@ def mails_of(raw_docs: DataFrame, clocks: DataFrame | None = None) -> DataFrame:
 
 def inherited_lines(lines: DataFrame, edits: float = 0.1) -> DataFrame:
     """(doc_id, line_no, near): lines of windows whose earliest mail is another sender's; near: found by the fingerprints only."""
-    w = lines.select("doc_id", "sender", "at", "fresh", F.col("line_no").alias("l1"), F.col("sentence").alias("text1"), F.explode("windows").alias("w")).select("doc_id", "sender", "at", "fresh", "l1", "w.l2", "text1", "w.text2", F.col("w.near").alias("next"), "w.inner")
-    w = materialize(w.withColumn("c", F.xxhash64("text1", "text2")), "windows")
-    first = F.min(F.struct("at", F.when(F.col("fresh"), 0).otherwise(1).alias("q"), "sender")).alias("f")
-    held = materialize(w.groupBy("c").agg(first, F.max("next").alias("next"), F.any_value("text1").alias("text1"), F.any_value("text2").alias("text2"), (F.count_distinct("doc_id") > 1).alias("several")).select("c", "f.at", "f.sender", "next", "several", "text1", "text2"), "held")
-    near = materialize(near_windows(held.where("next").select("c", "text1", "text2", "at", "sender"), edits), "near")
+    w = lines.select("doc_id", "sender", "at", "fresh", F.col("line_no").alias("l1"), F.col("t").alias("t1"), F.explode("windows").alias("w")).select("doc_id", "sender", "at", "fresh", "l1", "t1", "w.l2", "w.c", "w.t2", "w.next", "w.inner")
+    first = F.struct("at", F.when(F.col("fresh"), 0).otherwise(1).alias("q"), "sender", "doc_id", "l1", "l2")
+    held = w.groupBy("c").agg(F.min(first).alias("f"), F.max("next").alias("next"), (F.min("doc_id") != F.max("doc_id")).alias("several"))
+    held = materialize(held.select("c", "f.at", "f.sender", "f.doc_id", "f.l1", "f.l2", "next", "several"), "held")
+    near = materialize(near_windows(lines, held, edits), "near")
     own = held.where("several").select("c", F.col("c").alias("src"), F.col("at").alias("src_at"), F.col("sender").alias("src_sender"), F.lit(False).alias("near"))
     other = near.join(held.select(F.col("c").alias("src"), F.col("at").alias("src_at"), F.col("sender").alias("src_sender")), "src").select("c", "src", "src_at", "src_sender", F.lit(True).alias("near"))
     # the earliest holder of a window and its near ones; by itself first, so that `near` marks what only fingerprints find
@@ -357,14 +377,13 @@ def inherited_lines(lines: DataFrame, edits: float = 0.1) -> DataFrame:
     own_first = held.select("c", F.col("at").alias("own_at"), F.col("sender").alias("own_sender"))
     late = w.where("fresh and next").join(best, "c").join(own_first, "c").where("src_at < at and src_sender <> sender")
     late = late.withColumn("near", F.col("near") & ~((F.col("own_at") < F.col("at")) & (F.col("own_sender") != F.col("sender"))))
-    hits = materialize(late.select("doc_id", "sender", "at", "l1", "l2", "text1", "text2", "inner", "src", "near"), "hits")
+    hits = materialize(late.select("doc_id", "sender", "at", "l1", "l2", "t1", "t2", "inner", "src", "near"), "hits")
     # a stock phrase stands mostly alone: more senders hold it outside of inherited windows than inside
-    ends = lambda df: df.select("sender", F.explode(F.array("text1", "text2")).alias("t")).select("sender", F.xxhash64("t").alias("t"))
-    inside = ends(hits).groupBy("t").agg(F.count_distinct("sender").alias("inside"))
-    every = lines.where("fresh and long").select("sender", F.xxhash64("sentence").alias("t")).join(inside.select("t"), "t", "left_semi").groupBy("t").agg(F.count_distinct("sender").alias("senders"))
+    inside = hits.select("sender", F.explode(F.array("t1", "t2")).alias("t")).groupBy("t").agg(F.count_distinct("sender").alias("inside"))
+    every = lines.where("fresh and long").select("sender", "t").join(inside.select("t"), "t", "left_semi").groupBy("t").agg(F.count_distinct("sender").alias("senders"))
     # the sender of the source holds it inside too
     stock = every.join(inside, "t").where("senders - inside - 1 > inside + 1").select("t", F.lit(True).alias("stock"))
-    two = hits.select("doc_id", "l1", "l2", "near", F.xxhash64("text1").alias("t1"), F.xxhash64("text2").alias("t2"))
+    two = hits.select("doc_id", "l1", "l2", "near", "t1", "t2")
     for i in (1, 2):
         two = two.join(stock.select(F.col("t").alias(f"t{i}"), F.col("stock").alias(f"s{i}")), f"t{i}", "left")
     run = Window.partitionBy("doc_id").orderBy("l1")

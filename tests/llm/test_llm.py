@@ -1,5 +1,6 @@
 import datetime as dt
 import glob
+import itertools
 import os
 import random
 import re
@@ -165,22 +166,36 @@ def scrambled(s, edits):
     return " ".join(s.split())
 
 
+def two_line_mails(spark, windows):
+    """lines_of() and held windows of mails of two sentences each, in order."""
+    m = [(f"m{i:05d}", "email", f"{x}\n{y}", f"s{i}@x.example", None, DAY + dt.timedelta(minutes=i)) for i, (x, y) in enumerate(windows)]
+    lines = mailtext.lines_of(spark.createDataFrame(m, MAIL_ROWS))
+    w = lines.select("doc_id", "at", "sender", F.col("line_no").alias("l1"), F.explode("windows").alias("w"))
+    return lines, w.select("w.c", "at", "sender", "doc_id", "l1", "w.l2")
+
+
+def near_mails(spark, windows):
+    lines, held = two_line_mails(spark, windows)
+    at = {r["c"]: int(r["doc_id"][1:]) for r in held.collect()}
+    return {(at[c], at[src]) for c, src in mailtext.near_windows(lines, held).collect()}
+
+
 def test_edited_windows_are_near(spark):
     words = ["".join(rnd.choices(string.ascii_lowercase, k=rnd.randint(2, 9))) for _ in range(400)]
     base = [(" ".join(rnd.choices(words, k=rnd.randint(10, 20))), " ".join(rnd.choices(words, k=rnd.randint(10, 20)))) for _ in range(300)]
     for edits, at_least in ((1, 1.0), (2, 0.99), (4, 0.9)):  # in each of the two sentences
-        rows_ = [(i, *w, 0, "a") for i, w in enumerate(base)] + [(i + 1000, scrambled(x, edits), scrambled(y, edits), 1, "b") for i, (x, y) in enumerate(base)]
-        got = {tuple(r) for r in mailtext.near_windows(spark.createDataFrame(rows_, "c bigint, text1 string, text2 string, at bigint, sender string")).collect()}
-        assert all(c == src + 1000 for c, src in got)
+        got = near_mails(spark, base + [(scrambled(x, edits), scrambled(y, edits)) for x, y in base])
+        assert all(c == src + 300 for c, src in got)
         assert len(got) >= at_least * len(base)
 
 
 def test_hot_templates_find_their_earliest(spark):
     """Every filled-in template near-matches the earliest one; pairs grow with the rows, not their square."""
-    t = "the nightly report of run {:04d} is ready and can be read in the usual place by all", "please tell the owner of line {:04d} if anything in the list looks odd to you"
-    df = spark.createDataFrame([(i, t[0].format(i), t[1].format(i), i, "s") for i in range(600)], "c bigint, text1 string, text2 string, at bigint, sender string")
-    got = [tuple(r) for r in mailtext.near_windows(df).collect()]
-    assert {c for c, _ in got} == set(range(1, 600)) and len(got) < 600 * 30
+    t = ("the nightly report {} is ready and can be read in the usual place by all", "please tell the owner {} if anything in the list looks odd to you")
+    names_ = ["".join(x) for x in itertools.product("abcdefgh", repeat=3)]
+    got = near_mails(spark, [(t[0].format(x), t[1].format(x)) for x in names_])
+    assert {c for c, _ in got} == set(range(1, len(names_))) and len(got) < len(names_) * 40
+    assert not near_mails(spark, [(t[0].format(i), t[1].format(i)) for i in range(50)])
 
 
 def test_really_edited_copies_are_inherited(spark):
