@@ -218,47 +218,72 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _grams(sentence: str) -> np.ndarray:
-    c = np.frombuffer(sentence.ljust(_GRAM).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+#: Grams hashed at once; bounds the memory of very long mails.
+_CHUNK = 3_000
+
+
+def _sums(sentences: list[str], minhash: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each sentence: sums of the 64 bits of its grams' hashes, their number, and the least hash of each MinHash row."""
+    texts = [x.ljust(_GRAM) for x in sentences]
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     h = np.zeros(len(c) - _GRAM + 1, np.uint64)
     for i in range(_GRAM):
         h += c[i : len(c) - _GRAM + 1 + i] * _ODD[2 + i]
-    return _mix(h)
+    n = np.array([len(x) for x in texts])
+    ends = np.cumsum(n)
+    h = _mix(h[np.concatenate([np.arange(e - k, e - _GRAM + 1) for k, e in zip(n, ends, strict=True)])])
+    n = n - _GRAM + 1
+    start = np.cumsum(n) - n
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+    sums = np.add.reduceat(bits, start, axis=0, dtype=np.int64)
+    least = np.minimum.reduceat((h[:, None] * _ODD[None, 8:]) >> np.uint64(20), start, axis=0) if minhash else np.zeros((len(n), 0), np.uint64)
+    return sums, n, least
 
 
-def simhash(grams: np.ndarray) -> int:
-    """64-bit SimHash over hashed grams."""
-    total = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) * 2
-    up = (total > len(grams)) | ((total == len(grams)) & (np.arange(64) % 2 == 0))
-    return int(np.packbits(up).view(np.uint64)[0])
+def simhashes(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64-bit SimHashes of rows of bit sums over n hashes; ties alternate by bit."""
+    up = (sums * 2 > n[:, None]) | ((sums * 2 == n[:, None]) & (np.arange(64) % 2 == 0))
+    return np.packbits(up, axis=1).view(np.uint64)[:, 0]
 
 
-def hamming_keys(fp: int) -> list[int]:
+def hamming_keys(fp: np.ndarray) -> np.ndarray:
     """One key for each pair of the 5 blocks of a fingerprint."""
     blocks, at = [], 0
     for w in _WIDTHS:
-        blocks.append(fp >> at & ((1 << w) - 1))
+        blocks.append(fp >> np.uint64(at) & np.uint64((1 << w) - 1))
         at += w
-    return [(t << 32) + (blocks[i] << 16) + blocks[j] for t, (i, j) in enumerate(combinations(range(5), 2))]
+    return np.stack([(np.uint64(t) << np.uint64(32)) + (blocks[i] << np.uint64(16)) + blocks[j] for t, (i, j) in enumerate(combinations(range(5), 2))], axis=1)
 
 
-def window_keys(first: str, second: str, fresh: bool = True) -> list[int]:
-    """Keys of the Hamming tables and, of fresh windows, MinHash bands of two neighbouring sentences.
+def window_keys(sentences: list[str], first: list[int], second: list[int], fresh: bool = True) -> list[list[int]]:
+    """Keys of the Hamming tables and, of fresh windows, MinHash bands of the windows of two of the sentences each.
 
     There is one set of keys for each sequence of numbers in them.
     """
-    g = np.concatenate([_grams(first), _grams(second)])
-    numbers = xxhash.xxh3_64_intdigest(" ".join(re.findall(r"\d+", f"{first} . {second}"))) >> 2
-    out = [k ^ (numbers << 1) for k in hamming_keys(simhash(g))]
+    if not first:
+        return []
+    done, at = [], 0
+    while at < len(sentences):  # at least one sentence at a time
+        size, to = len(sentences[at]), at + 1
+        while to < len(sentences) and size + len(sentences[to]) <= _CHUNK:
+            size += len(sentences[to])
+            to += 1
+        done.append(_sums(sentences[at:to], fresh))
+        at = to
+    sums, n, least = (np.concatenate([d[k] for d in done]) for k in range(3))
+    digits = [" ".join(_NUMBER.findall(x)) for x in sentences]
+    numbers = np.array([xxhash.xxh3_64_intdigest(f"{digits[i]} . {digits[j]}") >> 2 for i, j in zip(first, second, strict=True)], np.uint64)[:, None] << np.uint64(1)
+    keys = [hamming_keys(simhashes(sums[first] + sums[second], n[first] + n[second])) ^ numbers]
     if fresh:
-        least = ((np.unique(g)[:, None] * _ODD[None, 8:]) >> np.uint64(20)).min(axis=0).reshape(_BANDS, _ROWS)
-        band = np.arange(_BANDS, dtype=np.uint64)
+        both = np.minimum(least[first], least[second]).reshape(-1, _BANDS, _ROWS)
+        band = np.broadcast_to(np.arange(_BANDS, dtype=np.uint64), both.shape[:2])
         for k in range(_ROWS):
-            band = _mix(band + least[:, k])
-        out += [(k | -(2**63)) ^ (numbers & ~1) for k in band.astype(np.int64).tolist()]
-    return out
+            band = _mix(band + both[:, :, k])
+        keys.append((band | np.uint64(1 << 63)) ^ numbers)
+    return np.concatenate(keys, axis=1).view(np.int64).tolist()
 
 
+_NUMBER = re.compile(r"\d+")
 _FRESH = "doc_id string, sender string, at bigint, line_no bigint, fresh boolean, tail boolean, sentence string, below bigint, under boolean, long boolean, windows array<struct<l2:bigint,c:bigint,t2:bigint,next:boolean,inner:array<struct<l:bigint,t:string>>,keys:array<bigint>>>, t bigint"
 _UNQUOTE = re.compile(r"^(?:\s*(?:>|\||[A-Z]{1,3}>))+\s*")
 
@@ -271,27 +296,44 @@ def _id(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - 2**63
 
 
-def _windows(lines: list[tuple[int, str, bool]], fresh: bool, given: set[int]) -> dict[int, list[tuple]]:
-    """Of (line, sentence, long): by line, the windows that begin there; with the next sentence, or the next but one."""
-    at = [i for i, x in enumerate(lines) if x[2]]
-    out: dict[int, list[tuple]] = {}
-    for n, i in enumerate(at):
-        for gap in (1, 2):
-            if n + gap < len(at):
-                j = at[n + gap]
-                inner = [(no, t) for no, t, long in lines[i + 1 : j] if not long] if gap == 1 else []
-                c, keys = _id(f"{lines[i][1]}\n{lines[j][1]}"), []
-                if gap == 1 and (c ^ fresh) not in given:
-                    if len(given) > _REMEMBERED:
-                        given.clear()
-                    given.add(c ^ fresh)
-                    keys = window_keys(lines[i][1], lines[j][1], fresh)
-                out.setdefault(lines[i][0], []).append((lines[j][0], c, _id(lines[j][1]), gap == 1, inner, keys))
-    return out
+class _Pending:
+    """Windows of a batch whose keys are computed together, and those a task has given keys for."""
+
+    def __init__(self) -> None:
+        self.given: set[int] = set()
+        self.texts: dict[bool, list[str]] = {True: [], False: []}
+        self.wanted: dict[bool, list[tuple[int, list]]] = {True: [], False: []}
+
+    def windows(self, lines: list[tuple[int, str, bool]], fresh: bool) -> dict[int, list[tuple]]:
+        """Of (line, sentence, long): by line, the windows that begin there; with the next sentence, or the next but one."""
+        at = [i for i, x in enumerate(lines) if x[2]]
+        out: dict[int, list[tuple]] = {}
+        ids, base = [_id(lines[i][1]) for i in at], len(self.texts[fresh])
+        self.texts[fresh] += [lines[i][1] for i in at]
+        for n, i in enumerate(at):
+            for gap in (1, 2):
+                if n + gap < len(at):
+                    j = at[n + gap]
+                    inner = [(no, t) for no, t, long in lines[i + 1 : j] if not long] if gap == 1 else []
+                    c, keys = _id(f"{lines[i][1]}\n{lines[j][1]}"), []
+                    if gap == 1 and (c ^ fresh) not in self.given:
+                        if len(self.given) > _REMEMBERED:
+                            self.given.clear()
+                        self.given.add(c ^ fresh)
+                        self.wanted[fresh].append((base + n, keys))
+                    out.setdefault(lines[i][0], []).append((lines[j][0], c, ids[n + gap], gap == 1, inner, keys))
+        return out
+
+    def fill(self) -> None:
+        for fresh, wanted in self.wanted.items():
+            first = [n for n, _ in wanted]
+            for (_, keys), got in zip(wanted, window_keys(self.texts[fresh], first, [n + 1 for n in first], fresh), strict=True):
+                keys += got
+            self.texts[fresh], self.wanted[fresh] = [], []
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    given: set[int] = set()
+    pending = _Pending()
     for b in batches:
         rows = []
         for doc, body, email, raw, at in zip(b["doc_id"], b["body"], b["author_email"], b["author_raw"], b["at"], strict=True):
@@ -306,14 +348,15 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 below = xxhash.xxh3_64_intdigest(f"{below} {' '.join(w)}")
                 ends.append(below - 2**63)
             mine = [(no, " ".join(w), len(w) >= 6) for (no, _, _), w in zip(fresh, words, strict=True)]
-            windows, under = _windows(mine, True, given), False
+            windows, under = pending.windows(mine, True), False
             for nth, (no, sentence, long) in enumerate(mine):
                 rows.append((doc, sender, at, no, True, no == last, sentence, ends[-1 - nth], under, long, windows.get(no, []), _id(sentence)))
                 under = under or long
             other = [(no, re.findall(r"[^\W_]+", _UNQUOTE.sub("", text).casefold())) for no, place, text in lines if place == "quoted"]
             other = [(no, " ".join(w), len(w) >= 6) for no, w in other]
-            windows = _windows(other, False, given)
+            windows = pending.windows(other, False)
             rows += [(doc, "", at, no, False, False, sentence, 0, False, long, windows.get(no, []), _id(sentence)) for no, sentence, long in other if long]
+        pending.fill()
         yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in _FRESH.split(", ")])
 
 
