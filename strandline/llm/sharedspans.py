@@ -8,7 +8,8 @@ positions in D meet in every pair of matching spans of `length` characters.
 1. Exact copies collapse to one class each; a class of several records is
    shared as a whole and stands for its records.
 2. Anchors (hash, class, position) are grouped by hash with map-side minimum
-   and maximum of the class; hashes with one class drop out.
+   and maximum of the class; hashes with one class drop out. What is left is written and counted: where it is small it
+   goes to all executors, and no anchor is shuffled with its position; where not, a (skew-splitting) shuffle joins it.
 3. A shared anchor extends: every span of `length` characters around it is
    hashed with two independent 64-bit hashes, and the spans that occur in a second class are kept. Their union
    is the shared part. No pairs of records are formed, so a passage held by a
@@ -28,10 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.runtime import materialize
+from strandline.runtime import broadcast_up_to, materialize
 
-#: A perfect difference set, every difference modulo 57 once.
-COVER, MODULUS = (0, 1, 3, 13, 32, 36, 43, 52), 57
+#: A perfect difference set, every difference modulo 91 once.
+COVER, MODULUS = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81), 91
+#: Shared hashes up to this number (about 70 MB in memory) are sent to all executors; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _CHUNK = 1 << 18
 _POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -131,7 +134,7 @@ def text_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes.select("cid", "several", "text"), members
 
 
-def found(documents: DataFrame, length: int = 200) -> DataFrame:
+def found(documents: DataFrame, length: int = 200, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, shared_chars) of the documents with shared_chars > 0."""
     if length < MODULUS + 32:
         raise ValueError(f"length must be at least {MODULUS + 32}")
@@ -140,11 +143,11 @@ def found(documents: DataFrame, length: int = 200) -> DataFrame:
     texts = classes.where(F.length("text") >= length)
     anchors = texts.select("cid", "text").mapInPandas(_anchors(length), f"h bigint, cid {idt}, pos int")
     shared = anchors.groupBy("h").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("h")
-    where = anchors.join(shared, "h").groupBy("cid").agg(F.collect_list("pos").alias("pos"))
+    where = anchors.join(broadcast_up_to(materialize(shared, "shared"), broadcast_rows), "h").groupBy("cid").agg(F.collect_list("pos").alias("pos"))
     open_ = materialize(texts.select("cid", "text").join(where, "cid"), "open")
     spans = open_.mapInPandas(_spans(length), f"h bigint, g bigint, cid {idt}, pos int")
     twice = spans.groupBy("h", "g").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("h", "g")
-    starts = spans.join(twice, ["h", "g"]).groupBy("cid").agg(F.array_sort(F.collect_list("pos")).alias("s"))
+    starts = spans.join(broadcast_up_to(materialize(twice, "twice"), broadcast_rows), ["h", "g"]).groupBy("cid").agg(F.array_sort(F.collect_list("pos")).alias("s"))
     covered = F.aggregate("s", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-length).cast("bigint").alias("last")), lambda a, x: F.struct((a["n"] + F.least(F.lit(length).cast("bigint"), x - a["last"])).alias("n"), x.cast("bigint").alias("last")), lambda a: a["n"])
     parts = starts.select("cid", covered.alias("n"))
     whole = texts.where("several").select("cid", F.length("text").cast("bigint").alias("n"))

@@ -17,7 +17,7 @@ Defined results: null or blank bodies and empty participant lists give nothing;
 speech before any label is nobody's and is left out; null and blank
 participants can't be chosen; repeated rows of a doc_id count once (first
 load); only rows of kind 'transcript' are read. Without time-marked transcripts
-a label must fit a participant by 0.6.
+a label must fit a participant by 0.6, a time-marked one by 0.5.
 """
 
 from __future__ import annotations
@@ -327,11 +327,11 @@ def clean_turns(body: str | None, entries: list[str] | None, model: BoostedTrees
     if not segs:
         return []
     x = features(segs, cast)
-    yes = model.chance(x) >= 0.5 if model else x[:, 0] >= 0.6
+    yes = model.chance(x) >= 0.5 if model else x[:, 0] >= np.where([s.marked for s in segs], 0.5, 0.6)
     pieces: list[tuple[float, int, str | None, list[str]]] = []  # time, order, label's owner, texts
     for s, new in zip(segs, yes, strict=True):
         who = cast.best(s.label)[2] if s.label else None
-        begins = who is not None and (bool(new) or (s.marked and cast.best(s.label)[0] >= 0.5))
+        begins = who is not None and bool(new)
         text = s.text if begins or s.label is None else f"{s.label}: {s.text}"
         if begins or (s.marked and s.time is not None and s.label is None) or not pieces:
             when = s.time if s.time is not None else (pieces[-1][0] if pieces else -1.0)
@@ -367,10 +367,14 @@ def transcripts_of(raw_docs: DataFrame) -> DataFrame:
 
 
 def boundary_model(raw_docs: DataFrame, sample: int = 200) -> BoostedTrees | None:
-    """Model trained on at most `sample` time-marked transcripts, chosen by hash of their id."""
-    t = raw_docs.where("kind = 'transcript' and body is not null and participants_raw is not null").where(F.col("body").rlike(r"(?m)^\s*(\[\d{1,2}:\d{2}|\d{1,2}:\d{2}:\d{2}|<v )|\(\d{1,2}:\d{2}\):"))
-    rows = t.select(F.xxhash64("doc_id").alias("h"), "doc_id", "body", "participants_raw").distinct().orderBy("h", "doc_id").limit(sample).collect()
-    return train([(r["body"], r["participants_raw"]) for r in rows])
+    """Model trained on at most `sample` time-marked transcripts, chosen by hash of their id.
+
+    Only ids are ranked; the bodies of the chosen ones alone come to the driver.
+    """
+    t = raw_docs.where("kind = 'transcript' and doc_id is not null and body is not null and participants_raw is not null").where(F.col("body").rlike(r"(?m)^\s*(\[\d{1,2}:\d{2}|\d{1,2}:\d{2}:\d{2}|<v )|\(\d{1,2}:\d{2}\):"))
+    ids = [r["doc_id"] for r in t.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    rows = transcripts_of(t.where(F.col("doc_id").isin(ids))).collect() if ids else []
+    return train([(r["body"], r["participants_raw"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
 def found(raw_docs: DataFrame) -> DataFrame:
