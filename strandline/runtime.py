@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIRS: list[str] = []
 
@@ -47,6 +48,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """A materialised table, marked for broadcast if it has no more than `rows` rows; its columns must be of bounded width."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files behind a materialised table that nothing reads any more."""
     spark = df.sparkSession
