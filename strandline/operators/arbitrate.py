@@ -74,8 +74,13 @@ def arbitrate(claims: DataFrame, schema: Schema | None = None) -> DataFrame:
 
 def decisions(claims: DataFrame, schema: Schema | None = None) -> DataFrame:
     """(winner, loser, relation, gap, reason) of every competing pair with different objects."""
+    return decided(arbitrate(claims, schema), schema)
+
+
+def decided(arbitrated: DataFrame, schema: Schema | None = None) -> DataFrame:
+    """Decisions of claims that are arbitrated already."""
     schema = schema or Schema()
-    x = arbitrate(claims, schema).where("status <> 'current'")
+    x = arbitrated.where("status <> 'current'")
     two = lambda c: F.format_string("%.2f", F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
     contested = F.concat(F.lit("contested: "), "winner_tool", F.lit(" "), two("winner_score"), F.lit(" vs "), "source_tool", F.lit(" "), two("score"), F.lit(" (gap "), two("gap"), F.lit(f" < {schema.margin})"))
     side = lambda tool, at, auth, score: [tool, F.lit(" ("), F.substring(F.coalesce(F.col(at).cast("string"), F.lit("")), 1, 10), F.lit(", authority "), two(auth), F.lit(", score "), two(score), F.lit(")")]

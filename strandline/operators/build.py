@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.text import slugify
-from strandline.operators import arbitrate, graph, resolve
+from strandline.functions.text import norm, slugify
+from strandline.operators import align, arbitrate, graph, resolve
 from strandline.plans.ontology import DEFAULT_AUTHORITY, Schema
 from strandline.runtime import materialize
 from strandline.sources.records import field_map_claims, hedged
@@ -57,17 +57,51 @@ def build_claims(extracted: DataFrame, docs: DataFrame, index: DataFrame, schema
     return x.groupBy("claim_key").agg(F.min(F.struct("evidence_span", *rest)).alias("r")).select("claim_key", "r.*")
 
 
-def build(docs: DataFrame, extracted: DataFrame | None = None, schema: Schema | None = None) -> dict[str, DataFrame]:
-    """Claims, decisions, clusters, nodes and edges of a corpus; without extracted statements its field maps give them."""
+_FACT = ["subject_surface", "subject_type", "predicate", "object_surface", "object_type", "source_tool", "source_doc_id", "asserted_at", "confidence", "evidence_span", "tier"]
+
+
+def united_facts(docs: DataFrame, extracted: DataFrame | None, schema: Schema) -> DataFrame:
+    """Statements of the field maps together with extracted ones, which are aligned with what the maps and titles establish; dropped ones are left out."""
+    parts = []
+    if "structured" in docs.columns:
+        parts.append(materialize(field_map_claims(docs, schema).select(*_FACT), "mapped"))
+    if extracted is not None:
+        key = F.concat(F.lit("artifact:"), "tool", F.lit(":"), slugify(F.col("doc_id")))
+        sure = extracted.select(*_FACT).where("tier = 'A'")
+        known = align.known_entities(parts[0].unionByName(sure) if parts else sure, docs.where("doc_id is not null and trim(title) <> ''").select("title", key.alias("key")))
+        parts.append(align.align(extracted.select(*_FACT), known, schema).where("action <> 'dropped'").select(*_FACT))
+    if not parts:
+        raise ValueError("build needs documents with native records, or extracted statements")
+    return materialize(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "facts")
+
+
+def build(docs: DataFrame, extracted: DataFrame | None = None, schema: Schema | None = None, cap: int | None = 200) -> dict[str, DataFrame]:
+    """Claims, decisions, clusters, people, nodes, edges and aliases of a corpus.
+
+    docs may hold native records (structured), whose field maps give statements; extracted
+    statements are aligned and added. cap: bucket limit of the resolution, None for none.
+    """
     schema = schema or Schema()
-    facts = extracted if extracted is not None else field_map_claims(docs, schema)
-    clusters = materialize(resolve.resolve(docs, facts), "clusters")
+    docs = latest_docs(docs)
+    facts = united_facts(docs, extracted, schema)
+    parts = resolve.resolve_parts(docs, facts, cap)
+    clusters = materialize(parts["clusters"], "clusters")
     claims = materialize(arbitrate.arbitrate(build_claims(facts, docs, resolve.surface_index(clusters), schema), schema), "claims")
-    people = clusters.groupBy("key").agg(F.min("canonical").alias("name")).select(F.lit("Person").alias("label"), "key", "name")
-    nodes = people.unionByName(graph.assemble_nodes(docs, claims)).groupBy("label", "key").agg(F.min("name").alias("name"))
-    aliases = clusters.select("key", F.explode("surfaces").alias("alias"))
-    edges = graph.assemble_edges(docs, claims).unionByName(aliases.select(F.lit("ALIAS_OF").alias("type"), F.concat(F.lit("alias:"), slugify(F.col("alias"))).alias("src"), F.col("key").alias("dst"))).distinct()
-    return {"claims": claims, "clusters": clusters, "nodes": nodes, "edges": edges, "aliases": aliases}
+    aliases = clusters.select("key", "canonical", F.explode("surfaces").alias("alias")).where(norm(F.col("alias")) != norm(F.col("canonical"))).select("key", "alias")
+    named = clusters.groupBy("key").agg(F.min("canonical").alias("name"))
+    evidence = merge_evidence(parts["scored"], parts["member"])
+    count = F.size(F.filter("surfaces", lambda s: norm(s) != norm(F.col("canonical"))))
+    people = clusters.join(evidence, "cluster", "left").select("key", F.col("canonical").alias("name"), F.coalesce(F.get("emails", F.lit(0)), F.lit("")).alias("email"), count.alias("alias_count"), F.col("mentions").alias("mention_count"), F.array_join("tools", ",").alias("tools"), F.coalesce("evidence", F.lit("")).alias("merge_evidence"))
+    edges = graph.assemble_edges(docs, claims).unionByName(aliases.select(F.lit("ALIAS_OF").alias("type"), graph.alias_key(F.col("alias")).alias("src"), F.col("key").alias("dst"))).distinct()
+    return {"claims": claims, "decisions": arbitrate.decided(claims, schema), "clusters": clusters, "people": people, "nodes": graph.assemble_nodes(docs, claims, named, aliases), "edges": edges, "aliases": aliases}
+
+
+def latest_docs(docs: DataFrame) -> DataFrame:
+    """One row per (tool, doc_id): the last loaded where loads are known; rows without id drop out."""
+    if "loaded_at" not in docs.columns:
+        return docs.where("doc_id is not null").dropDuplicates(["tool", "doc_id"])
+    w = Window.partitionBy("tool", "doc_id").orderBy(F.col("loaded_at").desc_nulls_last(), F.xxhash64(*[c for c in docs.columns]))
+    return materialize(docs.where("doc_id is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n"), "docs")
 
 
 def stats(built: dict[str, DataFrame]) -> DataFrame:
@@ -105,7 +139,8 @@ def thread_records(messages: DataFrame) -> DataFrame:
 
 
 def citations(docs: DataFrame) -> DataFrame:
-    """(src, dst): documents that name another one as /docs/<id> in their body."""
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    said = docs.where("doc_id is not null and body is not null").select(F.col("doc_id").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"/docs/([A-Za-z0-9_\-]+)"), F.lit(1)))).alias("doc_id"))
-    return said.join(ids, "doc_id").where("src <> doc_id").select("src", F.col("doc_id").alias("dst")).distinct()
+    """(src, dst): documents that name another one as /docs/<id> in title or body, in any case."""
+    ids = docs.select(F.lower("doc_id").alias("low"), F.col("doc_id").alias("dst")).where("dst is not null").distinct()
+    text = F.concat_ws(" ", "title", "body") if "title" in docs.columns else F.col("body")
+    said = docs.where("doc_id is not null").select(F.col("doc_id").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"/docs/([a-z0-9_\-]+)"), F.lit(1)))).alias("low"))
+    return said.join(ids, "low").where("src <> dst").select("src", "dst").distinct()

@@ -6,29 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.arbitrate import half_up
+from strandline.runtime import broadcast_up_to, materialize
 
 
 def terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[a-z0-9]+"), F.lit(0))
 
 
-def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of each query.
 
     docs: doc_id, text; queries: query_id, text. score is the sum over query
     tokens, repeats counting, of tf * idf / sqrt(document tokens) with
-    idf = ln((n + 1) / (df + 1)) + 1; ties go to the higher doc_id. Only terms of queries
-    are joined; partial sums meet per (query, document), and the ranking keeps k a query in every map task.
+    idf = ln((n + 1) / (df + 1)) + 1; ties go to the higher doc_id.
+
+    Weighted query terms are written, and go to all executors if they have at most `broadcast_rows` rows. The documents are then
+    scored where they are read: the partial sums of a (query, document) meet in its own task, which ranks and keeps k a query, so
+    no pair is shuffled. Beyond that number the terms are joined by a shuffle. Rows repeated for one doc_id are scored together.
     """
     d = docs.where("doc_id is not null").select("doc_id", terms(F.col("text")).alias("t"))
-    n = d.agg(F.countDistinct("doc_id").alias("n_docs"))
+    d = materialize(d.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")).repartition("doc_id"), "terms")
     asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = asked.select("term").distinct()
-    tf = d.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")).join(wanted, "term")
-    df = tf.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
-    idf = df.join(n, F.lit(True)).select("term", (F.log((F.col("n_docs") + 1).cast("double") / (F.col("df") + 1).cast("double")) + F.lit(1.0)).alias("idf"))
+    wanted = broadcast_up_to(materialize(asked.select("term").distinct(), "wanted"), broadcast_rows)
+    n_docs = docs.where("doc_id is not null").agg(F.countDistinct("doc_id")).first()[0]
+    df = d.join(wanted, "term").groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
+    idf = F.log(F.lit(float(n_docs + 1)) / (F.col("df") + 1).cast("double")) + F.lit(1.0)
+    weights = broadcast_up_to(materialize(asked.join(df, "term").select("query_id", "term", "qtf", idf.alias("idf")), "weights"), broadcast_rows)
     weight = F.col("qtf").cast("double") * F.col("tf").cast("double") * F.col("idf") / F.sqrt(F.col("len").cast("double"))
-    scored = tf.join(idf, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(half_up(F.sum(weight), 6).alias("score")).where("score > 0")
+    # the rows of one document are brought together once; its sums then need no exchange
+    scored = d.join(wanted, "term", "left_semi").repartition("doc_id").join(weights, "term").groupBy("doc_id", "query_id").agg(half_up(F.sum(weight), 6).alias("score")).where("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").desc())
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -54,16 +60,22 @@ def abstention(outcomes: DataFrame) -> DataFrame:
     return x.select("tp", "fp", "fn", half_up(F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(1.0)).alias("precision"), half_up(F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(1.0)).alias("recall"))
 
 
-def index_percentiles(values: DataFrame, key: str, value: str) -> DataFrame:
+def index_percentiles(values: DataFrame, key: str, value: str, ranges: int = 64) -> DataFrame:
     """(key, n, p50, p95): the values at places n // 2 and int(n * 0.95) - 1 of the ascending order, null values left out.
 
-    Ranks come from counts of equal values: one row per different value is ordered,
-    so a hot key costs its different values, not its rows.
+    The different values are cut into ranges of all keys together; counts of (key, range) say which range holds a
+    place, and only the values of that range are ordered, a (key, range) at a time. So no key, however
+    hot or continuous, is ordered as a whole.
     """
     c = values.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
-    n = c.groupBy(key).agg(F.sum("c").alias("n"))
-    w = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    x = c.withColumn("upto", F.sum("c").over(w)).join(n, key)
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
-    p95 = F.greatest(F.floor(F.col("n") * F.lit(0.95)) - 1, F.lit(0))
-    return x.groupBy(key).agg(F.first("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("p50"), at(p95).alias("p95"))
+    c = materialize(c.repartitionByRange(ranges, value).withColumn("range", F.spark_partition_id()), "counts")
+    per = c.groupBy(key, "range").agg(F.sum("c").alias("m"))
+    w = Window.partitionBy(key).orderBy("range")
+    per = per.withColumn("upto", F.sum("m").over(w)).withColumn("before", F.col("upto") - F.col("m"))
+    n = per.groupBy(key).agg(F.max("upto").alias("n"))
+    places = n.select(key, "n", F.explode(F.array(F.struct(F.lit("p50").alias("p"), F.floor(F.col("n") / 2).alias("place")), F.struct(F.lit("p95").alias("p"), F.greatest(F.floor(F.col("n") * F.lit(0.95)) - 1, F.lit(0)).alias("place")))).alias("x")).select(key, "n", "x.p", "x.place")
+    held = places.join(per, key).where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("upto"))).select(key, "n", "p", "place", "range", "before")
+    inside = held.join(c, [key, "range"])
+    order = Window.partitionBy(key, "p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    hit = inside.withColumn("at", F.sum("c").over(order) + F.col("before")).where(F.col("at") > F.col("place"))
+    return hit.groupBy(key).agg(F.first("n").alias("n"), F.min(F.when(F.col("p") == "p50", F.col(value))).alias("p50"), F.min(F.when(F.col("p") == "p95", F.col(value))).alias("p95"))

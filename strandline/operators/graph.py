@@ -32,6 +32,8 @@ def label_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         live = after
         if same:
             break
+    else:
+        raise RuntimeError(f"components weren't finished after {rounds} rounds")
     roots = live.select(F.col("b").alias("vertex"), F.col("a").alias("root"))
     return roots.unionByName(live.select(F.col("a").alias("vertex"), F.col("a").alias("root"))).distinct()
 
@@ -73,25 +75,45 @@ def entity_label(key: Column) -> Column:
     return F.when(prefix.isin("Person", "Team", "Project", "Account", "Artifact", "Decision", "Topic", "Group"), prefix).otherwise("Topic")
 
 
-def assemble_nodes(docs: DataFrame, claims: DataFrame) -> DataFrame:
-    """(label, key, name): artifacts, groups, entities of claims, claims."""
+def assemble_nodes(docs: DataFrame, claims: DataFrame, people: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """(label, key, name): artifacts, groups, entities of claims, claims; people (key, name) and aliases (alias) where given.
+
+    Names are kept as their source has them: an entity bears the literal of a claim
+    about it; without one the part of its key behind the first colon, hyphens as blanks.
+    """
     artifact = docs.where("doc_id is not null").select(F.lit("Artifact").alias("label"), F.concat(F.lit("artifact:"), "tool", F.lit(":"), slugify(F.col("doc_id"))).alias("key"), F.coalesce(F.when(F.trim("title") != "", F.col("title")), F.col("doc_id")).alias("name"))
     group = docs.select(F.explode("acl_groups").alias("name")).where("name is not null").select(F.lit("Group").alias("label"), F.concat(F.lit("group:"), slugify(F.col("name"))).alias("key"), "name")
-    ends = claims.select(F.explode(F.array("subject_key", "object_key")).alias("key")).where("key is not null")
-    entity = ends.where(~F.col("key").startswith("artifact:")).select(entity_label(F.col("key")).alias("label"), "key", F.replace(F.substring_index("key", ":", -1), F.lit("-"), F.lit(" ")).alias("name"))
+    literal = F.col("object_literal") if "object_literal" in claims.columns else F.lit(None).cast("string")
+    pair = lambda k, n: F.struct(k.alias("key"), n.alias("literal"))
+    ends = claims.select(F.explode(F.array(pair(F.col("subject_key"), F.lit(None).cast("string")), pair(F.col("object_key"), F.when(literal != "", literal)))).alias("e")).select("e.*").where("key is not null")
+    tail = F.replace(F.regexp_replace("key", r"^[^:]*:", ""), F.lit("-"), F.lit(" "))
+    entity = ends.where(~F.col("key").startswith("artifact:")).select(entity_label(F.col("key")).alias("label"), "key", F.coalesce("literal", tail).alias("name"), F.when(F.col("literal").isNull(), 1).otherwise(0).alias("rank"))
     claim = claims.where("claim_key is not null").select(F.lit("Claim").alias("label"), F.col("claim_key").alias("key"), F.col("predicate").alias("name"))
-    rows = artifact.unionByName(group).unionByName(entity).unionByName(claim)
-    return rows.groupBy("label", "key").agg(F.min("name").alias("name"))
+    rows = artifact.unionByName(group).unionByName(claim)
+    if people is not None:
+        rows = rows.unionByName(people.select(F.lit("Person").alias("label"), "key", "name"))
+    if aliases is not None:
+        rows = rows.unionByName(aliases.select(F.lit("Alias").alias("label"), alias_key(F.col("alias")).alias("key"), F.col("alias").alias("name")))
+    rows = rows.withColumn("rank", F.lit(0)).unionByName(entity)
+    return rows.groupBy("label", "key").agg(F.min(F.struct("rank", "name")).alias("r")).select("label", "key", "r.name")
+
+
+def alias_key(alias: Column) -> Column:
+    return F.concat(F.lit("alias:"), slugify(alias))
 
 
 def assemble_edges(docs: DataFrame, claims: DataFrame) -> DataFrame:
-    """(type, src, dst): visibility, claim ends, provenance, and one fast edge per claim."""
+    """(type, src, dst): visibility, claim ends, provenance, one fast edge per claim, and the decisions of arbitrated claims."""
     key = F.concat(F.lit("artifact:"), "tool", F.lit(":"), slugify(F.col("doc_id")))
     visible = docs.where("doc_id is not null").select(F.lit("VISIBLE_TO").alias("type"), key.alias("src"), F.explode("acl_groups").alias("g")).where("g is not null").select("type", "src", F.concat(F.lit("group:"), slugify(F.col("g"))).alias("dst"))
     fast = F.when(F.col("status") == "superseded", F.concat("predicate", F.lit("_SUPERSEDED"))).otherwise(F.col("predicate"))
     per = F.array(*[F.struct(F.lit(t).alias("type"), F.col("claim_key").alias("src"), F.col(c).alias("dst")) for t, c in (("ABOUT", "subject_key"), ("OBJECT", "object_key"), ("SOURCED_FROM", "source_artifact_key"), ("ASSERTED_BY", "asserted_by_key"))], F.struct(fast.alias("type"), F.col("subject_key").alias("src"), F.col("object_key").alias("dst")))
     of_claims = claims.where("claim_key is not null").select(F.explode(per).alias("e")).select("e.*").where("src is not null and dst is not null")
-    return visible.unionByName(of_claims).distinct()
+    edges = visible.unionByName(of_claims)
+    if "winner_key" in claims.columns:
+        decided = F.when(F.col("status") == "contested", "CONTRADICTS").otherwise("SUPERSEDES")
+        edges = edges.unionByName(claims.where("status <> 'current' and winner_key is not null").select(decided.alias("type"), F.col("winner_key").alias("src"), F.col("claim_key").alias("dst")))
+    return edges.distinct()
 
 
 def neighbors(edges: DataFrame, starts: DataFrame, types: list[str], direction: str = "both", limit: int | None = None) -> DataFrame:
@@ -122,27 +144,30 @@ def expand(edges: DataFrame, starts: DataFrame, types: list[str], hops: int) ->
 def shortest_paths(edges: DataFrame, pairs: DataFrame, types: list[str], longest: int = 4, count: int = 5) -> DataFrame:
     """(src, dst, length, path): up to count shortest undirected simple paths of each pair (src, dst), in order of length and path.
 
-    Both ends grow towards each other and meet in the middle, so the frontier
-    holds paths of half the length.
+    Both ends grow towards each other, a step at a time, and meet in the middle, so the frontier
+    holds paths of half the length. Pairs that have `count` paths grow no further.
     """
     e = edges.where(F.col("type").isin(*types))
-    two = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-
-    def grow(ids: DataFrame, steps: int) -> DataFrame:
-        level = ids.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path")).distinct()
-        out = level
-        for _ in range(steps):
-            nxt = level.join(two, level["node"] == two["src"]).where(~F.array_contains("path", F.col("dst"))).select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-            out, level = out.unionByName(nxt), nxt
-        return out
-
-    left = grow(pairs.select(F.col("src").alias("id")), (longest + 1) // 2).select(F.col("start").alias("src"), F.col("node"), F.col("path").alias("lp"))
-    right = grow(pairs.select(F.col("dst").alias("id")), longest // 2).select(F.col("start").alias("dst"), F.col("node"), F.col("path").alias("rp"))
-    back = F.reverse(F.slice(F.col("rp"), F.lit(1), F.size("rp") - 1))
-    met = left.join(pairs.select("src", "dst").distinct(), "src").join(right, ["dst", "node"]).select("src", "dst", F.concat("lp", back).alias("path"))
-    simple = met.where((F.size(F.array_distinct("path")) == F.size("path")) & (F.size("path") > 1) & (F.size("path") <= longest + 1)).distinct()
-    w = Window.partitionBy("src", "dst").orderBy(F.size("path"), "path")
-    return simple.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= count).select("src", "dst", (F.size("path") - 1).alias("length"), "path")
+    two = materialize(e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both_ways")
+    open_ = materialize(pairs.select("src", "dst").distinct(), "open_pairs")
+    start = lambda c: open_.select(F.col(c).alias("start")).distinct().select("start", F.col("start").alias("node"), F.array("start").alias("path"))
+    sides, found = {"src": start("src"), "dst": start("dst")}, None
+    for length in range(1, longest + 1):
+        side = "src" if length % 2 else "dst"
+        level = sides[side].join(open_.select(F.col(side).alias("start")).distinct(), "start", "left_semi")
+        level = level.join(two.select(F.col("src").alias("node"), F.col("dst").alias("to")), "node").where(~F.array_contains("path", F.col("to")))
+        sides[side] = materialize(level.select("start", F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path")), "frontier")
+        left = sides["src"].select(F.col("start").alias("src"), "node", F.col("path").alias("lp"))
+        right = sides["dst"].select(F.col("start").alias("dst"), "node", F.col("path").alias("rp"))
+        back = F.reverse(F.slice(F.col("rp"), F.lit(1), F.size("rp") - 1))
+        met = left.join(open_, "src").join(right, ["dst", "node"]).select("src", "dst", F.concat("lp", back).alias("path")).where(F.size(F.array_distinct("path")) == F.size("path"))
+        w = Window.partitionBy("src", "dst").orderBy("path")
+        met = met.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= count).select("src", "dst", F.lit(length).alias("length"), "path")
+        found = materialize(met if found is None else found.unionByName(met), "paths")
+        full = found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= count)
+        open_ = materialize(open_.join(full, ["src", "dst"], "left_anti"), "open_pairs")
+    w = Window.partitionBy("src", "dst").orderBy("length", "path")
+    return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= count).select("src", "dst", "length", "path")
 
 
 def keyset_page(df: DataFrame, key: str, after: object, n: int = 1000) -> DataFrame:

@@ -23,6 +23,7 @@ latest loaded one of an owner wins; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +80,9 @@ def structural_index(docs: list[bytes]) -> dict[str, np.ndarray]:
     return {"buf": buf, "start": start, "pos": pos, "ch": ch, "depth": depth, "inside": inside, "index": index, "quotes": quotes}
 
 
+_BLANKS = re.compile(rb"[ \t]*")
+
+
 def _pointer(key: str) -> str:
     return key.replace("~", "~0").replace("/", "~1")
 
@@ -105,9 +109,7 @@ def linked_paths(texts: list[str | None]) -> tuple[list[tuple[int, list[str], li
         if not text or not text.strip():
             continue
         v = _parses(text, (dict, list, str))
-        for _ in range(8):  # whole records stored as text, perhaps more than once
-            if not isinstance(v, str):
-                break
+        while isinstance(v, str):  # whole records stored as text, however often; each time the text gets shorter
             text, v = v, _parses(v, (dict, list, str))
         if isinstance(v, dict | list):
             work.append((i, text.encode("utf-8", "surrogatepass"), "", "", [], []))
@@ -158,7 +160,7 @@ def linked_paths(texts: list[str | None]) -> tuple[list[tuple[int, list[str], li
                     continue
                 a, b = quote_at[n_quotes[t]], quote_at[n_quotes[t] + 1]
                 end = places[t + 1] if t + 1 < len(places) else len(buf)
-                if a < end and buf[a + 1 : a + 80].lstrip(b" \t")[:1] in (b"[", b"\\"):
+                if a < end and buf[_BLANKS.match(buf, a + 1).end()] in b"[\\":
                     inner = json.loads(buf[a : b + 1])
                     if inner.lstrip()[:1] == "[" and _parses(inner, (list,)) is not None:
                         if c == 91:

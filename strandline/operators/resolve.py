@@ -56,50 +56,71 @@ def addressed(docs: DataFrame) -> DataFrame:
     return said.join(known, "token", "left_semi").select("author_norm", "token")
 
 
-def score_pairs(pairs: DataFrame, cands: DataFrame, spoken: DataFrame | None = None) -> DataFrame:
-    """(a, b, score, evidence, veto, decision) of pairs (a, b). cands: id, surface, email, threads, norms.
+# The weights of the pieces of evidence.
+SAME_MAIL, SPELLED, IDENTICAL, SAME_BOTH, INITIAL, SIMILAR, PER_TOKEN, MOST_TOKENS, CLOSE, NEAR, PER_THREAD, MOST_THREADS = 1.0, 0.6, 0.8, 0.7, 0.55, 0.45, 0.18, 0.35, 0.25, 0.10, 0.02, 0.10
+
+
+def vetoed_pairs(pairs: DataFrame, cands: DataFrame, spoken: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) with the surfaces, addresses and tokens of both and their veto ('' if none).
 
-    Vetoes come first and are absolute; only pairs without one reach the string similarity.
+    Addresses and words said are equi-joins; surnames are compared once per different pair of surnames.
     """
-    side = lambda p: cands.select(F.col("id").alias(p), F.col("surface").alias(f"s_{p}"), F.lower(F.coalesce("email", F.lit(""))).alias(f"e_{p}"), surface_tokens(F.col("surface")).alias(f"t_{p}"), F.col("threads").alias(f"th_{p}"), norm(F.col("surface")).alias(f"n_{p}"))
-    x = pairs.join(side("a"), "a").join(side("b"), "b")
+    side = lambda p: cands.select(F.col("id").alias(p), F.col("surface").alias(f"s_{p}"), F.lower(F.coalesce("email", F.lit(""))).alias(f"e_{p}"), surface_tokens(F.col("surface")).alias(f"t_{p}"), norm(F.col("surface")).alias(f"n_{p}"))
+    end = lambda c, i: F.coalesce(F.element_at(F.when(F.size(c) > 0, F.col(c)), i), F.lit(""))
+    lit = lambda p: materialize(side(p), f"side_{p}")
+    x = pairs.join(lit("a"), "a").join(lit("b"), "b")
+    x = x.select("*", end("t_a", -1).alias("la"), end("t_b", -1).alias("lb"), end("t_a", 1).alias("fa"), end("t_b", 1).alias("fb"))
+    x = materialize(x, "sides")
+    mails = (F.col("e_a") != "") & (F.col("e_b") != "")
     if spoken is not None:
-        lists = spoken.groupBy("author_norm").agg(F.collect_set("token").alias("said"))
-        for p in "ab":
-            x = x.join(lists.select(F.col("author_norm").alias(f"n_{p}"), F.col("said").alias(f"said_{p}")), f"n_{p}", "left")
-        none = F.array().cast("array<string>")
-        apart = F.arrays_overlap(F.coalesce("said_a", none), "t_b") | F.arrays_overlap(F.coalesce("said_b", none), "t_a")
+        said = lambda p, q: x.select("a", "b", F.col(f"n_{p}").alias("author_norm"), F.explode(f"t_{q}").alias("token"))
+        apart = said("a", "b").unionByName(said("b", "a")).join(spoken.select("author_norm", "token").distinct(), ["author_norm", "token"], "left_semi").select("a", "b").distinct()
+        x = x.join(apart.withColumn("apart", F.lit(True)), ["a", "b"], "left")
     else:
-        apart = F.lit(False)
-    end = lambda c, i: F.coalesce(F.element_at(F.when(F.size(c) > 0, F.col(c)), i), F.lit(""))
-    x = x.select("*", end("t_a", -1).alias("la"), end("t_b", -1).alias("lb"), end("t_a", 1).alias("fa"), end("t_b", 1).alias("fb"), F.coalesce(apart, F.lit(False)).alias("apart"))
+        x = x.withColumn("apart", F.lit(None).cast("boolean"))
+    first = F.when(mails & (F.col("e_a") != F.col("e_b")), "email_conflict").when(F.col("apart"), "distinct_speakers").otherwise("")
+    full = (F.size("t_a") > 1) & (F.size("t_b") > 1) & (F.length("la") > 1) & (F.length("lb") > 1) & (F.col("la") != F.col("lb"))
+    x = x.withColumn("veto", first).withColumn("ask", full & (F.col("veto") == "")).drop("apart")
+    surnames = materialize(x.where("ask").select("la", "lb").distinct(), "surnames").withColumn("jl", jaro_winkler("la", "lb"))
+    x = x.join(surnames, ["la", "lb"], "left")
+    return x.withColumn("veto", F.when(F.col("ask") & (F.col("jl") < 0.92), "surname_conflict").otherwise(F.col("veto"))).drop("ask", "jl")
+
+
+def score_pairs(pairs: DataFrame, cands: DataFrame, spoken: DataFrame | None = None) -> DataFrame:
+    """(a, b, score, evidence, veto, decision) of pairs (a, b). cands: id, surface, email, threads.
+
+    Vetoes come first and are absolute; only pairs without one reach threads and string similarity.
+    """
+    every = materialize(vetoed_pairs(pairs, cands, spoken), "vetoed")
+    none = F.array().cast("array<string>")
+    barred = every.where("veto <> ''").select("a", "b", F.lit(0.0).alias("score"), none.alias("evidence"), "veto", F.lit("reject").alias("decision"))
+    threads = lambda p: cands.select(F.col("id").alias(p), F.col("threads").alias(f"th_{p}"))
+    x = every.where("veto = ''").join(threads("a"), "a").join(threads("b"), "b").withColumn("n_threads", F.size(F.array_intersect("th_a", "th_b"))).drop("th_a", "th_b")
+    both = (F.size("t_a") > 0) & (F.size("t_b") > 0)
+    initial = (F.length("fa") == 1) | (F.length("fb") == 1)
+    need = (F.col("la") != "") & (F.col("la") == F.col("lb")) & (F.col("fa") != F.col("fb")) & ~initial
+    x = materialize(x.withColumn("need", need), "open")
+    names = materialize(x.where("need").select("fa", "fb").distinct(), "names").withColumn("jf", jaro_winkler("fa", "fb"))
+    x = x.join(names, ["fa", "fb"], "left").withColumn("jn", jaro_winkler(F.array_join("t_a", " "), F.array_join("t_b", " ")))
     mails = (F.col("e_a") != "") & (F.col("e_b") != "")
-    full = (F.size("t_a") > 1) & (F.size("t_b") > 1) & (F.length("la") > 1) & (F.length("lb") > 1)
-    x = x.withColumn("jl", jaro_winkler("la", "lb")).withColumn("jf", jaro_winkler("fa", "fb")).withColumn("jn", jaro_winkler(F.array_join("t_a", " "), F.array_join("t_b", " ")))
-    veto = F.when(mails & (F.col("e_a") != F.col("e_b")), "email_conflict").when(F.col("apart"), "distinct_speakers").when(full & (F.col("la") != F.col("lb")) & (F.col("jl") < 0.92), "surname_conflict").otherwise("")
     spells = lambda e, t: (F.col(e) != "") & (F.size(t) > 0) & (F.size(F.array_except(t, surface_tokens(F.col(e)))) == 0) & F.exists(t, lambda w: F.length(w) > 2)
-    same_mail = F.when(mails & (F.col("e_a") == F.col("e_b")), 1.0).otherwise(0.0)
-    spelled = F.when(spells("e_a", "t_b") | spells("e_b", "t_a"), 0.6).otherwise(0.0)
-    initial = (F.length("fa") == 1) | (F.length("fb") == 1)
+    same_mail = F.when(mails & (F.col("e_a") == F.col("e_b")), SAME_MAIL).otherwise(0.0)
+    spelled = F.when(spells("e_a", "t_b") | spells("e_b", "t_a"), SPELLED).otherwise(0.0)
     short = F.when(F.length("la") == 1, F.col("la")).otherwise(F.col("lb"))
     long_ = F.when(F.length("la") == 1, F.col("lb")).otherwise(F.col("la"))
-    both = (F.size("t_a") > 0) & (F.size("t_b") > 0)
     name = (
-        F.when(both & (F.col("t_a") == F.col("t_b")), 0.8)
-        .when((F.col("la") != "") & (F.col("la") == F.col("lb")), F.when(F.col("fa") == F.col("fb"), 0.7).when(initial, F.when(F.substring("fa", 1, 1) == F.substring("fb", 1, 1), 0.55).otherwise(0.0)).when(F.col("jf") > 0.85, 0.45).otherwise(0.0))
-        .when(both & (F.col("fa") == F.col("fb")) & (is_handle(F.col("s_a")) | is_handle(F.col("s_b"))) & (F.length(short) == 1) & long_.startswith(short), 0.55)
+        F.when(both & (F.col("t_a") == F.col("t_b")), IDENTICAL)
+        .when((F.col("la") != "") & (F.col("la") == F.col("lb")), F.when(F.col("fa") == F.col("fb"), SAME_BOTH).when(initial, F.when(F.substring("fa", 1, 1) == F.substring("fb", 1, 1), INITIAL).otherwise(0.0)).when(F.col("jf") > 0.85, SIMILAR).otherwise(0.0))
+        .when(both & (F.col("fa") == F.col("fb")) & (is_handle(F.col("s_a")) | is_handle(F.col("s_b"))) & (F.length(short) == 1) & long_.startswith(short), INITIAL)
         .otherwise(0.0)
     )
-    shared = F.size(F.filter(F.array_intersect("t_a", "t_b"), lambda w: F.length(w) > 2))
-    overlap = F.least(F.lit(0.35), shared * F.lit(0.18))
-    close = F.when(both & (F.col("jn") > 0.90), 0.25).when(both & (F.col("jn") > 0.80), 0.10).otherwise(0.0)
-    n_threads = F.size(F.array_intersect("th_a", "th_b"))
-    thread = F.least(F.lit(0.10), n_threads * F.lit(0.02))
-    x = x.withColumn("veto", veto).withColumn("raw", same_mail + spelled + name + overlap + close + thread)
-    evidence = F.filter(F.array(F.when(same_mail > 0, "same email"), F.when(spelled > 0, "email local part spells the name"), F.when(name == 0.8, "identical normalized name").when(name == 0.7, "same surname and given name").when(name == 0.55, "initial matches").when(name == 0.45, "given names similar"), F.when(shared > 0, F.concat(shared.cast("string"), F.lit(" shared name tokens"))), F.when(close > 0, "Jaro-Winkler close"), F.when(thread > 0, F.concat(F.lit("co-occurred in "), n_threads.cast("string"), F.lit(" thread(s)")))), lambda e: e.isNotNull())
-    score = F.when(F.col("veto") != "", 0.0).otherwise(half_up(F.least(F.lit(1.0), "raw"), 3))
-    decision = F.when((F.col("veto") != "") | (score < REJECT), "reject").when(score >= MERGE, "merge").otherwise("adjudicate")
-    return x.select("a", "b", score.alias("score"), F.when(F.col("veto") != "", F.array().cast("array<string>")).otherwise(evidence).alias("evidence"), F.col("veto"), decision.alias("decision"))
+    x = materialize(x.select("a", "b", "n_threads", same_mail.alias("mail"), spelled.alias("spelled"), name.alias("name"), F.size(F.filter(F.array_intersect("t_a", "t_b"), lambda w: F.length(w) > 2)).alias("shared"), F.when(both & (F.col("jn") > 0.90), CLOSE).when(both & (F.col("jn") > 0.80), NEAR).otherwise(0.0).alias("close")), "features")
+    name = F.col("name")
+    raw = F.col("mail") + F.col("spelled") + name + F.least(F.lit(MOST_TOKENS), F.col("shared") * F.lit(PER_TOKEN)) + F.col("close") + F.least(F.lit(MOST_THREADS), F.col("n_threads") * F.lit(PER_THREAD))
+    evidence = F.filter(F.array(F.when(F.col("mail") > 0, "same email"), F.when(F.col("spelled") > 0, "email local part spells the name"), F.when(name == IDENTICAL, "identical normalized name").when(name == SAME_BOTH, "same surname and given name").when(name == INITIAL, "initial matches").when(name == SIMILAR, "given names similar"), F.when(F.col("shared") > 0, F.concat(F.col("shared").cast("string"), F.lit(" shared name tokens"))), F.when(F.col("close") > 0, "Jaro-Winkler close"), F.when(F.col("n_threads") > 0, F.concat(F.lit("co-occurred in "), F.col("n_threads").cast("string"), F.lit(" thread(s)")))), lambda e: e.isNotNull())
+    score = half_up(F.least(F.lit(1.0), raw), 3)
+    decision = F.when(score < REJECT, "reject").when(score >= MERGE, "merge").otherwise("adjudicate")
+    return x.select("a", "b", score.alias("score"), evidence.alias("evidence"), F.lit("").alias("veto"), decision.alias("decision")).unionByName(barred)
 
 
 def _greedy(p: pd.DataFrame) -> pd.DataFrame:
@@ -134,13 +155,12 @@ def _greedy(p: pd.DataFrame) -> pd.DataFrame:
 
 
 def clusters(scored: DataFrame) -> DataFrame:
-    """(id, cluster): greedy merging by score under vetoes, exact.
+    """(id, cluster): greedy merging by score under vetoes, exact. scored: as of score_pairs(), best written already.
 
     Merges act inside components of the merge graph only. A component without a
     veto between its members is one cluster and needs no further work; the others
     run the greedy loop in one task each, whose size is their own number of pairs.
     """
-    scored = materialize(scored.select("a", "b", "score", "veto", "decision"), "scored")
     merge = scored.where("decision = 'merge'")
     comp = materialize(label_components(merge.select("a", "b")), "components")
     inside = scored.where("decision = 'merge' or veto <> ''").join(comp.select(F.col("vertex").alias("a"), F.col("root").alias("ra")), "a").join(comp.select(F.col("vertex").alias("b"), F.col("root").alias("rb")), "b").where("ra = rb")
@@ -176,9 +196,16 @@ def lookup(asked: DataFrame, index: DataFrame) -> DataFrame:
     return asked.join(best, F.col("surface").eqNullSafe(F.col("_s")) & F.col("email").eqNullSafe(F.col("_e")), "left").drop("_s", "_e")
 
 
-def resolve(docs: DataFrame, extracted: DataFrame, cap: int | None = 200) -> DataFrame:
-    """Clusters of people over documents and claims."""
+def resolve_parts(docs: DataFrame, extracted: DataFrame, cap: int | None = 200) -> dict[str, DataFrame]:
+    """Clusters of people over documents and claims, with their candidates, scored pairs and members."""
     c = candidates(mentions(docs, extracted)).withColumn("id", F.concat_ws("|", "surface_norm", "email")).withColumnRenamed("display", "surface")
     c = materialize(c, "candidates")
     pairs = materialize(candidate_pairs(c, cap), "pairs")
-    return roll_up(c, clusters(score_pairs(pairs, c, addressed(docs))))
+    scored = materialize(score_pairs(pairs, c, addressed(docs)), "scored")
+    member = clusters(scored)
+    return {"clusters": roll_up(c, member), "scored": scored, "member": member, "candidates": c}
+
+
+def resolve(docs: DataFrame, extracted: DataFrame, cap: int | None = 200) -> DataFrame:
+    """Clusters of people over documents and claims."""
+    return resolve_parts(docs, extracted, cap)["clusters"]

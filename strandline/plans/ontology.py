@@ -11,29 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 NODE_TYPES = ("Person", "Alias", "Team", "Project", "Account", "Artifact", "Decision", "Topic", "Claim", "Group")
 STRUCTURAL_EDGES = ("ALIAS_OF", "ABOUT", "OBJECT", "SOURCED_FROM", "ASSERTED_BY", "SUPERSEDES", "CONTRADICTS", "VISIBLE_TO")
 PREDICATES = {
-    "ASSIGNED_TO": ("Artifact Project Decision", "Person", True, "one", None, {"Project": "OWNED_BY", "Account": "OWNED_BY"}),
-    "OWNED_BY": ("Project Account Artifact", "Person Team", True, "one", "OWNS", {}),
-    "REPORTS_TO": ("Person", "Person", True, "one", None, {}),
-    "STATUS_IS": ("Project Artifact Decision", "Topic", True, "one", None, {}),
-    "DUE_ON": ("Project Artifact", "Topic", True, "one", None, {}),
-    "PRIORITY_IS": ("Project Artifact", "Topic", True, "one", None, {}),
-    "BUDGET_IS": ("Project Account", "Topic", True, "one", None, {}),
-    "SCHEDULED_FOR": ("Artifact Project", "Topic", True, "one", None, {}),
-    "RESOLVED_BY": ("Artifact", "Person", True, "one", None, {}),
-    "OWNS": ("Person Team", "Project Account Topic", True, "many", "OWNED_BY", {}),
-    "MEMBER_OF": ("Person", "Team Project", True, "many", None, {}),
-    "WORKS_ON": ("Person", "Project Topic", True, "many", None, {}),
-    "BLOCKS": ("Project Artifact", "Project Artifact", True, "many", None, {}),
-    "DEPENDS_ON": ("Project Artifact", "Project Artifact", True, "many", None, {}),
-    "CUSTOMER_OF": ("Account", "Project Team", True, "many", None, {}),
-    "ESCALATED_TO": ("Artifact Account", "Person Team", True, "many", None, {}),
-    "RISK_OF": ("Project Account", "Topic", True, "many", None, {}),
-    "DECIDED": ("Person Team", "Decision", False, "many", None, {}),
-    "REVIEWED_BY": ("Artifact", "Person", False, "many", None, {}),
-    "AUTHORED": ("Person", "Artifact", False, "many", None, {}),
-    "MENTIONS": ("Artifact", "Person Project Account Topic", False, "many", None, {}),
-    "DISCUSSED_IN": ("Project Topic Account", "Artifact", False, "many", None, {}),
-    "REFERENCES": ("Artifact", "Artifact", False, "many", None, {}),
+    "ASSIGNED_TO": (("Artifact", "Project", "Decision"), ("Person",), True, "one", None, {"Project": "OWNED_BY", "Account": "OWNED_BY"}),
+    "OWNED_BY": (("Project", "Account", "Artifact"), ("Person", "Team"), True, "one", "OWNS", {}),
+    "REPORTS_TO": (("Person",), ("Person",), True, "one", None, {}),
+    "STATUS_IS": (("Project", "Artifact", "Decision"), ("Topic",), True, "one", None, {}),
+    "DUE_ON": (("Project", "Artifact"), ("Topic",), True, "one", None, {}),
+    "PRIORITY_IS": (("Project", "Artifact"), ("Topic",), True, "one", None, {}),
+    "BUDGET_IS": (("Project", "Account"), ("Topic",), True, "one", None, {}),
+    "SCHEDULED_FOR": (("Artifact", "Project"), ("Topic",), True, "one", None, {}),
+    "RESOLVED_BY": (("Artifact",), ("Person",), True, "one", None, {}),
+    "OWNS": (("Person", "Team"), ("Project", "Account", "Topic"), True, "many", "OWNED_BY", {}),
+    "MEMBER_OF": (("Person",), ("Team", "Project"), True, "many", None, {}),
+    "WORKS_ON": (("Person",), ("Project", "Topic"), True, "many", None, {}),
+    "BLOCKS": (("Project", "Artifact"), ("Project", "Artifact"), True, "many", None, {}),
+    "DEPENDS_ON": (("Project", "Artifact"), ("Project", "Artifact"), True, "many", None, {}),
+    "CUSTOMER_OF": (("Account",), ("Project", "Team"), True, "many", None, {}),
+    "ESCALATED_TO": (("Artifact", "Account"), ("Person", "Team"), True, "many", None, {}),
+    "RISK_OF": (("Project", "Account"), ("Topic",), True, "many", None, {}),
+    "DECIDED": (("Person", "Team"), ("Decision",), False, "many", None, {}),
+    "REVIEWED_BY": (("Artifact",), ("Person",), False, "many", None, {}),
+    "AUTHORED": (("Person",), ("Artifact",), False, "many", None, {}),
+    "MENTIONS": (("Artifact",), ("Person", "Project", "Account", "Topic"), False, "many", None, {}),
+    "DISCUSSED_IN": (("Project", "Topic", "Account"), ("Artifact",), False, "many", None, {}),
+    "REFERENCES": (("Artifact",), ("Artifact",), False, "many", None, {}),
 }
 WEIGHTS = {"authority": 0.35, "recency": 0.30, "specificity": 0.15, "corroboration": 0.15, "hedging": -0.05}
 CONTESTED_MARGIN = 0.05
@@ -86,7 +86,7 @@ class Schema:
 
     def predicate_table(self, spark: SparkSession) -> DataFrame:
         """predicate, domain, range, temporal, cardinality, inverse, remap: one row per predicate of the vocabulary."""
-        rows = [(p, d.split(), r.split(), t, c, inv, remap) for p, (d, r, t, c, inv, remap) in self.predicates.items()]
+        rows = [(p, list(d), list(r), t, c, inv, remap) for p, (d, r, t, c, inv, remap) in self.predicates.items()]
         return spark.createDataFrame(rows, "predicate string, domain array<string>, range array<string>, temporal boolean, cardinality string, inverse string, remap map<string,string>")
 
     def describe(self) -> dict:

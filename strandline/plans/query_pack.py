@@ -103,7 +103,7 @@ t AS (SELECT *, {parse_ts_sql('asserted_at')} AS ts, coalesce(CASE WHEN isnan(au
 g AS (SELECT *, min(ts) OVER w AS lo, max(ts) OVER w AS hi, min(object_key) OVER w <> max(object_key) OVER w AS differ FROM t WINDOW w AS (PARTITION BY subject_key, predicate)),
 k AS (SELECT subject_key, predicate, object_key, count(DISTINCT source_tool) AS support FROM t GROUP BY ALL),
 s AS (SELECT g.*, support, floor((0.35::DOUBLE * au + 0.30::DOUBLE * CASE WHEN ts IS NULL THEN 0::DOUBLE WHEN hi = lo THEN 1::DOUBLE ELSE (ts - lo)::DOUBLE / (hi - lo)::DOUBLE END + 0.15::DOUBLE * coalesce(specificity, 0)::DOUBLE + 0.15::DOUBLE * least(1::DOUBLE, (support - 1)::DOUBLE / 2::DOUBLE) + (-0.05)::DOUBLE * coalesce(hedging, 0)::DOUBLE) * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS sc FROM g JOIN k USING (subject_key, predicate, object_key)),
-r AS (SELECT *, differ AND predicate IN ({_FUNCTIONAL}) AS competes, first_value(object_key) OVER z AS wo, first_value(sc) OVER z AS ws FROM s WINDOW z AS (PARTITION BY subject_key, predicate ORDER BY sc DESC, coalesce(asserted_at, ''), claim_key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+r AS (SELECT *, differ AND predicate IN ({_FUNCTIONAL}) AS competes, first_value(object_key) OVER z AS wo, first_value(claim_key) OVER z AS wk, first_value(sc) OVER z AS ws FROM s WINDOW z AS (PARTITION BY subject_key, predicate ORDER BY sc DESC, coalesce(asserted_at, ''), claim_key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 a AS (SELECT *, CASE WHEN NOT competes OR wo = object_key THEN 'current' WHEN floor((ws - sc) * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE < 0.05::DOUBLE THEN 'contested' ELSE 'superseded' END AS st FROM r)"""
 
 
@@ -143,7 +143,10 @@ def cardinality_orders(s: SparkSession, d: str) -> DataFrame:
     return induce.cardinality(t(li, "part_supplier", "l_partkey", "l_suppkey").unionByName(t(li, "order_part", "l_orderkey", "l_partkey")).unionByName(t(cu, "customer_nation", "c_custkey", "c_nationkey")))
 
 
-@query("infer_cardinality")
+_TEMPORAL = ", ".join(f"('{p}', {str(v[2]).upper()})" for p, v in PREDICATES.items())
+
+
+@query("infer_cardinality", "WITH t AS (SELECT predicate, subject_surface AS s, object_surface AS o FROM extracted_claims), c AS (WITH " + _CARD + f") SELECT v.p AS predicate, CASE WHEN NOT temporal THEN 'many' ELSE coalesce(cardinality, 'one') END AS cardinality FROM (VALUES {_TEMPORAL}) v(p, temporal) LEFT JOIN c ON v.p = c.predicate")
 def infer_cardinality(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "extracted_claims").select(F.col("subject_surface").alias("subject"), "predicate", F.col("object_surface").alias("object"))
     return induce.infer_cardinality(t, Schema().predicate_table(s).select("predicate", "temporal"))
@@ -165,56 +168,48 @@ def relation_histogram(s: SparkSession, d: str) -> DataFrame:
 
 
 # --- records, envelopes, rules ---------------------------------------------------------------------
-@query("field_map_events", "SELECT event_id, json_extract_string(props, '$.k') AS k, event_type FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL AND json_extract_string(props, '$.k') NOT IN ('', '0', 'false')")
+@query("field_map_events", "SELECT event_id, json_extract_string(props, '$.k') AS k, event_type FROM events WHERE coalesce(json_extract(props, '$.k')::VARCHAR, 'null') NOT IN ('null', '""', '0', '0.0', '-0.0', 'false', '[]', '{}')")
 def field_map_events(s: SparkSession, d: str) -> DataFrame:
-    k = records.dotted(F.col("props"), "k")
-    return table(s, d, "events").select("event_id", k.alias("k"), "event_type").where(records.truthy(F.col("k")))
+    v = F.try_parse_json("props")
+    x = table(s, d, "events").select("event_id", F.try_variant_get(v, "$.k", "string").alias("k"), "event_type", F.to_json(F.try_variant_get(v, "$.k", "variant")).alias("j"))
+    return x.where(records.truthy(F.col("j"))).drop("j")
 
 
-@query("field_map_claims", f"""WITH v AS (SELECT DISTINCT doc_id, tool, structured::JSON AS j FROM raw_docs WHERE doc_id IS NOT NULL AND structured IS NOT NULL AND json_valid(structured) AND tool IN ('jira', 'linear') AND json_type(structured) = 'OBJECT'),
-k AS (SELECT *, 'artifact:' || tool || ':' || {T.slug_sql('doc_id')} AS self FROM v),
-r AS (SELECT tool, doc_id, self AS s, 'Artifact' AS st, 'ASSIGNED_TO' AS p, json_extract_string(j, '$.fields.assignee.displayName') AS o, 'Person' AS ot FROM k WHERE tool = 'jira'
-UNION ALL SELECT tool, doc_id, self, 'Artifact', 'STATUS_IS', json_extract_string(j, '$.fields.status.name'), 'Topic' FROM k WHERE tool = 'jira'
-UNION ALL SELECT tool, doc_id, self, 'Artifact', 'DUE_ON', json_extract_string(j, '$.fields.duedate'), 'Topic' FROM k WHERE tool = 'jira'
-UNION ALL SELECT tool, doc_id, json_extract_string(j, '$.fields.assignee.displayName'), 'Person', 'WORKS_ON', json_extract_string(j, '$.fields.project.name'), 'Project' FROM k WHERE tool = 'jira'
-UNION ALL SELECT tool, doc_id, json_extract_string(j, '$.fields.project.name'), 'Project', 'DISCUSSED_IN', self, 'Artifact' FROM k WHERE tool = 'jira'
-UNION ALL SELECT tool, doc_id, self, 'Artifact', 'ASSIGNED_TO', json_extract_string(j, '$.assignee.name'), 'Person' FROM k WHERE tool = 'linear'
-UNION ALL SELECT tool, doc_id, self, 'Artifact', 'STATUS_IS', json_extract_string(j, '$.state.name'), 'Topic' FROM k WHERE tool = 'linear'
-UNION ALL SELECT tool, doc_id, self, 'Artifact', 'DUE_ON', json_extract_string(j, '$.dueDate'), 'Topic' FROM k WHERE tool = 'linear'
-UNION ALL SELECT tool, doc_id, json_extract_string(j, '$.assignee.name'), 'Person', 'WORKS_ON', json_extract_string(j, '$.project.name'), 'Project' FROM k WHERE tool = 'linear'
-UNION ALL SELECT tool, doc_id, json_extract_string(j, '$.project.name'), 'Project', 'SCHEDULED_FOR', json_extract_string(j, '$.dueDate'), 'Topic' FROM k WHERE tool = 'linear'
-UNION ALL SELECT tool, doc_id, json_extract_string(j, '$.project.name'), 'Project', 'DISCUSSED_IN', self, 'Artifact' FROM k WHERE tool = 'linear')
-SELECT tool AS source_tool, doc_id AS source_doc_id, s AS subject_surface, st AS subject_type, p AS predicate, o AS object_surface, ot AS object_type FROM r WHERE coalesce(s, '') NOT IN ('', '0', 'false') AND coalesce(o, '') NOT IN ('', '0', 'false')""")
-def field_map_claims(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "raw_docs").where(F.col("tool").isin("jira", "linear")).where("try_parse_json(structured) is not null").select("doc_id", "tool", "structured", "created_at", "updated_at").dropDuplicates(["doc_id", "structured"])
-    return records.field_map_claims(docs).select("source_tool", "source_doc_id", "subject_surface", "subject_type", "predicate", "object_surface", "object_type")
+def _side_sql(path: str, name: str) -> str:
+    if path == "__self__":
+        return f"self AS {name}, '\"x\"' AS j{name}"
+    return f"json_extract_string(j, '$.{path}') AS {name}, coalesce(json_extract(j, '$.{path}')::VARCHAR, 'null') AS j{name}"
 
 
-@query("envelope_jira")
-def envelope_jira(s: SparkSession, d: str) -> DataFrame:
-    r = table(s, d, "raw_docs").where("tool = 'jira'").select(F.regexp_replace("structured", r"^\s*\{", F.concat(F.lit('{"key": "'), F.col("doc_id"), F.lit('", '))).alias("record"))
-    return records.envelope(r, "jira").select("doc_id", "kind", "title", "author_raw", "acl_groups")
+_FALSY = "('null', '\"\"', '0', '0.0', '-0.0', 'false', '[]', '{}')"
+_RULES = "\nUNION ALL ".join(f"SELECT tool, doc_id, created_at, updated_at, {_side_sql(subj, 's')}, '{st}' AS st, '{p}' AS p, {_side_sql(obj, 'o')}, '{ot}' AS ot, {f"json_extract_string(j, '$.{at}')" if at else 'NULL'} AS said_at FROM k WHERE tool = '{t}'" for t, x in Schema().sources.items() for subj, st, p, obj, ot, at in x["rules"])
+_MAPPED = ["source_tool", "source_doc_id", "subject_surface", "subject_type", "predicate", "object_surface", "object_type", "asserted_at"]
+
+
+@query("field_map_claims", f"""WITH v AS (SELECT DISTINCT doc_id, tool, created_at, updated_at, structured::JSON AS j FROM raw_docs WHERE doc_id IS NOT NULL AND structured IS NOT NULL AND json_valid(structured) AND json_type(structured) = 'OBJECT'),
+k AS (SELECT *, 'artifact:' || tool || ':' || {T.slug_sql('doc_id')} AS self FROM v),
+r AS ({_RULES})
+SELECT tool AS source_tool, doc_id AS source_doc_id, s AS subject_surface, st AS subject_type, p AS predicate, o AS object_surface, ot AS object_type,
+  coalesce(strftime(make_timestamp({parse_ts_sql('said_at')}), '%Y-%m-%dT%H:%M:%S+00:00'), CASE WHEN updated_at <> '' THEN updated_at END, created_at) AS asserted_at FROM r WHERE js NOT IN {_FALSY} AND jo NOT IN {_FALSY}""")
+def field_map_claims(s: SparkSession, d: str) -> DataFrame:
+    """The rules of every tool of the schema over all of raw_docs."""
+    docs = table(s, d, "raw_docs").select("doc_id", "tool", "structured", "created_at", "updated_at").distinct()
+    return records.field_map_claims(docs).select(*_MAPPED)
 
 
-def _side_sql(path: str) -> str:
-    return "self" if path == "__self__" else f"json_extract_string(j, '$.{path}')"
+def _acl_sql(paths: list[str]) -> str:
+    one = lambda p: f"CASE json_type(j, '$.{p}') WHEN 'ARRAY' THEN from_json(json_extract(j, '$.{p}'), '[\"VARCHAR\"]') WHEN 'NULL' THEN []::VARCHAR[] ELSE CASE WHEN json_extract_string(j, '$.{p}') IS NULL THEN []::VARCHAR[] ELSE [json_extract_string(j, '$.{p}')] END END"
+    return f"list_filter({' || '.join(map(one, paths))}, lambda x: x IS NOT NULL)" if paths else "[]::VARCHAR[]"
 
 
-_FALSY = "('', '0', '0.0', 'false', '[]', '{}', 'null')"
-_RULES = "\nUNION ALL ".join(f"SELECT tool, doc_id, {_side_sql(subj)} AS s, '{st}' AS st, '{p}' AS p, {_side_sql(obj)} AS o, '{ot}' AS ot FROM k WHERE tool = '{t}'" for t, x in Schema().sources.items() for subj, st, p, obj, ot, _ in x["rules"])
+def _text_sql(path: str | None) -> str:
+    return f"coalesce(json_extract_string(j, '$.{path}'), '')" if path else "''"
 
 
-@query("field_map_claims_all", f"""WITH v AS (SELECT DISTINCT doc_id, tool, structured::JSON AS j FROM raw_docs WHERE doc_id IS NOT NULL AND structured IS NOT NULL AND json_valid(structured) AND json_type(structured) = 'OBJECT'),
-k AS (SELECT *, 'artifact:' || tool || ':' || {T.slug_sql('doc_id')} AS self FROM v),
-r AS ({_RULES})
-SELECT tool AS source_tool, doc_id AS source_doc_id, s AS subject_surface, st AS subject_type, p AS predicate, o AS object_surface, ot AS object_type FROM r WHERE coalesce(trim(s), '') NOT IN {_FALSY} AND coalesce(trim(o), '') NOT IN {_FALSY}""")
-def field_map_claims_all(s: SparkSession, d: str) -> DataFrame:
-    """The rules of every tool of the schema over all of raw_docs."""
-    docs = table(s, d, "raw_docs").where("try_parse_json(structured) is not null").select("doc_id", "tool", "structured", "created_at", "updated_at").dropDuplicates(["doc_id", "tool", "structured"])
-    return records.field_map_claims(docs).select("source_tool", "source_doc_id", "subject_surface", "subject_type", "predicate", "object_surface", "object_type")
+_ENVELOPES = "\nUNION ALL ".join(f"SELECT tool, doc_id, '{x['kind']}' AS kind, {_text_sql(x.get('title'))} AS title, {_text_sql(x.get('author'))} AS author_raw, {_acl_sql(x.get('acl', []))} AS acl_groups FROM v WHERE tool = '{t}' AND NOT list_contains(json_keys(j), '{x['doc_id']}')" for t, x in Schema().sources.items())
 
 
-@query("envelope_all")
+@query("envelope_all", f"WITH v AS (SELECT tool, doc_id, structured::JSON AS j FROM raw_docs WHERE doc_id IS NOT NULL AND json_valid(structured) AND json_type(structured) = 'OBJECT') {_ENVELOPES}")
 def envelope_all(s: SparkSession, d: str) -> DataFrame:
     """Envelopes of every tool of the schema; the id, which the given records lack, is written into them."""
     docs, parts = table(s, d, "raw_docs").where("doc_id is not null"), []
@@ -300,12 +295,53 @@ def _people(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return table(s, d, "raw_docs"), table(s, d, "extracted_claims")
 
 
-@query("mention_candidates")
+def _is_email(x: str) -> str:
+    return f"regexp_matches(trim(coalesce({x}, '')), '^[\\w.+-]+@[\\w-]+\\.[\\w.-]+$')"
+
+
+def _surface_tokens(x: str) -> str:
+    return T.tokens_sql(f"CASE WHEN {_is_email(x)} THEN lower(split_part({x}, '@', 1)) ELSE {x} END")
+
+
+_CANDIDATES = f"""dd AS (SELECT DISTINCT tool, 'artifact:' || tool || ':' || {T.slug_sql('doc_id')} AS dk, title, author_raw, author_email, participants_raw FROM raw_docs WHERE doc_id IS NOT NULL),
+d AS (SELECT DISTINCT *, CASE WHEN tool = 'slack' THEN 'slack:' || coalesce(title, '') ELSE dk END AS thread FROM (SELECT * EXCLUDE title, title FROM dd)),
+dt AS (SELECT DISTINCT dk, thread FROM d), dm AS (SELECT DISTINCT tool, dk, thread, author_raw, author_email, participants_raw FROM d),
+e AS (SELECT source_tool AS tool, 'artifact:' || source_tool || ':' || {T.slug_sql('source_doc_id')} AS dk, subject_surface AS s, subject_type AS t FROM extracted_claims UNION ALL SELECT source_tool, 'artifact:' || source_tool || ':' || {T.slug_sql('source_doc_id')}, object_surface, object_type FROM extracted_claims),
+m AS (SELECT author_raw AS s, coalesce(author_email, '') AS mail, tool, dk, thread FROM dm UNION ALL SELECT unnest(participants_raw), '', tool, dk, thread FROM dm UNION ALL SELECT s, '', e.tool, e.dk, coalesce(thread, '') FROM e LEFT JOIN dt USING (dk) WHERE t = 'Person'),
+x AS (SELECT trim(s) AS surface, lower(CASE WHEN mail = '' AND {_is_email('s')} THEN trim(s) ELSE mail END) AS email, tool, dk, thread FROM m WHERE trim(coalesce(s, '')) <> ''),
+g AS (SELECT {T.norm_sql('surface')} AS surface_norm, email, list_sort(list(DISTINCT surface)) AS surfaces, list_sort(list(DISTINCT tool)) AS tools, list(DISTINCT CASE WHEN thread <> '' THEN thread END) AS threads, count(DISTINCT dk) AS docs, count(*) AS mentions FROM x GROUP BY 1, 2),
+c AS (SELECT *, concat_ws('|', surface_norm, email) AS id, list_sort(list_transform(surfaces, lambda s: {{'a': CASE WHEN len(string_split_regex(trim(s), '\\s+')) > 1 THEN 0 ELSE 1 END, 'b': ({_is_email('s')})::INT, 'c': -length(s), 's': s}}))[1].s AS display FROM g)"""
+
+
+@query("mention_candidates", f"WITH {_CANDIDATES} SELECT surface_norm, email, surfaces, tools, docs, mentions, display FROM c")
 def mention_candidates(s: SparkSession, d: str) -> DataFrame:
     return resolve.candidates(resolve.mentions(*_people(s, d))).select("surface_norm", "email", "surfaces", "tools", "docs", "mentions", "display")
 
 
-@query("scored_pairs")
+# Written from the rules of the survey's sections ER1-ER6, not from the code.
+_SCORED_PAIRS = f"""WITH {_CANDIDATES},
+u AS (SELECT id, display, email, list_filter(threads, lambda v: v IS NOT NULL) AS threads, {_surface_tokens('display')} AS t, {_surface_tokens('email')} AS et, {T.norm_sql('display')} AS n FROM c),
+k AS (SELECT DISTINCT id, unnest(list_concat(CASE WHEN email <> '' THEN list_concat(['email:' || email], list_transform(list_filter(et, lambda v: length(v) > 2), lambda v: 'tok:' || v)) ELSE [] END, CASE WHEN len(t) > 0 THEN ['full:' || array_to_string(t, ' ')] ELSE [] END,
+  CASE WHEN length(coalesce(t[-1], '')) > 2 THEN ['last:' || t[-1], 'lastpre:' || left(t[-1], 4), 'li:' || left(t[1], 1) || t[-1]] ELSE [] END, list_transform(list_filter(t, lambda v: length(v) > 2), lambda v: 'tok:' || v))) AS key FROM u),
+b AS (SELECT key FROM k GROUP BY key HAVING count(*) BETWEEN 2 AND 200), p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y USING (key) JOIN b USING (key) WHERE x.id < y.id),
+names AS (SELECT author_raw AS s FROM raw_docs UNION ALL SELECT unnest(participants_raw) FROM raw_docs), known AS (SELECT DISTINCT unnest({_surface_tokens('s')}) AS token FROM names WHERE s IS NOT NULL),
+said AS (SELECT DISTINCT {T.norm_sql('author_raw')} AS n, unnest(string_split({T.norm_sql('body')}, ' ')) AS token, list_concat({_surface_tokens('author_raw')}, {_surface_tokens("coalesce(author_email, '')")}) AS own FROM raw_docs WHERE coalesce(author_raw, '') <> '' AND coalesce(body, '') <> ''),
+spoken AS (SELECT DISTINCT n, token FROM said JOIN known USING (token) WHERE length(token) > 2 AND NOT list_contains(own, token)),
+ut AS (SELECT id, n, unnest(t) AS token FROM u),
+apart AS (SELECT DISTINCT a, b FROM (SELECT a, b, x.n, y.token FROM p JOIN u x ON x.id = a JOIN ut y ON y.id = b UNION ALL SELECT a, b, y.n, x.token FROM p JOIN ut x ON x.id = a JOIN u y ON y.id = b) SEMI JOIN spoken USING (n, token)),
+q AS (SELECT p.a, p.b, x.display AS da, y.display AS db, x.email AS ea, y.email AS eb, x.t AS ta, y.t AS tb, coalesce(x.t[-1], '') AS la, coalesce(y.t[-1], '') AS lb, coalesce(x.t[1], '') AS fa, coalesce(y.t[1], '') AS fb, len(list_intersect(x.threads, y.threads)) AS th, apart.a IS NOT NULL AS apart FROM p JOIN u x ON x.id = p.a JOIN u y ON y.id = p.b LEFT JOIN apart ON apart.a = p.a AND apart.b = p.b),
+v AS (SELECT *, CASE WHEN ea <> '' AND eb <> '' AND ea <> eb THEN 'email_conflict' WHEN apart THEN 'distinct_speakers' WHEN len(ta) > 1 AND len(tb) > 1 AND length(la) > 1 AND length(lb) > 1 AND la <> lb AND jaro_winkler_similarity(la, lb) < 0.92 THEN 'surname_conflict' ELSE '' END AS veto FROM q),
+f AS (SELECT *, len(ta) > 0 AND len(tb) > 0 AS both_, jaro_winkler_similarity(array_to_string(ta, ' '), array_to_string(tb, ' ')) AS jn, CASE WHEN length(la) = 1 THEN la ELSE lb END AS short, CASE WHEN length(la) = 1 THEN lb ELSE la END AS long_,
+  (trim(da) NOT LIKE '% %' AND NOT {_is_email('da')}) OR (trim(db) NOT LIKE '% %' AND NOT {_is_email('db')}) AS handle,
+  (ea <> '' AND len(tb) > 0 AND list_has_all({_surface_tokens('ea')}, tb) AND len(list_filter(tb, lambda w: length(w) > 2)) > 0) OR (eb <> '' AND len(ta) > 0 AND list_has_all({_surface_tokens('eb')}, ta) AND len(list_filter(ta, lambda w: length(w) > 2)) > 0) AS spelled FROM v),
+r AS (SELECT a, b, veto, CASE WHEN ea <> '' AND ea = eb THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN spelled THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END
+  + CASE WHEN both_ AND ta = tb THEN 0.8::DOUBLE WHEN la <> '' AND la = lb THEN CASE WHEN fa = fb THEN 0.7::DOUBLE WHEN length(fa) = 1 OR length(fb) = 1 THEN CASE WHEN left(fa, 1) = left(fb, 1) THEN 0.55::DOUBLE ELSE 0.0::DOUBLE END WHEN jaro_winkler_similarity(fa, fb) > 0.85 THEN 0.45::DOUBLE ELSE 0.0::DOUBLE END WHEN both_ AND fa = fb AND handle AND length(short) = 1 AND starts_with(long_, short) THEN 0.55::DOUBLE ELSE 0.0::DOUBLE END
+  + least(0.35::DOUBLE, len(list_filter(list_intersect(ta, tb), lambda w: length(w) > 2)) * 0.18::DOUBLE) + CASE WHEN both_ AND jn > 0.90 THEN 0.25::DOUBLE WHEN both_ AND jn > 0.80 THEN 0.10::DOUBLE ELSE 0.0::DOUBLE END + least(0.10::DOUBLE, th * 0.02::DOUBLE) AS raw FROM f),
+z AS (SELECT a, b, veto, CASE WHEN veto <> '' THEN 0.0::DOUBLE ELSE floor(least(1.0::DOUBLE, raw) * 1000::DOUBLE + 0.5::DOUBLE) / 1000::DOUBLE END AS score FROM r)
+SELECT a, b, score, veto, CASE WHEN veto <> '' OR score < 0.45 THEN 'reject' WHEN score >= 0.75 THEN 'merge' ELSE 'adjudicate' END AS decision FROM z"""
+
+
+@query("scored_pairs", _SCORED_PAIRS)
 def scored_pairs(s: SparkSession, d: str) -> DataFrame:
     c = resolve.candidates(resolve.mentions(*_people(s, d))).withColumn("id", F.concat_ws("|", "surface_norm", "email")).withColumnRenamed("display", "surface")
     return resolve.score_pairs(resolve.candidate_pairs(c), c, resolve.addressed(table(s, d, "raw_docs"))).select("a", "b", "score", "veto", "decision")
@@ -334,7 +370,7 @@ def cluster_lookup(s: SparkSession, d: str) -> DataFrame:
 
 
 # --- alignment ---------------------------------------------------------------------------------------
-@query("oriented_claims", """WITH spec AS (SELECT * FROM (VALUES """ + ", ".join(f"('{p}', {v[0].split()!r}, {v[1].split()!r}, '{v[3]}', {repr(v[4]) if v[4] else 'NULL'})" for p, v in PREDICATES.items()) + """) v(p, dom, rng, card, inv)),
+@query("oriented_claims", """WITH spec AS (SELECT * FROM (VALUES """ + ", ".join(f"('{p}', {list(v[0])!r}, {list(v[1])!r}, '{v[3]}', {repr(v[4]) if v[4] else 'NULL'})" for p, v in PREDICATES.items()) + """) v(p, dom, rng, card, inv)),
 x AS (SELECT e.*, dom, rng, card, inv, list_contains(dom, subject_type) AND list_contains(rng, object_type) AS fits, list_contains(dom, object_type) AND list_contains(rng, subject_type) AS turned FROM extracted_claims e LEFT JOIN spec ON predicate = p),
 y AS (SELECT xc_id, loaded_at, predicate, dom IS NOT NULL AS known, coalesce(fits, FALSE) AS fits, coalesce(turned, FALSE) AS turned, card, inv, CASE WHEN dom IS NOT NULL AND NOT coalesce(fits, FALSE) AND coalesce(turned, FALSE) THEN object_type ELSE subject_type END AS st, CASE WHEN dom IS NOT NULL AND NOT coalesce(fits, FALSE) AND coalesce(turned, FALSE) THEN subject_type ELSE object_type END AS ot FROM x),
 z AS (SELECT *, known AND NOT fits AND NOT turned AS dropped, known AND (fits OR turned) AND predicate = 'ASSIGNED_TO' AND st IN ('Project', 'Account') AND ot IN ('Person', 'Team') AS remapped FROM y),
@@ -385,24 +421,25 @@ def expand_k(s: SparkSession, d: str) -> DataFrame:
     return graph.expand(star_edges(s, d), starts, ["IN_REGION", "IN_NATION", "PLACED_BY"], 3).select("start", "node", "depth")
 
 
-@query("shortest_paths", "WITH " + _STAR + ", u AS (SELECT src AS a, dst AS b FROM e WHERE type <> 'PLACED_BY' UNION SELECT dst, src FROM e WHERE type <> 'PLACED_BY'), p AS (SELECT 'supplier:' || s_suppkey AS src, 'region:' || r_regionkey AS dst FROM supplier, region) SELECT p.src, p.dst, 2 AS length, [x.a, x.b, y.b] AS path FROM p JOIN u x ON x.a = p.src JOIN u y ON y.a = x.b AND y.b = p.dst")
+@query("shortest_paths", "SELECT DISTINCT 'supplier:' || s_suppkey AS src, 'order:' || o_orderkey AS dst, 3 AS length, ['supplier:' || s_suppkey, 'nation:' || s_nationkey, 'customer:' || c_custkey, 'order:' || o_orderkey] AS path FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey AND c_nationkey = s_nationkey")
 def shortest_paths(s: SparkSession, d: str) -> DataFrame:
-    sup = table(s, d, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("src"))
-    pairs = sup.join(table(s, d, "region").select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("dst")), F.lit(True))  # a stated set of pairs: every supplier with the five regions
-    return graph.shortest_paths(star_edges(s, d), pairs, ["IN_REGION", "IN_NATION"], longest=2)
+    """From every supplier to the orders it delivers, over all kinds of edges."""
+    pairs = table(s, d, "lineitem").select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("dst"))
+    return graph.shortest_paths(star_edges(s, d), pairs, ["IN_REGION", "IN_NATION", "PLACED_BY"], longest=4)
 
 
 @query("graph_nodes", f"""WITH {_LATEST}, d AS (SELECT * FROM raw_docs WHERE doc_id IS NOT NULL),
-n AS (SELECT 'Artifact' AS label, 'artifact:' || tool || ':' || {T.slug_sql('doc_id')} AS key, coalesce(CASE WHEN trim(title) <> '' THEN title END, doc_id) AS name FROM d
-UNION ALL SELECT 'Group', 'group:' || {T.slug_sql('g')}, g FROM (SELECT unnest(acl_groups) AS g FROM raw_docs) WHERE g IS NOT NULL
-UNION ALL SELECT CASE split_part(k, ':', 1) WHEN 'person' THEN 'Person' WHEN 'team' THEN 'Team' WHEN 'project' THEN 'Project' WHEN 'account' THEN 'Account' WHEN 'decision' THEN 'Decision' WHEN 'group' THEN 'Group' ELSE 'Topic' END, k, replace(split_part(k, ':', -1), '-', ' ') FROM (SELECT subject_key AS k FROM l UNION ALL SELECT object_key FROM l) WHERE k IS NOT NULL AND NOT starts_with(k, 'artifact:')
-UNION ALL SELECT 'Claim', claim_key, predicate FROM l) SELECT label, key, min(name) AS name FROM n GROUP BY ALL""")
+e AS (SELECT subject_key AS k, NULL AS literal FROM l UNION ALL SELECT object_key, CASE WHEN object_literal <> '' THEN object_literal END FROM l),
+n AS (SELECT 'Artifact' AS label, 'artifact:' || tool || ':' || {T.slug_sql('doc_id')} AS key, coalesce(CASE WHEN trim(title) <> '' THEN title END, doc_id) AS name, 0 AS rank FROM d
+UNION ALL SELECT 'Group', 'group:' || {T.slug_sql('g')}, g, 0 FROM (SELECT unnest(acl_groups) AS g FROM raw_docs) WHERE g IS NOT NULL
+UNION ALL SELECT CASE split_part(k, ':', 1) WHEN 'person' THEN 'Person' WHEN 'team' THEN 'Team' WHEN 'project' THEN 'Project' WHEN 'account' THEN 'Account' WHEN 'decision' THEN 'Decision' WHEN 'group' THEN 'Group' ELSE 'Topic' END, k, coalesce(literal, replace(regexp_replace(k, '^[^:]*:', ''), '-', ' ')), (literal IS NULL)::INT FROM e WHERE k IS NOT NULL AND NOT starts_with(k, 'artifact:')
+UNION ALL SELECT 'Claim', claim_key, predicate, 0 FROM l) SELECT label, key, name FROM (SELECT *, row_number() OVER (PARTITION BY label, key ORDER BY rank, name) AS rn FROM n) WHERE rn = 1""")
 def graph_nodes(s: SparkSession, d: str) -> DataFrame:
     return graph.assemble_nodes(table(s, d, "raw_docs"), latest(s, d))
 
 
 @query("graph_edges", _CLAIM_SCORES + f""", v AS (SELECT DISTINCT 'VISIBLE_TO' AS type, 'artifact:' || tool || ':' || {T.slug_sql('doc_id')} AS src, g FROM (SELECT tool, doc_id, unnest(acl_groups) AS g FROM raw_docs WHERE doc_id IS NOT NULL) WHERE g IS NOT NULL),
-q AS (SELECT type, src, 'group:' || {T.slug_sql('g')} AS dst FROM v UNION SELECT 'ABOUT', claim_key, subject_key FROM a UNION SELECT 'OBJECT', claim_key, object_key FROM a UNION SELECT 'SOURCED_FROM', claim_key, source_artifact_key FROM a UNION SELECT 'ASSERTED_BY', claim_key, asserted_by_key FROM a UNION SELECT CASE WHEN st = 'superseded' THEN predicate || '_SUPERSEDED' ELSE predicate END, subject_key, object_key FROM a)
+q AS (SELECT type, src, 'group:' || {T.slug_sql('g')} AS dst FROM v UNION SELECT 'ABOUT', claim_key, subject_key FROM a UNION SELECT 'OBJECT', claim_key, object_key FROM a UNION SELECT 'SOURCED_FROM', claim_key, source_artifact_key FROM a UNION SELECT 'ASSERTED_BY', claim_key, asserted_by_key FROM a UNION SELECT CASE WHEN st = 'superseded' THEN predicate || '_SUPERSEDED' ELSE predicate END, subject_key, object_key FROM a UNION SELECT CASE WHEN st = 'contested' THEN 'CONTRADICTS' ELSE 'SUPERSEDES' END, wk, claim_key FROM a WHERE st <> 'current')
 SELECT type, count(*) AS n, count(DISTINCT src) AS n_src, count(DISTINCT dst) AS n_dst FROM q WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY type""")
 def graph_edges(s: SparkSession, d: str) -> DataFrame:
     e = graph.assemble_edges(table(s, d, "raw_docs"), arbitrate.arbitrate(latest(s, d)))
@@ -514,13 +551,25 @@ def _asked_graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return claims, materialize(nodes, "entities")
 
 
-@query("ask_batch")
-def ask_batch(s: SparkSession, d: str) -> DataFrame:
-    """Two questions about every project that anything is claimed of."""
+def _batch(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Three questions about every project that anything is claimed of, with all that answering draws on."""
     claims, nodes = _asked_graph(s, d)
-    said = F.explode(F.array(F.concat(F.lit("Who owns the "), F.col("name"), F.lit("?")), F.concat(F.lit("Which customer is behind "), F.col("name"), F.lit(" as of 2025-06-30?"))))
+    said = F.explode(F.array(F.concat(F.lit("Who owns the "), F.col("name"), F.lit("?")), F.concat(F.lit("List all people who work on "), F.col("name"), F.lit("?")), F.concat(F.lit("Which customer is behind "), F.col("name"), F.lit(" as of 2025-06-30?"))))
     qs = nodes.where("label = 'Project'").select("key", said.alias("question")).select(F.concat_ws("|", "key", "question").alias("question_id"), "question")
-    return ask.ask(qs, claims, nodes)
+    spelled = table(s, d, "clusters").where("canonical is not null").select(F.explode("surfaces").alias("alias"), F.concat(F.lit("person:"), T.slugify(F.col("canonical"))).alias("key")).where("alias is not null").distinct()
+    cites = claims.where("predicate = 'REFERENCES'").select(F.col("subject_key").alias("src"), F.col("object_key").alias("dst")).distinct()
+    belongs = claims.where("predicate = 'DISCUSSED_IN' and subject_key like 'project:%'").select(F.col("object_key").alias("key"), F.col("subject_key").alias("project")).distinct()
+    return {"questions": qs, "claims": claims, "entities": nodes, "aliases": spelled, "references": cites, "artifact_project": belongs}
+
+
+@query("ask_batch")
+def ask_batch(s: SparkSession, d: str) -> DataFrame:
+    return ask.ask(**_batch(s, d))
+
+
+@query("ask_evidence")
+def ask_evidence(s: SparkSession, d: str) -> DataFrame:
+    return ask.ask_evidence(**_batch(s, d))
 
 
 @query("question_plans")

@@ -18,8 +18,8 @@ def dotted(record: Column, path: str | None) -> Column:
 
 
 def truthy(c: Column) -> Column:
-    """Neither null, empty, zero nor false."""
-    return c.isNotNull() & ~F.trim(c).isin("", "0", "0.0", "false", "[]", "{}", "null")
+    """Of a value's JSON text: neither null, empty, zero nor false. The strings "0" and "false" are no such values."""
+    return c.isNotNull() & ~c.isin("null", '""', "0", "0.0", "-0.0", "false", "[]", "{}")
 
 
 def _many(record: Column, paths: list[str]) -> Column:
@@ -44,24 +44,32 @@ def envelope(records: DataFrame, tool: str, schema: Schema | None = None) -> Dat
 def field_map_claims(docs: DataFrame, schema: Schema | None = None) -> DataFrame:
     """Deterministic (tier A) claims of documents: tool, doc_id, structured, created_at, updated_at.
 
-    The documents are scanned once and joined with their tool's rules. A rule gives nothing where
-    either side is null, empty, zero or false.
+    Each record is parsed once, and the rules of its tool read the parsed form. A rule gives nothing where
+    either side is null, empty, zero or false. A rule's own time counts if it can be read, else the document's.
     """
     schema = schema or Schema()
-    json_path = lambda p: None if p is None else p if p == "__self__" else "$" + "".join(f"['{k}']" for k in p.split("."))
-    rules = []
+    x = docs.where("doc_id is not null and structured is not null").select("tool", "doc_id", "created_at", "updated_at", F.concat(F.lit("artifact:"), F.col("tool"), F.lit(":"), slugify(F.col("doc_id"))).alias("doc_key"), F.try_parse_json("structured").alias("v")).where("v is not null")
+    path = lambda p: "$" + "".join(f"['{k}']" for k in p.split("."))
+    own = F.lit(None).cast("string")
+
+    def side(p: str) -> tuple[Column, Column]:
+        if p == "__self__":
+            return F.col("doc_key"), F.lit('"x"')
+        return F.try_variant_get("v", path(p), "string"), F.to_json(F.try_variant_get("v", path(p), "variant"))
+
+    of_tool = None
     for tool, s in schema.sources.items():
+        rules = []
         for subj, st, pred, obj, ot, at in s["rules"]:
             if pred not in schema.predicates:
                 raise ValueError(f"rule of {tool}: unknown predicate {pred}")
-            rules.append((tool, json_path(subj), st, pred, json_path(obj), ot, json_path(at), f"{tool}.{obj} = "))
-    names = "tool string, subj string, subject_type string, predicate string, obj string, object_type string, at string, told string"
-    rule = F.broadcast(docs.sparkSession.createDataFrame(rules, names))  # as many rows as the schema has rules
-    x = docs.where("doc_id is not null and structured is not null").join(rule, "tool")
-    doc_key = F.concat(F.lit("artifact:"), F.col("tool"), F.lit(":"), slugify(F.col("doc_id")))
-    side = lambda c: F.when(F.col(c) == "__self__", F.col("doc_key")).otherwise(F.expr(f"get_json_object(structured, {c})"))
-    x = x.withColumn("doc_key", doc_key).withColumn("subject_surface", side("subj")).withColumn("object_surface", side("obj")).where(truthy(F.col("subject_surface")) & truthy(F.col("object_surface")))
-    stamp = F.coalesce(F.expr("get_json_object(structured, at)"), F.when(F.col("updated_at") != "", F.col("updated_at")), F.col("created_at"))
+            (a, ja), (b, jb) = side(subj), side(obj)
+            rules.append(F.struct(a.alias("subject_surface"), ja.alias("js"), F.lit(st).alias("subject_type"), F.lit(pred).alias("predicate"), b.alias("object_surface"), jb.alias("jo"), F.lit(ot).alias("object_type"), (F.try_variant_get("v", path(at), "string") if at else own).alias("at"), F.lit(f"{tool}.{obj} = ").alias("told")))
+        if rules:
+            of_tool = F.when(F.col("tool") == tool, F.array(*rules)) if of_tool is None else of_tool.when(F.col("tool") == tool, F.array(*rules))
+    x = x.select("tool", "doc_id", "created_at", "updated_at", F.explode(of_tool).alias("r")).select("tool", "doc_id", "created_at", "updated_at", "r.*").where(truthy(F.col("js")) & truthy(F.col("jo")))
+    read = F.date_format(parse_ts(F.col("at")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    stamp = F.coalesce(read, F.when(F.col("updated_at") != "", F.col("updated_at")), F.col("created_at"))
     return x.select("subject_surface", "subject_type", "predicate", "object_surface", "object_type", stamp.alias("asserted_at"), F.concat("told", F.substring("object_surface", 1, 70)).alias("evidence_span"), F.col("tool").alias("source_tool"), F.col("doc_id").alias("source_doc_id"), F.lit(1.0).alias("confidence"), F.lit("A").alias("tier"))
 
 

@@ -2,7 +2,8 @@
 
 Arriving claims are appended to a store; each micro-batch re-arbitrates only the
 (subject, predicate) groups it touches, over all their stored claims, and writes the
-outcome of the batch. Replayed batches overwrite their own folders, so a restart changes nothing.
+outcome of the batch. The store is cut into buckets by hash of the group, and a batch reads only the buckets it
+touches. Replayed batches overwrite their own folders, so a restart changes nothing.
 """
 
 from __future__ import annotations
@@ -20,14 +21,21 @@ from strandline.plans.ontology import Schema
 _COLUMNS = ["claim_key", "subject_key", "predicate", "object_key", "source_tool", "asserted_at", "authority", "specificity", "hedging", "loaded_at"]
 
 
+BUCKETS = 256
+
+
 def batch_writer(folder: str, schema: Schema | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: appends to <folder>/store and writes statuses of touched groups to <folder>/current."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.select(*_COLUMNS)
-        new.write.mode("overwrite").parquet(f"{folder}/store/batch={batch_id}")
-        store = spark.read.schema(StructType([*new.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/store").where(F.col("batch") <= batch_id).drop("batch")
+        bucket = F.pmod(F.hash("subject_key", "predicate"), F.lit(BUCKETS))
+        batch.select(*_COLUMNS).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/store/batch={batch_id}")
+        schema_ = StructType([*batch.select(*_COLUMNS).schema.fields, StructField("batch", LongType()), StructField("bucket", LongType())])
+        stored = spark.read.schema(schema_).option("basePath", f"{folder}/store").parquet(f"{folder}/store").where(F.col("batch") <= batch_id)
+        new = stored.where(F.col("batch") == batch_id)
+        read = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        store = stored.where(F.col("bucket").isin(read)).drop("batch", "bucket")
         touched = new.select("subject_key", "predicate").distinct()
         done = arbitrate(latest_claims(store.join(touched, ["subject_key", "predicate"], "left_semi")), schema)
         done.select("claim_key", "subject_key", "predicate", "object_key", "score", "status").write.mode("overwrite").parquet(f"{folder}/current/batch={batch_id}")

@@ -59,6 +59,27 @@ def test_questions_and_gates(spark):
     assert "no budget is recorded" in got["4"]["text"] and got["8"]["gate"] == "entity"
 
 
+def test_questions_names_sets_and_evidence(spark):
+    more = [("m1", "project:atlas", "MENTIONS", "person:wei-zhang", "slack", "2026-02-02T00:00:00Z", 0.5, 0.55, 0.0), ("r1", "artifact:slack:7", "REFERENCES", "artifact:drive:plan", "slack", "2026-02-02T00:00:00Z", 0.5, 0.55, 0.0), ("a1", "person:priya-rao", "AUTHORED", "artifact:slack:7", "slack", "2026-02-02T00:00:00Z", 0.9, 0.8, 0.0)]
+    c = arbitrate.arbitrate(spark.createDataFrame(SEED + more, CLAIM))
+    n = graph.assemble_nodes(spark.createDataFrame([], DOC + ", acl_groups array<string>"), c.withColumn("object_literal", F.when(F.col("object_key").startswith("topic:"), F.regexp_replace("object_key", "^topic:", ""))))
+    n = n.where("label <> 'Claim' and key not in ('project:atlas')").unionByName(spark.createDataFrame([("Project", "project:atlas", "Atlas Migration"), ("Artifact", "artifact:drive:plan", "Rollout Plan")], "label string, key string, name string"))
+    q = [("1", "List the budget of Atlas Migration"), ("2", "When does Atlas Migration launch?"), ("3", "What is the status of Atlas Migratoin?"), ("4", "Who wrote about Rollout Plan, list all authors?"), ("5", "Is quantum quantum owned by Borealis?"), ("6", "Who works with Kestrel on the status?"), ("7", "Who owns what @sammy is assigned?"), ("8", "status of Borealys")]
+    refs = spark.createDataFrame([("artifact:slack:7", "artifact:drive:plan")], "src string, dst string")
+    aliases = spark.createDataFrame([("@sammy", "person:sam-okonkwo")], "alias string, key string")
+    asked = spark.createDataFrame(q, "question_id string, question string")
+    got = {r["question_id"]: r for r in ask.ask(asked, c, n, aliases=aliases, references=refs).collect()}
+    assert (got["1"]["status"], got["1"]["gate"]) == ("abstained", "coverage")
+    assert got["2"]["text"] == "Atlas Migration : scheduled for : 2026-07-12"
+    assert got["3"]["anchor"] == "project:atlas"
+    assert got["4"]["status"] == "answered" and "priya rao" in got["4"]["text"].lower()
+    assert got["5"]["gate"] == "coverage" and "quantum." in got["5"]["text"]
+    assert got["6"]["gate"] == "entity" and got["7"]["anchor"] == "person:sam-okonkwo" and got["8"]["gate"] == "entity"
+    ev = {(r["question_id"], r["rank"], r["status"]): r for r in ask.ask_evidence(asked, c, n, aliases=aliases, references=refs).collect()}
+    assert ev["2", 1, "current"]["claim_key"] == "c2" and ev["2", 1, "superseded"]["claim_key"] == "c1"
+    assert ev["4", 1, "current"]["hops"] == 1 and ev["4", 1, "current"]["path"].startswith("Rollout Plan > REFERENCES > slack:7 | ")
+
+
 def test_similarities():
     assert abs(T.jaro_winkler_of("martha", "marhta") - 0.9611) < 1e-4 and T.jaro_winkler_of("", "x") == 0.0
     assert T.token_set_ratio_of("atlas migration", "the atlas migration plan") == 100.0
@@ -158,8 +179,8 @@ def test_threads_citations_and_build(spark):
     rec = '{"Message": {"User": {"text": "hi", "userId": "u1"}}, "ThreadReplies": [{"User": {"userId": "u2", "text": "yes"}}, {"User": null}]}'
     t = build.thread_records(spark.createDataFrame([(rec,), (None,)], "record string")).collect()
     assert (t[0]["body"], t[0]["participants"]) == ("hi yes", ["u2"]) and t[1]["body"] == ""
-    d = spark.createDataFrame([("a", "see /docs/b and /docs/a and /docs/zz"), ("b", None), (None, "/docs/a")], "doc_id string, body string")
-    assert [tuple(r) for r in build.citations(d).collect()] == [("a", "b")]
+    d = spark.createDataFrame([("a", None, "see /docs/b and /docs/a and /docs/zz"), ("b", "of /docs/Ab", None), (None, None, "/docs/a"), ("Ab", None, "/Docs/A")], "doc_id string, title string, body string")
+    assert sorted(tuple(r) for r in build.citations(d).collect()) == [("Ab", "a"), ("a", "b"), ("b", "Ab")]
     docs = spark.createDataFrame([("E-1", "jira", "Fix", "maybe later", "Sam Okonkwo", "sam.okonkwo@x.com", ["S. Okonkwo"], ["eng"])], DOC + ", acl_groups array<string>")
     xc = spark.createDataFrame([("artifact:jira:e-1", "Artifact", "ASSIGNED_TO", "S. Okonkwo", "Person", "jira", "E-1", "2026-01-01", None, "span", "A")] * 2, "subject_surface string, subject_type string, predicate string, object_surface string, object_type string, source_tool string, source_doc_id string, asserted_at string, confidence double, evidence_span string, tier string")
     g = build.build(docs, xc)
@@ -167,3 +188,20 @@ def test_threads_citations_and_build(spark):
     assert len(c) == 1 and c[0]["object_key"] == c[0]["asserted_by_key"] and c[0]["hedging"] == 1.0 and c[0]["authority"] == 1.0 and c[0]["specificity"] == 0.8
     assert {"VISIBLE_TO", "ABOUT", "OBJECT", "SOURCED_FROM", "ASSERTED_BY", "ASSIGNED_TO", "ALIAS_OF"} == {r["type"] for r in g["edges"].select("type").distinct().collect()}
     assert build.people(g).count() >= 1 and build.stats(g).count() > 5
+    assert g["nodes"].where("label = 'Alias'").count() == g["edges"].where("type = 'ALIAS_OF'").count() > 0
+    who = g["people"].where("name = 'Sam Okonkwo'").first()
+    assert who["email"] == "sam.okonkwo@x.com" and who["alias_count"] == 1 and who["tools"] == "jira"
+
+
+def test_build_unites_field_maps_with_aligned_statements(spark):
+    from strandline.operators import build
+
+    rec = '{"fields": {"assignee": {"displayName": "Sam Okonkwo"}, "project": {"name": "Atlas Migration"}, "status": {"name": "0"}, "duedate": ""}}'
+    docs = spark.createDataFrame([("E-1", "jira", "Fix", "text", "Sam Okonkwo", None, [], ["eng"], rec, "2026-01-02", "")], DOC + ", acl_groups array<string>, structured string, created_at string, updated_at string")
+    xc = spark.createDataFrame([("the Atlas Migration", "Project", "OWNED_BY", w, "Person", "slack", "m1", at, 0.8, "span", "B") for w, at in (("Wei Zhang", "2026-01-01"), ("Sam Okonkwo", "2026-05-01"))] + [("Wei Zhang", "Person", "BUDGET_IS", "Sam Okonkwo", "Person", "slack", "m1", None, 0.8, "span", "B")], "subject_surface string, subject_type string, predicate string, object_surface string, object_type string, source_tool string, source_doc_id string, asserted_at string, confidence double, evidence_span string, tier string")
+    g = build.build(docs, xc)
+    made = {(r["subject_key"], r["predicate"], r["object_key"]) for r in g["claims"].collect()}
+    assert ("artifact:jira:e-1", "STATUS_IS", "topic:0") in made and ("project:atlas-migration", "OWNED_BY", "person:wei-zhang") in made
+    assert not any(p in ("DUE_ON", "BUDGET_IS") for _, p, _ in made)
+    assert g["decisions"].count() == 1 and {"SUPERSEDES", "CONTRADICTS"} & {r["type"] for r in g["edges"].collect()}
+    assert g["nodes"].where("key = 'topic:0'").first()["name"] == "0"

@@ -106,3 +106,12 @@ def test_empty_tables_and_a_very_long_record(spark):
     assert run(spark, []) == set()
     long = json.dumps({"x": [{"n": "y" * 50} for _ in range(5000)]})
     assert len(run(spark, [("a", "t", long)])) == 5000
+
+
+def test_far_and_often_wrapped_arrays():
+    far = json.dumps({"a": " " * 100 + '[{"x": 1}, {"x": 2}]'})
+    often = json.dumps([{"y": 1}])
+    for _ in range(12):
+        often = json.dumps(often)
+    objects, _ = nested.linked_paths([far, often])
+    assert [(i, segs) for i, segs, _ in objects] == [(0, ["/a/0"]), (0, ["/a/1"]), (1, ["/0"])]

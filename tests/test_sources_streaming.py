@@ -69,7 +69,7 @@ def test_rules_and_envelopes_of_every_tool(spark, tmp_path):
             want.add((tool, p))
         rows += [(f"{tool}-1", tool, json.dumps(record), "2026-01-01", ""), (f'{tool}-"2"', tool, " { } ", "2026-01-01", ""), (None, tool, json.dumps(record), None, None)]
     spark.createDataFrame(rows, "doc_id string, tool string, structured string, created_at string, updated_at string").write.parquet(str(tmp_path / "raw_docs.parquet"))
-    got = query_pack.QUERIES["field_map_claims_all"](spark, str(tmp_path)).collect()
+    got = query_pack.QUERIES["field_map_claims"](spark, str(tmp_path)).collect()
     assert {(r["source_tool"], r["predicate"]) for r in got} == want and len(want) == len(got)
     envelopes = query_pack.QUERIES["envelope_all"](spark, str(tmp_path)).collect()
     assert {(r["tool"], r["doc_id"]) for r in envelopes} == {(t, i) for t in SOURCES for i in (f"{t}-1", f'{t}-"2"')} and len(envelopes) == 18
