@@ -70,9 +70,9 @@ def vetoed_pairs(pairs: DataFrame, cands: DataFrame, spoken: DataFrame | None =
     lit = lambda p: materialize(side(p), f"side_{p}")
     x = pairs.join(lit("a"), "a").join(lit("b"), "b")
     x = x.select("*", end("t_a", -1).alias("la"), end("t_b", -1).alias("lb"), end("t_a", 1).alias("fa"), end("t_b", 1).alias("fb"))
-    x = materialize(x, "sides")
     mails = (F.col("e_a") != "") & (F.col("e_b") != "")
     if spoken is not None:
+        x = materialize(x, "sides")
         said = lambda p, q: x.select("a", "b", F.col(f"n_{p}").alias("author_norm"), F.explode(f"t_{q}").alias("token"))
         apart = said("a", "b").unionByName(said("b", "a")).join(spoken.select("author_norm", "token").distinct(), ["author_norm", "token"], "left_semi").select("a", "b").distinct()
         x = x.join(apart.withColumn("apart", F.lit(True)), ["a", "b"], "left")
@@ -80,7 +80,7 @@ def vetoed_pairs(pairs: DataFrame, cands: DataFrame, spoken: DataFrame | None =
         x = x.withColumn("apart", F.lit(None).cast("boolean"))
     first = F.when(mails & (F.col("e_a") != F.col("e_b")), "email_conflict").when(F.col("apart"), "distinct_speakers").otherwise("")
     full = (F.size("t_a") > 1) & (F.size("t_b") > 1) & (F.length("la") > 1) & (F.length("lb") > 1) & (F.col("la") != F.col("lb"))
-    x = x.withColumn("veto", first).withColumn("ask", full & (F.col("veto") == "")).drop("apart")
+    x = materialize(x.withColumn("veto", first).withColumn("ask", full & (F.col("veto") == "")).drop("apart"), "first_vetoes")
     surnames = materialize(x.where("ask").select("la", "lb").distinct(), "surnames").withColumn("jl", jaro_winkler("la", "lb"))
     x = x.join(surnames, ["la", "lb"], "left")
     return x.withColumn("veto", F.when(F.col("ask") & (F.col("jl") < 0.92), "surname_conflict").otherwise(F.col("veto"))).drop("ask", "jl")
