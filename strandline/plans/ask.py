@@ -237,14 +237,64 @@ def cited_only(text: Column, known: Column) -> Column:
     return (F.size(cited) > 0) & (F.size(F.array_except(cited, known)) == 0)
 
 
-def suggestions(claims: DataFrame, entities: DataFrame, limit: int = 6) -> DataFrame:
-    """Questions worth asking: one disagreement, the rest lookups of current functional facts, each verified by asking."""
-    schema = Schema()
-    named = entities.groupBy("key").agg(F.min("name").alias("name"))
-    c = claims.where(F.col("predicate").isin(*schema.arbitrated())).join(named.withColumnRenamed("key", "subject_key"), "subject_key")
-    kind = F.when(F.col("status") == "contested", 0).otherwise(1)
-    pick = c.where("status in ('current', 'contested')").groupBy("subject_key", "name", "predicate").agg(F.min(kind).alias("kind"), F.max("score").alias("score"))
-    some = pick.where("kind = 0").orderBy(F.col("score").desc(), "subject_key", "predicate").limit(1).unionByName(pick.where("kind = 1").orderBy(F.col("score").desc(), "subject_key", "predicate").limit(limit * 3))
-    qs = some.withColumn("question", F.concat(F.lit("What is the "), phrase(F.col("predicate")), F.lit(" of "), F.col("name"), F.lit("?"))).select(F.concat_ws("|", "subject_key", "predicate").alias("question_id"), "question", "kind")
-    done = ask(qs.select("question_id", "question"), claims, entities, schema=schema).where("status = 'answered'")
-    return qs.join(done.select("question_id"), "question_id").orderBy("kind", "question").limit(limit).select("question", "kind")
+# Words in predicate names, and the question about a thing and about a person.
+SHAPES = (
+    (("assign",), "who is {s} assigned to?", "what is assigned to {s}?"),
+    (("report",), "who reports to {s}?", "who does {s} report to?"),
+    (("own",), "who owns {s}?", "what does {s} own?"),
+    (("author", "wrote"), "who authored {s}?", "what has {s} authored?"),
+    (("review", "approv"), "who reviewed {s}?", "what has {s} reviewed?"),
+    (("status", "state"), "what is the status of {s}?", "what is the status of {s}?"),
+    (("due", "schedul", "launch"), "when is {s} due?", "when is {s} due?"),
+    (("block",), "what blocks {s}?", "what does {s} block?"),
+    (("budget", "cost"), "what is the budget for {s}?", "what is the budget for {s}?"),
+    (("member", "team"), "who is on {s}?", "what is {s} a member of?"),
+    (("customer", "account", "company"), "which customer is {s} linked to?", "which customers does {s} cover?"),
+    (("mention", "discuss", "reference", "involve"), "what does {s} mention?", "where is {s} mentioned?"),
+    (("work",), "who works on {s}?", "what does {s} work on?"),
+    (("priorit",), "what is the priority of {s}?", "what is the priority of {s}?"),
+    (("escalat",), "who is {s} escalated to?", "what is escalated to {s}?"),
+)
+# Words of names that would be read as part of the question.
+ASKING = ("launch", "due", "status", "owner", "assigned", "report", "budget", "block", "review", "author", "member", "work", "priority", "escalate")
+
+
+def phrase_question(predicate: Column, subject: Column, person: Column) -> Column:
+    """The question that a predicate answers about a subject."""
+    low = F.lower(F.replace(predicate, F.lit("_"), F.lit(" ")))
+    put = lambda shape: F.replace(F.lit(shape), F.lit("{s}"), subject)
+    out = F.concat(F.lit("what is the "), low, F.lit(" of "), subject, F.lit("?"))
+    for needles, thing, who in reversed(SHAPES):
+        hit = F.lit(False)
+        for n in needles:
+            hit = hit | low.contains(n)
+        out = F.when(hit, F.when(person, put(who)).otherwise(put(thing))).otherwise(out)
+    return out
+
+
+def suggestions(claims: DataFrame, entities: DataFrame, limit: int = 6, schema: Schema | None = None) -> DataFrame:
+    """(question, tag): up to `limit` questions worth asking, each verified by asking it.
+
+    One on which sources disagree, one without an answer (a predicate no statement uses, about a known subject), the
+    rest lookups, one a predicate. The smallest claim keys are taken.
+    """
+    schema = schema or Schema()
+    names = entities.groupBy("key").agg(F.min("name").alias("name"))
+    c = claims.join(names.withColumnRenamed("key", "subject_key"), "subject_key", "left").withColumn("name", label_of(F.col("subject_key"), F.col("name"))).where("subject_key is not null and length(name) between 1 and 48")
+    c = materialize(c.select("claim_key", "subject_key", "predicate", "status", "name"), "named")
+    row = F.struct("claim_key", "subject_key", "predicate", "name")
+    disagree = c.where("status = 'superseded'").agg(F.min(row).alias("r")).where("r is not null").select("r.*", F.lit("sources disagree").alias("tag"))
+    look_up = c.where("status = 'current' and predicate not in ('MENTIONS', 'DISCUSSED_IN')").join(disagree.select("predicate"), "predicate", "left_anti").groupBy("predicate").agg(F.min(row).alias("r")).select("r.*", F.lit("look up").alias("tag"))
+    used = {r[0] for r in claims.where("predicate is not null").select("predicate").distinct().where(F.col("predicate").isin(*schema.predicates)).collect()}  # at most the vocabulary
+    unused = [p for p in schema.predicates if p not in used][:4] or ["BUDGET_IS"]
+    dirty = F.arrays_overlap(F.split(F.lower("name"), " "), F.array(*map(F.lit, ASKING)))
+    anchor = c.where("status = 'current'").agg(F.min(F.struct(dirty.alias("d"), F.col("subject_key").startswith("artifact:").alias("a"), F.length("name").alias("n"), "subject_key", "name")).alias("r")).where("r is not null")
+    no_answer = anchor.select(F.explode(F.array(*[F.lit(p) for p in unused])).alias("predicate"), "r.subject_key", "r.name").select(F.lit("").alias("claim_key"), "subject_key", "predicate", "name", F.lit("no answer exists").alias("tag"))
+    qs = disagree.unionByName(look_up).unionByName(no_answer).withColumn("question", phrase_question(F.col("predicate"), F.col("name"), F.col("subject_key").startswith("person:")))
+    qs = materialize(qs.withColumn("question_id", F.concat_ws("|", "tag", "predicate")), "suggested")
+    done = ask(qs.select("question_id", "question"), claims, entities, schema=schema).select("question_id", "status", "n_superseded")
+    x = qs.join(done, "question_id").where((F.col("tag") == "no answer exists") == (F.col("status") == "abstained"))
+    x = x.withColumn("tag", F.when((F.col("tag") == "sources disagree") & (F.col("n_superseded") == 0), "look up").otherwise(F.col("tag")))
+    x = x.withColumn("rn", F.row_number().over(Window.partitionBy("tag").orderBy("claim_key", "predicate")))
+    order = F.when(F.col("tag") == "sources disagree", 0).when(F.col("tag") == "no answer exists", 1).otherwise(2)
+    return x.where("tag = 'look up' or rn = 1").orderBy(order, "rn").limit(limit).select("question", "tag")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.text import slugify
+from strandline.plans.ontology import Schema
+from strandline.runtime import materialize
+from strandline.sources import records
 
 _SKIP = re.compile(r"question|answer|ground_truth|label|eval|qa", re.I)
 
@@ -98,23 +102,9 @@ def read_folder(spark: SparkSession, folder: str, longest_text: int = 20000) ->
     return files.mapInPandas(run, "tool string, path string, section string, record string").withColumn("tool", slugify(F.col("tool")))
 
 
-def read_product(spark: SparkSession, path: str) -> DataFrame:
-    """(product, section, doc_id, record) of multi-section product files; rows without id drop out."""
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
-    x = files.withColumn("product", F.regexp_replace("file", r"\.json$", "")).select("product", F.explode(F.from_json("value", "map<string,string>")).alias("section", "rows"))
-    x = x.where(F.col("rows").startswith("[")).select("product", "section", F.explode(F.from_json("rows", "array<string>")).alias("record"))
-    return x.withColumn("doc_id", F.get_json_object("record", "$.id")).where("doc_id is not null").select("product", "section", "doc_id", "record")
-
-
-def org_edges(spark: SparkSession, record: str) -> DataFrame:
-    """(employee, manager) of an org chart: nested engineering_leads, engineers, reports and team lists."""
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[dict, str | None]] = [(r, None) for r in (lambda v: v if isinstance(v, list) else [v])(json.loads(record)) if isinstance(r, dict)]
-    while stack:
-        person, boss = stack.pop()
-        me = person.get("employee_id") or person.get("name")
-        if me and boss:
-            out.append((me, boss))
-        for k in ("engineering_leads", "engineers", "reports", "team"):
-            stack += [(c, me or boss) for c in person.get(k) or [] if isinstance(c, dict)]
-    return spark.createDataFrame(out, "employee string, manager string")
+def read_documents(spark: SparkSession, folder: str, schema: Schema | None = None) -> tuple[DataFrame, DataFrame]:
+    """Envelopes of all records under a folder whose tool the schema knows, and (tool, n) of those it doesn't."""
+    schema = schema or Schema()
+    found = materialize(read_folder(spark, folder), "records")
+    docs = reduce(DataFrame.unionByName, [records.envelope(found.where(F.col("tool") == t).select("record"), t, schema) for t in schema.sources])
+    return docs, found.where(~F.col("tool").isin(*schema.sources)).groupBy("tool").agg(F.count(F.lit(1)).alias("n"))

@@ -21,7 +21,7 @@ from strandline.plans.ontology import Schema
 _COLUMNS = ["claim_key", "subject_key", "predicate", "object_key", "source_tool", "asserted_at", "authority", "specificity", "hedging", "loaded_at"]
 
 
-BUCKETS = 256
+BUCKETS = 64
 
 
 def batch_writer(folder: str, schema: Schema | None = None) -> Callable[[DataFrame, int], None]:

@@ -3,7 +3,7 @@ import json
 from strandline.operators.arbitrate import arbitrate, latest_claims
 from strandline.plans import query_pack
 from strandline.plans.ontology import SOURCES
-from strandline.sources import files, records
+from strandline.sources import files, model, products, records
 from strandline.streaming import incremental
 
 
@@ -26,11 +26,42 @@ def test_folder_profile(spark, tmp_path):
     assert files.read_corpus(spark, str(tmp_path), ["slack", "gmail"]).count() == 3
 
 
-def test_products_and_org(spark, tmp_path):
-    (tmp_path / "p.json").write_text(json.dumps({"slack": [{"id": "1", "t": 1}, {"t": 2}], "prs": [{"id": "9"}], "name": "x"}))
-    assert {tuple(r)[:3] for r in files.read_product(spark, str(tmp_path / "p.json")).collect()} == {("p", "slack", "1"), ("p", "prs", "9")}
-    org = json.dumps([{"name": "a", "engineering_leads": [{"name": "b", "engineers": [{"name": "c"}]}]}])
-    assert {tuple(r) for r in files.org_edges(spark, org).collect()} == {("b", "a"), ("c", "b")}
+def test_product_bundles(spark, tmp_path):
+    user = lambda i, t, at: {"User": {"userId": i, "text": t, "timestamp": at}}
+    one = {
+        "slack": [{"id": "s1", "Channel": {"name": "lift"}, "Message": user("eid_aaaaaa", "see /docs/PLAN_1", "2026-01-01T10:00:00Z"), "ThreadReplies": [user("eid_bbbbbb", "fine, eid_cccccc", "")]}, {"id": "s2", "Channel": {"name": "lift"}, "Message": user("eid_dddddd", "so it is", "2026-01-01T11:00:00Z")}, {"Message": {}}],
+        "documents": [{"id": "plan_1", "type": "Plan", "content": "x", "author": "eid_aaaaaa", "date": "2026-01-01"}],
+        "prs": [{"id": "9", "title": "t", "summary": "s", "user": {"login": "eid_bbbbbb"}, "state": "open", "created_at": "2026-02-01T00:00:00Z", "reviews": [{"user": {"login": "eid_cccccc"}, "state": "APPROVED"}, {"user": None}]}],
+        "team": ["eid_aaaaaa", {"x": 1}],
+    }
+    (tmp_path / "Alpha.json").write_text(json.dumps(one))
+    (tmp_path / "Beta.json").write_text(json.dumps({"urls": [{"id": "u", "link": "l", "description": "d"}]}))
+    assert {r["product"] for r in products.read_bundles(spark, str(tmp_path), 1).collect()} == {"Alpha"}
+    bundles = products.read_bundles(spark, str(tmp_path))
+    docs = products.bundle_documents(bundles)
+    assert {(r["product"], r["doc_id"]) for r in docs.collect()} == {("Alpha", "s1"), ("Alpha", "s2"), ("Alpha", "plan_1"), ("Alpha", "9"), ("Beta", "u")}
+    chart = json.dumps([{"employee_id": "a", "engineering_leads": [{"employee_id": "b", "role": "lead", "engineers": [{"employee_id": "c"}, {"name": "no id", "team": [{"employee_id": "d"}]}]}]}])
+    org = products.org_reports(spark.createDataFrame([(chart,), ("{",), (None,)], "record string"))
+    assert {tuple(r)[:2] for r in org.collect()} == {("b", "a"), ("c", "b")}
+    got = {(r["subject_surface"], r["predicate"], r["object_surface"]) for r in products.bundle_claims(docs, bundles, org).collect()}
+    plan = "artifact:bundle_doc:plan-1"
+    assert {("artifact:bundle_slack:s1", "REFERENCES", plan), ("artifact:bundle_slack:s2", "REFERENCES", plan)} == {x for x in got if x[1] == "REFERENCES"}
+    assert {("artifact:bundle_slack:s1", "MENTIONS", "eid_cccccc"), ("artifact:bundle_slack:s1", "MENTIONS", "eid_bbbbbb")} == {x for x in got if x[1] == "MENTIONS"}
+    assert {("artifact:bundle_pr:9", "REVIEWED_BY", "eid_cccccc"), ("eid_aaaaaa", "MEMBER_OF", "Alpha"), ("b", "REPORTS_TO", "a"), ("Beta", "DISCUSSED_IN", "artifact:bundle_url:u"), ("eid_bbbbbb", "AUTHORED", "artifact:bundle_pr:9"), ("artifact:bundle_pr:9", "STATUS_IS", "open")} <= got
+    assert len([x for x in got if x[1] == "MEMBER_OF"]) == 1
+
+
+def test_folder_to_documents_and_model_hook(spark, tmp_path):
+    (tmp_path / "slack.jsonl").write_text(json.dumps({"ts": "1", "text": "Sam will own the lift from today, says everybody here.", "user": "@sam"}) + "\n" + json.dumps({"text": "no id"}))
+    (tmp_path / "other.csv").write_text("id\n1\n")
+    docs, skipped = files.read_documents(spark, str(tmp_path))
+    assert [r["doc_id"] for r in docs.collect()] == ["1"] and [tuple(r) for r in skipped.collect()] == [("other", 1)]
+    good = {"subject": "Sam", "subject_type": "Person", "predicate": "OWNS", "object": "Lift", "object_type": "Project", "evidence": "Sam will own the lift"}
+    answer = "Here you are:\n```json\n" + json.dumps({"claims": [good, {**good, "predicate": "LIKES"}, {**good, "object": " "}, 7]}) + "\n```"
+    got = model.statements(docs, lambda texts: [answer for _ in texts]).collect()
+    assert [(r["subject_surface"], r["predicate"], r["confidence"], r["tier"]) for r in got] == [("Sam", "OWNS", 0.8, "B")]
+    assert model.statements(docs, lambda texts: ["no" for _ in texts]).count() == 0
+    assert model.read_json('so {"a": 1} it is') == {"a": 1} and model.read_json(None) is None
 
 
 def test_envelope_and_rules(spark):
