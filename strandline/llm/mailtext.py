@@ -263,7 +263,12 @@ def window_keys(sentences: list[str], first: list[int], second: list[int], fresh
     if not first:
         return []
     done, at = [], 0
-    while at < len(sentences):  # at least one sentence at a time
+    while at < len(sentences):
+        if len(sentences[at]) > _CHUNK:  # a very long sentence in pieces that overlap by all but one letter of a gram
+            parts = [_sums([sentences[at][i : i + _CHUNK + _GRAM - 1]], fresh) for i in range(0, len(sentences[at]) - _GRAM + 1, _CHUNK)]
+            done.append((sum(p[0] for p in parts), sum(p[1] for p in parts), np.minimum.reduce([p[2] for p in parts])))
+            at += 1
+            continue
         size, to = len(sentences[at]), at + 1
         while to < len(sentences) and size + len(sentences[to]) <= _CHUNK:
             size += len(sentences[to])

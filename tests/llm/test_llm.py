@@ -161,6 +161,13 @@ def test_hamming_tables_miss_nothing():
         assert set(a.tolist()) & set(b.tolist())
 
 
+def test_long_sentences_are_hashed_whole(monkeypatch):
+    text = "".join(rnd.choice("abcdef ") for _ in range(5000))
+    want = mailtext.window_keys([text, "a second sentence of six words", text[::-1]], [0, 1], [1, 2])
+    monkeypatch.setattr(mailtext, "_CHUNK", 700)
+    assert mailtext.window_keys([text, "a second sentence of six words", text[::-1]], [0, 1], [1, 2]) == want
+
+
 def scrambled(s, edits):
     for i in rnd.sample(range(len(s)), edits):
         s = s[:i] + rnd.choice(("", "x", s[i : i + 1] + "y")) + s[i + 1 :]
