@@ -387,7 +387,8 @@ def near_windows(lines: DataFrame, held: DataFrame, edits: float = 0.1) -> DataF
             a, b = F.col(f"x{i}"), F.col(f"y{i}")
             most = F.ceil(F.greatest(F.length(a), F.length(b)) * edits).cast("int")
             x = x.where(F.regexp_extract_all(a, F.lit(r"\d+"), F.lit(0)) == F.regexp_extract_all(b, F.lit(r"\d+"), F.lit(0)))
-            x = x.where((F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b) <= most))
+            # with a limit the distance costs length times limit, and is -1 beyond it
+            x = x.withColumn("most", most).where((F.abs(F.length(a) - F.length(b)) <= F.col("most")) & F.expr(f"levenshtein(x{i}, y{i}, most) >= 0"))
         return x.select("c", "src")
 
     close = materialize(verified(stars), "close")
