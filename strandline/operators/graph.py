@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.text import slugify
-from strandline.runtime import discard, materialize
+from strandline.runtime import broadcast_up_to, discard, materialize
 
 SCALARS = {"string", "int", "bigint", "double", "float", "boolean", "smallint", "tinyint"}
 
@@ -142,14 +142,70 @@ def expand(edges: DataFrame, starts: DataFrame, types: list[str], hops: int) ->
     return out.select("start", "node", "depth", "path")
 
 
+def peel(edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame | None]:
+    """(core, chains) of undirected edges (a, b), a < b, each once: vertices with one neighbour are cut off, round by round.
+
+    core has the edges that stay. chains has (vertex, path) of every vertex cut off: itself, its only
+    neighbour at that time and so on, up to a vertex that stays; None if nothing was cut off.
+    Both are exact after any number of rounds.
+    """
+    live, cut = materialize(edges, "live_edges"), []
+    for _ in range(rounds):
+        ends = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        leaf = materialize(ends.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b")).where("n = 1").select(F.col("a").alias("vertex"), F.col("b").alias("parent")), "leaves")
+        if leaf.isEmpty():
+            discard(leaf)
+            break
+        gone = leaf.select(F.least("vertex", "parent").alias("a"), F.greatest("vertex", "parent").alias("b"))
+        seen = materialize(live.unionByName(gone).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n <> 2"), "seen_edges")
+        # an edge seen thrice has a leaf at both ends: its smaller vertex stays
+        alone = seen.where("n = 3").select(F.col("a").alias("vertex"), F.col("b").alias("parent"))
+        cut.append(leaf.join(alone, ["vertex", "parent"], "left_anti"))
+        live = seen.where("n = 1").select("a", "b")
+    chains = None
+    for leaf in reversed(cut):
+        up = F.array("parent")
+        if chains is not None:
+            leaf, up = leaf.join(chains.select(F.col("vertex").alias("parent"), "path"), "parent", "left"), F.coalesce("path", up)
+        step = materialize(leaf.select("vertex", F.concat(F.array("vertex"), up).alias("path")), "chains")
+        chains = step if chains is None else chains.unionByName(step)
+    return live, chains
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, types: list[str], longest: int = 4, count: int = 5) -> DataFrame:
     """(src, dst, length, path): up to count shortest undirected simple paths of each pair (src, dst), in order of length and path.
 
+    Trees that hang off the graph are cut off first: inside them a path is the only one and follows
+    from the ways of both ends towards the rest, so a hub's leaves are never walked. Only pairs
+    whose ways reach different vertices of the rest are searched there, once per pair of such vertices.
+    """
+    e = edges.where(F.col("type").isin(*types)).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a < b").distinct()
+    core, chains = peel(e, longest)
+    # by dst already, so that the distinct pairs and the join with their chains share a shuffle
+    asked = pairs.select("src", "dst").where("src <> dst").repartition("dst").distinct()
+    if chains is None:
+        return grown_paths(core, asked, longest, count)
+    up = pairs.select("src").where("src is not null").distinct().join(chains.select(F.col("vertex").alias("src"), F.col("path").alias("up")), "src", "left").select("src", F.coalesce("up", F.array("src")).alias("up"))
+    x = asked.join(broadcast_up_to(materialize(up, "up"), 200_000), "src").join(chains.select(F.col("vertex").alias("dst"), F.col("path").alias("down")), "dst", "left")
+    x = x.select("src", "dst", "up", F.coalesce("down", F.array("dst")).alias("down")).withColumn("meet", F.get(F.array_intersect("up", "down"), F.lit(0)))
+    back = lambda n: F.reverse(F.slice("down", F.lit(1), n))
+    inside = F.concat(F.slice("up", F.lit(1), F.array_position("up", F.col("meet")).cast("int")), back(F.array_position("down", F.col("meet")).cast("int") - 1))
+    found = x.where("meet is not null").select("src", "dst", inside.alias("path")).select("src", "dst", (F.size("path") - 1).alias("length"), "path").where(F.col("length") <= longest)
+    if core.isEmpty():
+        return found
+    far = materialize(x.where("meet is null").where(F.size("up") + F.size("down") - 2 < longest).select("src", "dst", "up", "down", F.element_at("up", -1).alias("a"), F.element_at("down", -1).alias("b")), "far_pairs")
+    between = grown_paths(core, far.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), longest, count).select(F.col("src").alias("a"), F.col("dst").alias("b"), "path")
+    whole = far.join(between, ["a", "b"]).select("src", "dst", F.concat(F.slice("up", F.lit(1), F.size("up") - 1), "path", back(F.size("down") - 1)).alias("path"))
+    return found.unionByName(whole.select("src", "dst", (F.size("path") - 1).alias("length"), "path").where(F.col("length") <= longest))
+
+
+def grown_paths(edges: DataFrame, pairs: DataFrame, longest: int, count: int) -> DataFrame:
+    """(src, dst, length, path) of pairs over undirected edges (a, b), as shortest_paths().
+
     Both ends grow towards each other, a step at a time, and meet in the middle, so the frontier
     holds paths of half the length. Pairs that have `count` paths grow no further.
     """
-    e = edges.where(F.col("type").isin(*types))
-    two = materialize(e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both_ways")
+    two = materialize(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))), "both_ways")
     open_ = materialize(pairs.select("src", "dst").distinct(), "open_pairs")
     start = lambda c: open_.select(F.col(c).alias("start")).distinct().select("start", F.col("start").alias("node"), F.array("start").alias("path"))
     sides, found = {"src": start("src"), "dst": start("dst")}, None

@@ -148,6 +148,24 @@ def test_components_paths_and_stars(spark):
     assert {got[f"v{i:03d}"] for i in range(61)} == {"v000"} and {got[f"w{i}"] for i in range(50)} == {"hub"} and "x" not in got
 
 
+def test_shortest_paths_never_walk_a_hubs_leaves(spark, monkeypatch):
+    written = []
+
+    def counted(df, label, put=graph.materialize):
+        written.append((out := put(df, label)).count())
+        return out
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    leaves = [("t", f"l{h}.{i:03d}", h) for h in ("h1", "h2") for i in range(150)]
+    e = spark.createDataFrame([*leaves, ("t", "h1", "m1"), ("t", "h1", "m2"), ("t", "h2", "m1"), ("t", "h2", "m2"), ("t", "x", "y")], "type string, src string, dst string")
+    p = spark.createDataFrame([(f"lh1.{i:03d}", f"l{h}.{149 - i:03d}") for i in range(150) for h in ("h1", "h2")] + [("x", "y"), ("x", "h1"), ("h1", "h1"), ("lh2.000", "m1")], "src string, dst string")
+    got = {(r["src"], r["dst"], r["length"], *r["path"]) for r in graph.shortest_paths(e, p, ["t"]).collect()}
+    hop = {(a, b, 2, a, "h1", b) for i in range(150) for a, b in [(f"lh1.{i:03d}", f"lh1.{149 - i:03d}")]}
+    over = {(a, b, 4, a, "h1", m, "h2", b) for i in range(150) for m in ("m1", "m2") for a, b in [(f"lh1.{i:03d}", f"lh2.{149 - i:03d}")]}
+    assert got == hop | over | {("x", "y", 1, "x", "y"), ("lh2.000", "m1", 2, "lh2.000", "h2", "m1"), ("lh2.000", "m1", 4, "lh2.000", "h2", "m2", "h1", "m1")}
+    assert max(written) < 1000
+
+
 def test_shortest_paths_and_upserts(spark):
     e = spark.createDataFrame([("t", "a", "b"), ("t", "b", "c"), ("t", "c", "d"), ("t", "a", "d"), ("u", "a", "c")], "type string, src string, dst string")
     p = spark.createDataFrame([("a", "c")], "src string, dst string")
