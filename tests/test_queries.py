@@ -50,3 +50,10 @@ def test_nothing_outside_imports_llm():
     for f in glob.glob(f"{root}/strandline/**/*.py", recursive=True):
         if "/llm/" not in f:
             assert "strandline.llm" not in open(f).read(), f
+
+
+def test_shortest_paths_leaves_out_no_order_that_can_be_reached(spark, data):
+    got = {(r["src"], r["dst"]): r["length"] for r in OWN["shortest_paths"](spark, data).collect()}
+    t = lambda n: f"'{data}/{n}.parquet'"
+    want = duckdb.sql(f"select distinct 'supplier:' || s_suppkey, 'order:' || o_orderkey, if(a.n_nationkey = b.n_nationkey, 3, 5) from {t('lineitem')} join {t('supplier')} on l_suppkey = s_suppkey join {t('orders')} on l_orderkey = o_orderkey join {t('customer')} on o_custkey = c_custkey join {t('nation')} a on a.n_nationkey = s_nationkey join {t('nation')} b on b.n_nationkey = c_nationkey and b.n_regionkey = a.n_regionkey").fetchall()
+    assert got == {(s, o): n for s, o, n in want} and set(got.values()) == {3, 5}
