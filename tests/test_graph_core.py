@@ -232,3 +232,32 @@ def test_build_unites_field_maps_with_aligned_statements(spark):
     assert not any(p in ("DUE_ON", "BUDGET_IS") for _, p, _ in made)
     assert g["decisions"].count() == 1 and {"SUPERSEDES", "CONTRADICTS"} & {r["type"] for r in g["edges"].collect()}
     assert g["nodes"].where("key = 'topic:0'").first()["name"] == "0"
+
+
+def test_alignment_reads_letters_before_it_compares(spark, monkeypatch):
+    import pandas as pd
+
+    from strandline.functions.text import DETERMINERS, norm_of, token_set_ratio_of
+
+    r, calls = random.Random(7), []
+    stems = sorted({"".join(r.choice("bdfglmnprst") + r.choice("aeiou") for _ in range(5)) for _ in range(500)})
+    monkeypatch.setattr(align, "token_set_ratio_of", lambda a, b: calls.append(1) or token_set_ratio_of(a, b))
+    a, b = [f"gmbh services {s}" for s in stems], [f"gmbh services {s[:-1]}" for s in stems]
+    got = align._near(("Account", "services", 0, 0), pd.DataFrame({"s": a}), pd.DataFrame({"k": b}))
+    assert len(a) <= len(calls) < len(a) * len(b) / 50 and {(f"gmbh services {s}", f"gmbh services {s[:-1]}") for s in stems} <= set(zip(got["s"], got["k"], strict=True))
+    words = ["services", "gmbh", "limited", "alpha", "alphq", "betagam", "betagan", "x", "of", "the", "migration", "11", "rollout", "rollouts"]
+    text = lambda: " ".join(r.choice(words) + r.choice(["", "", "s", "x"]) for _ in range(r.randrange(1, 8)))
+    asked = {(text(), r.choice(["Account", "Project"])) for _ in range(150)} | {("", "Account"), ("the", "Project"), ("Services!", "Account")}
+    known = [(k, k.upper(), r.choice(["Account", "Project"])) for k in sorted({text() for _ in range(150)})]
+    want = {}
+    for s, t in asked:
+        ws, best = {w for w in norm_of(s).split() if w not in DETERMINERS}, None
+        for k, display, kind in known:
+            wk = {w for w in k.split() if w not in DETERMINERS}
+            score = token_set_ratio_of(" ".join(sorted(ws)), " ".join(sorted(wk))) if any(len(w) >= 4 for w in ws & wk) else 0
+            if score >= 90 and (kind == t or score >= 100):
+                best = max(best or (0,), (score, kind == t, len(k), k, display, kind))
+        if best:
+            want[s, t] = best[4:]
+    got = align.best_matches(spark.createDataFrame(sorted(asked), "surface string, type string"), spark.createDataFrame(known, "known_norm string, display string, known_type string"))
+    assert {(m["surface"], m["type"]): (m["display"], m["known_type"]) for m in got.collect()} == want and len(want) > 50
