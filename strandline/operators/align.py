@@ -46,7 +46,7 @@ def _near_all(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFra
 def _near(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Pairs of texts (s, k) of one type and one common word, each with its ratio of RATIO or more.
 
-    Letters that only one of two texts has bound the ratio from above; that settles nearly all pairs by arithmetic.
+    Letters that only one of two texts has bound the ratio from above; that settles most pairs by arithmetic.
     """
     a, b, out = left["s"].tolist(), right["k"].tolist(), []
     if len(a) * len(b) <= FEW:
